@@ -142,7 +142,7 @@ def _descend(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int, c
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_ratio: float = 15.0, ridge: float = 1e-5, swap_penalty: float = 1.0) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_ratio: float = 11.0, ridge: float = 1e-5, swap_penalty: float = 1.0) -> Model:
     """A model of ``labelled``: doc_id, text, label (0 or 1). doc_id only picks the sample."""
     rows = labelled.where("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     sample = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")).limit(max_rows)
