@@ -56,6 +56,20 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_profiles, identify, page_rows
+
+    profiles = fit_profiles(table(spark, sf_dir, "documents"))
+    return identify(page_rows(table(spark, sf_dir, "pages")), profiles).withColumnRenamed("id", "page_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score, training_rows
 
@@ -90,5 +104,34 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+#: Lines within one edit agree in their first or in their last half, which spares most distances. DuckDB's distance is in
+#: bytes; the lengths compared here are in characters, and so is the alignment of what follows the first difference.
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, l[i] AS raw, trim(l[i], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), firsts AS (
+  SELECT line, min(struct_pack(d := doc_id, n := line_no)) AS place, length(line) AS n FROM lines WHERE line <> '' GROUP BY line
+), long AS (SELECT * FROM firsts WHERE n >= 16), near AS (
+  SELECT DISTINCT b.place FROM long a JOIN long b
+  ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.place < b.place
+  AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
+  WHERE len(list_filter(range(0, CAST(greatest(a.n, b.n) AS BIGINT)), lambda p:
+    left(a.line, p) = left(b.line, p) AND CASE
+      WHEN a.n = b.n THEN substring(a.line, p + 2) = substring(b.line, p + 2)
+      WHEN a.n < b.n THEN substring(a.line, p + 1) = substring(b.line, p + 2)
+      ELSE substring(a.line, p + 2) = substring(b.line, p + 1) END)) > 0
+), stays AS (
+  SELECT l.doc_id, l.line_no, l.raw, l.line = '' AS blank, l.line = '' OR (f.place IS NOT NULL AND n.place IS NULL) AS stay
+  FROM lines l LEFT JOIN firsts f ON f.place = struct_pack(d := l.doc_id, n := l.line_no) LEFT JOIN near n ON n.place = f.place
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept, CASE WHEN d.text IS NOT NULL THEN coalesce(s.text, '') END AS text
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE NOT blank) AS n_lines, count(*) FILTER (WHERE stay AND NOT blank) AS n_kept, string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE stay) AS text
+  FROM stays GROUP BY doc_id
+) s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op8_line_dedup": OP8_SQL}
