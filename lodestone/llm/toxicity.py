@@ -191,7 +191,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     def clean(text):
         import pandas as pd
 
-        return pd.Series(np.concatenate([model.scores(p) for p in slices(pa.array(text, pa.string()))]) < threshold)
+        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(p) for p in slices(pa.array(text, pa.string())))]) < threshold)
 
     return docs.where(clean("text"))
 
