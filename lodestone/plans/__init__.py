@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("web", "text")
+FAMILIES = ("web", "text", "retrieval")
 
 
 def load() -> None:
