@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Suffixes of files that aren't pages.
-ASSETS = ("png", "jpg", "jpeg", "gif", "svg", "css", "js", "pdf", "zip")
+ASSETS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "mp4", "pdf", "zip")
 
 
 def origin(url: Column) -> Column:

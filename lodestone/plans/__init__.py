@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("web", "text", "retrieval")
+FAMILIES = ("web", "text", "retrieval", "knowledge")
 
 
 def load() -> None:

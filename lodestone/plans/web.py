@@ -12,7 +12,7 @@ from lodestone.sources.web import discover, pending
 
 ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-ASSET = rf"lower(regexp_extract({PATH}, '\.([A-Za-z0-9]+)$', 1)) IN ('png','jpg','jpeg','gif','svg','css','js','pdf','zip')"
+ASSET = rf"lower(regexp_extract({PATH}, '\.([A-Za-z0-9]+)$', 1)) IN ('png','jpg','jpeg','gif','svg','webp','mp4','pdf','zip')"
 SLUG = rf"coalesce(nullif(replace(trim({PATH}, '/'), '/', '--'), ''), 'index')"
 BASE = f"(SELECT {ORIGIN} FROM pages ORDER BY page_id LIMIT 1)"
 
