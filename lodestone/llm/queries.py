@@ -71,10 +71,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit, score, training_rows
+    from .toxicity import fit, score, training_labels
 
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     out = score(docs, model, 0.3)
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 

@@ -142,10 +142,15 @@ def _descend(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int, c
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_ratio: float = 11.0, ridge: float = 1e-5, swap_penalty: float = 1.0) -> Model:
-    """A model of ``labelled``: doc_id, text, label (0 or 1). doc_id only picks the sample."""
-    rows = labelled.where("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    sample = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")).limit(max_rows)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, least_ratio: float = 11.0, ridge: float = 1e-5, swap_penalty: float = 1.0) -> Model:
+    """A model of ``docs`` (doc_id, text) by ``labels`` (doc_id, label: 0 or 1). doc_id only picks the sample and joins.
+
+    The sample is drawn from the labels alone, so no text is sorted or moved for it; its at most ``max_rows`` rows are
+    broadcast to the documents.
+    """
+    rows = labels.where("label IN (0, 1)").select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label"))
+    sample = stage(rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_rows), "labelled-sample")
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
     sample = stage(_feature_rows(sample), "labelled-features")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < pos < n:
@@ -196,7 +201,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return docs.where(clean("text"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows to learn from: those whose crc32(doc_id as text) mod 4 isn't 2."""
-    of = labels.select(F.col("doc_id").cast("long"), F.col("toxic").alias("label")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels to learn from: those of rows whose crc32(doc_id as text) mod 4 isn't 2."""
+    return labels.select(F.col("doc_id").cast("long"), F.col("toxic").alias("label")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
