@@ -21,7 +21,7 @@ from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.ngram_join import ngram_components
 from lodestone.llm.packing import best_fit_packing
 from lodestone.llm.queries import table, vocabulary
-from lodestone.llm.toxicity import fit, keep_clean, training_rows
+from lodestone.llm.toxicity import fit, keep_clean, training_labels
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys, 8 bytes each, up to which rejected documents are broadcast; beyond, it is a shuffled join.
@@ -40,7 +40,7 @@ def _key():
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     return keep_clean(docs.select(COLUMNS), model, 0.3)
 
 
