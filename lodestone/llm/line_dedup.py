@@ -102,7 +102,11 @@ def kept_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
-    """``docs``, all columns, with the text of the lines that stay, and n_lines and n_kept, of lines that aren't blank."""
+    """``docs``, all columns, with the text of the lines that stay, and n_lines and n_kept, of lines that aren't blank.
+
+    Columns of these two names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_kept")
     places = stage(kept_lines(docs, min_chars).groupBy("row").agg(F.collect_list("line_no").alias("__kept")), "kept-lines")
     release(docs.sparkSession)
     rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
