@@ -90,3 +90,11 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     links = pages.select("url", F.explode(hrefs(F.col("html"))).alias("h")).groupBy(target.alias("target")).agg(F.count("*").alias("n"))
     seen = pages.select(normal_url(F.col("url")).alias("key")).distinct()
     return links.withColumn("key", normal_url(F.col("target"))).join(seen, "key", "left_anti").select("target", "n")
+
+
+@query()
+def html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of each page's main element; a parser has no SQL, so the tests hold it against pages made by hand."""
+    from lodestone.sources.html import main_texts
+
+    return main_texts(load(spark, sf, "pages"))
