@@ -197,3 +197,28 @@ def test_engine(spark, tmp_path):
 
 def test_config_is_the_contract():
     assert (DEFAULT.leaf_tokens, DEFAULT.parent_tokens, DEFAULT.breakpoint_threshold, DEFAULT.rrf_k, DEFAULT.relevance) == (150, 512, 0.85, 60, 0.3)
+
+
+def test_sinks(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    a = spark.createDataFrame([("x", 1, 1), ("y", 1, 1)], "c string, id int, v int")
+    sinks.write_partitioned(a, f"{tmp_path}/t", "c")
+    sinks.write_partitioned(spark.createDataFrame([("x", 2, 2)], "c string, id int, v int"), f"{tmp_path}/t", "c")
+    assert sorted((r["c"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("x", 2), ("y", 1)]
+    sinks.write_once(a, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    assert {(r["c"], r["v"]) for r in sinks.latest(a.unionByName(a.withColumn("v", F.lit(7))), ["c"], "v").collect()} == {("x", 7), ("y", 7)}
+    assert list(sinks.server_sent_events(["a", "", "b"])) == ['data: {"token": "a"}\n\n', 'data: {"token": "b"}\n\n', "data: [DONE]\n\n"]
+    assert sinks.json_rows(a).first()["json"] == '{"c":"x","id":1,"v":1}'
+
+
+def test_streams(spark, tmp_path):
+    from lodestone.streaming.windows import ingest_pages
+
+    pages = spark.createDataFrame([("https://h/a", "<p>A</p>"), ("https://h/b", "<p></p>"), ("https://h/a", "<p>A2</p>")], "url string, html string")
+    pages.write.parquet(f"{tmp_path}/in")
+    for k in range(2):
+        stream = spark.readStream.schema(pages.schema).parquet(f"{tmp_path}/in")
+        ingest_pages(stream, f"{tmp_path}/out", f"{tmp_path}/check{k}", "c")
+    assert [r["slug"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a"]
