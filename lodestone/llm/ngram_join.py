@@ -1,17 +1,16 @@
 """N-gram Jaccard join (operator 3) over sets of word shingles, by PartEnum signatures.
 
 Texts with the same set of shingles are one class. Classes that share a signature are candidates (see ``partenum``).
-No group is expanded into all its pairs at once:
+No group is expanded into all its pairs:
 
-1. Each signature's group is linked to its most central member, the one whose signatures are the most frequent, as a
+1. Of the candidates, those go that can't link to any, having too few of their shingles in other candidates.
+2. Each signature's group is linked to its most central member, the one whose signatures are the most frequent, as a
    group of copies is to its original. Verified links make components; pairs within one are links already implied.
-2. Only members of different components that share a signature are then compared with each other.
+3. In groups that hold several components still, members of different ones are compared, in blocks, by array arithmetic;
+   only pairs that may link become rows.
 
-Signatures of more than ``HOT`` classes, from passages that many documents share, are rid first of the classes that
-can't link to another of these: those with under 75 % of their shingles in another one.
-
-Each pair is tested by odd sketches: a differing shingle flips one bit, so more bits that differ than shingles may differ
-rule a link out; what passes is verified over the sets. All steps are exact, up to equal 64-bit digests.
+Whether a pair may link is told by odd sketches: a differing shingle flips one bit, so more bits that differ than shingles
+may differ rule a link out; what passes is verified over the sets. All steps are exact, up to equal 64-bit digests.
 
 Null texts are empty. Documents without words have an empty set and link with nothing. Null doc_ids give their own rows,
 with a null component where no document with an id is in it. Repeated rows link like copies.
@@ -31,8 +30,8 @@ from ._text import U64, mix, shingles, slices
 from .components import connected_components
 from .partenum import fingerprints, signatures, unique_sets
 
-#: Classes in a signature's group beyond which its members are tested for shared shingles first.
-HOT = 32
+#: Members of a group's block.
+BLOCK = 1024
 #: Rows of ids, 8 bytes each, up to which a selection of documents is broadcast; beyond, it is a shuffled join.
 IDS = 2_000_000
 NUM, DEN = 75, 100
@@ -132,16 +131,108 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     return both.where(f"{DEN} * both >= {NUM} * (size(ix) + size(iy) - both)").select("x", "y")
 
 
+def _half_rows(texts: DataFrame, width: int) -> DataFrame:
+    """fp, need and item: the shingles of one half of the hash's range, and how many of those a class must share to link.
+
+    A link leaves out at most a quarter of a set, wherever its shingles lie. Where that is all of the half, need is 0,
+    and one row more stands for the class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column("text")):
+                h, start, size, fp = _sets(part, width)
+                own = np.repeat(np.arange(part.n), size)
+                half = h < U64(1 << 63)
+                need = np.maximum(np.bincount(own[half], minlength=part.n) - size * (DEN - NUM) // DEN, 0)
+                free = np.flatnonzero((need == 0) & (size > 0))
+                own = np.concatenate((own[half], free))
+                item = np.concatenate((h[half].view(np.int64), fp[free]))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(need[own].astype(np.int32)), pa.array(item)], ["fp", "need", "item"])
+
+    return texts.select("text").mapInArrow(run, "fp long, need int, item long")
+
+
 def _without_idle(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """Rows (sig, fp, df), but in groups beyond ``HOT`` only classes with enough shingles in another such class."""
-    hot = groups.where(F.col("df") > HOT)
-    fps = stage(hot.select("fp").distinct(), "hot")
-    if fps.isEmpty():
-        return groups
-    items = _elements(_of(docs, classes, fps), width).join(fps, "fp", "left_semi").select("fp", "n", F.explode("items").alias("item"))
-    shared = items.withColumn("k", F.min("fp").over(Window.partitionBy("item")) != F.max("fp").over(Window.partitionBy("item"))).where("k")
-    busy = stage(shared.groupBy("fp", "n").agg(F.countDistinct("item").alias("m")).where(f"m * {DEN} >= n * {NUM}").select("fp"), "busy")
-    return groups.where(F.col("df") <= HOT).unionByName(hot.join(busy, "fp", "left_semi"))
+    """Rows (sig, fp) of the classes with enough of their shingles in other classes of ``groups`` to link to one."""
+    fps = stage(groups.select("fp").distinct(), "candidates")
+    of = Window.partitionBy("item")
+    items = _half_rows(_of(docs, classes, fps), width)
+    shared = items.withColumn("f0", F.min("fp").over(of)).withColumn("f1", F.max("fp").over(of)).where("f0 <> f1 OR need = 0")
+    busy = stage(shared.groupBy("fp", "need").agg(F.count("*").alias("m")).where("m >= need").select("fp"), "busy")
+    return groups.join(busy, "fp", "left_semi")
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, the shortest's, as rows of 64-bit words."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), U64)
+    for i, x in enumerate(sketches):
+        v = np.frombuffer(x, U64)
+        while v.nbytes > least:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[i] = v
+    return out
+
+
+def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sizes and sketches allow a link. side: 0 and 1, two blocks to compare with
+    each other, or 2 alone, one block with itself."""
+    rows = _folded(sketches)
+    xs, ys = [], []
+    for i in np.flatnonzero(side != 1):
+        other = side == 1 if side[i] == 0 else np.arange(len(fp)) > i
+        at = np.flatnonzero(other & (comp != comp[i]) & (n * DEN >= n[i] * NUM) & (n[i] * DEN >= n * NUM))
+        if len(at):
+            differ = np.bitwise_count(rows[at] ^ rows[i]).sum(1, dtype=np.int64)
+            at = at[differ * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)]
+            xs.append(np.minimum(fp[at], fp[i]))
+            ys.append(np.maximum(fp[at], fp[i]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
+def _pairs_apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of ``placed`` (sig, fp, comp) that share a signature, not a component, and may link.
+
+    A group is cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task: pairs are compared there by
+    array arithmetic, and only those that may link come out as rows.
+    """
+    size = placed.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    rows = placed.join(size.where("c0 <> c1").select("sig", "blocks"), "sig").join(classes.select("fp", "n", "sketch"), "fp")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side")))
+    rows = rows.select("sig", "fp", "comp", "n", "sketch", F.explode(meets).alias("b")).select("sig", "b.i", "b.j", "b.side", "fp", "comp", "n", "sketch")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            out, rest = split(t, False)
+            yield out
+        if rest is not None:
+            yield split(rest, True)[0]
+
+    def split(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        """Pairs of the groups that end in the table, and the rows of the one that may go on."""
+        key = [t.column(c).to_numpy() for c in ("sig", "i", "j")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+        at = np.append(np.flatnonzero(new), t.num_rows)
+        done = len(at) - 1 if last else len(at) - 2
+        fp, comp, n, side = (t.column(c).to_numpy() for c in ("fp", "comp", "n", "side"))
+        sketch = t.column("sketch").to_pylist()
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(at[:done].tolist(), at[1 : done + 1].tolist(), strict=True):
+            x, y = _near_in_group(fp[lo:hi], comp[lo:hi], n[lo:hi], side[lo:hi], sketch[lo:hi])
+            xs.append(x)
+            ys.append(y)
+        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"]), t.slice(int(at[done]))
+
+    return rows.mapInArrow(run, "x long, y long").distinct()
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -155,24 +246,19 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFram
     rows = _signature_rows(docs, width).withColumn("least", F.min("fp").over(of)).withColumn("most", F.max("fp").over(of)).where("least <> most")
     groups = stage(rows.select("sig", "fp").distinct(), "signatures")
     release(spark)
-    df = groups.groupBy("sig").agg(F.count("*").alias("df"))
-    groups = stage(_without_idle(docs, classes, groups.join(df, "sig"), width), "groups")
+    groups = stage(_without_idle(docs, classes, groups, width), "groups")
     release(spark)
 
+    df = groups.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    groups = groups.join(df, "sig")
     weight = groups.groupBy("fp").agg(F.sum("df").alias("weight"))
     lead = groups.join(weight, "fp").groupBy("sig").agg(F.max_by("fp", F.struct("weight", "fp")).alias("lead"))
     stars = groups.join(lead, "sig").where("fp <> lead").select(F.col("fp").alias("x"), F.col("lead").alias("y")).distinct()
     stars = stage(_possible(stars, classes), "stars")
     links = stage(_verified(docs, classes, stars, width), "star-links")
     comp = stage(_components(links), "star-components")
-
     placed = groups.select("sig", "fp").join(comp, "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
-    apart = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-    placed = placed.join(apart, "sig", "left_semi").join(classes.select("fp", "n"), "fp")
-    x = placed.select("sig", F.col("fp").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    y = placed.select("sig", F.col("fp").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-    rest = x.join(y, (x["sig"] == y["sig"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("nx") * DEN >= F.col("ny") * NUM) & (F.col("ny") * DEN >= F.col("nx") * NUM))
-    rest = stage(_possible(rest.select("x", "y").distinct(), classes), "pairs")
+    rest = stage(_pairs_apart(placed, classes), "pairs")
     return links.unionByName(_verified(docs, classes, rest, width))
 
 
