@@ -7,7 +7,8 @@ No group is expanded into all its pairs:
 2. Each signature's group is linked to its most central member, the one whose signatures are the most frequent, as a
    group of copies is to its original. Verified links make components; pairs within one are links already implied.
 3. In groups that hold several components still, members of different ones are compared, in blocks, by array arithmetic;
-   only pairs that may link become rows.
+   only pairs that may link become rows. For each class and other component the likeliest pair is verified first, then the
+   pairs that are apart still.
 
 Whether a pair may link is told by odd sketches: a differing shingle flips one bit, so more bits that differ than shingles
 may differ rule a link out; what passes is verified over the sets. All steps are exact, up to equal 64-bit digests.
@@ -175,25 +176,27 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose sizes and sketches allow a link. side: 0 and 1, two blocks to compare with
+def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components whose sizes and sketches allow a link, and the bits that differ. side: 0 and 1, two blocks to compare with
     each other, or 2 alone, one block with itself."""
     rows = _folded(sketches)
-    xs, ys = [], []
+    xs, ys, ds = [], [], []
     for i in np.flatnonzero(side != 1):
         other = side == 1 if side[i] == 0 else np.arange(len(fp)) > i
         at = np.flatnonzero(other & (comp != comp[i]) & (n * DEN >= n[i] * NUM) & (n[i] * DEN >= n * NUM))
         if len(at):
             differ = np.bitwise_count(rows[at] ^ rows[i]).sum(1, dtype=np.int64)
-            at = at[differ * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)]
+            ok = differ * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)
+            at = at[ok]
+            ds.append(differ[ok])
             xs.append(np.minimum(fp[at], fp[i]))
             ys.append(np.maximum(fp[at], fp[i]))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys]), np.concatenate([none, *ds])
 
 
 def _pairs_apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``placed`` (sig, fp, comp) that share a signature, not a component, and may link.
+    """Pairs (x, y) of ``placed`` (sig, fp, comp) that share a signature, not a component, and may link; d: bits that differ.
 
     A group is cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task: pairs are compared there by
     array arithmetic, and only those that may link come out as rows.
@@ -224,15 +227,31 @@ def _pairs_apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
         done = len(at) - 1 if last else len(at) - 2
         fp, comp, n, side = (t.column(c).to_numpy() for c in ("fp", "comp", "n", "side"))
         sketch = t.column("sketch").to_pylist()
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        xs, ys, ds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(at[:done].tolist(), at[1 : done + 1].tolist(), strict=True):
-            x, y = _near_in_group(fp[lo:hi], comp[lo:hi], n[lo:hi], side[lo:hi], sketch[lo:hi])
+            x, y, d = _near_in_group(fp[lo:hi], comp[lo:hi], n[lo:hi], side[lo:hi], sketch[lo:hi])
             xs.append(x)
             ys.append(y)
-        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"]), t.slice(int(at[done]))
+            ds.append(d)
+        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["x", "y", "d"]), t.slice(int(at[done]))
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    return rows.mapInArrow(run, "x long, y long, d long").groupBy("x", "y").agg(F.min("d").alias("d"))
+
+
+def _best_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of pairs (x, y, d), for each class and each other component the pair whose sketches differ least: x, y."""
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+    both = both.join(comp.select(F.col("fp").alias("y"), "comp"), "y", "left").withColumn("comp", F.coalesce("comp", "y"))
+    best = both.groupBy("x", "comp").agg(F.min(F.struct("d", "y")).alias("m"))
+    return best.select(F.least("x", "m.y").alias("x"), F.greatest("x", "m.y").alias("y")).distinct()
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (x, y, ...) of different components."""
+    for c in "xy":
+        pairs = pairs.join(comp.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
+    return pairs.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -259,7 +278,12 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFram
     comp = stage(_components(links), "star-components")
     placed = groups.select("sig", "fp").join(comp, "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
     rest = stage(_pairs_apart(placed, classes), "pairs")
-    return links.unionByName(_verified(docs, classes, rest, width))
+    # one link joins two components: the likeliest pairs first, then those that these leave apart
+    best = stage(_best_of(rest, comp), "best-pairs")
+    links = stage(links.unionByName(_verified(docs, classes, best, width)), "links-so-far")
+    comp = stage(_components(links), "components-so-far")
+    left = stage(_apart(rest, comp).join(best, ["x", "y"], "left_anti"), "pairs-left")
+    return links.unionByName(_verified(docs, classes, left, width))
 
 
 def ngram_components(docs: DataFrame, width: int = 5) -> DataFrame:
