@@ -2,17 +2,20 @@
 
 A text is its words, A-Z lower-cased, then one end. The root predicts by additive smoothing over all training words, with
 one place for all unknown ones. A state is a context of up to ``depth`` preceding symbols, the start of the text among
-them. Contexts and their successors are eligible from a count of max(``least_n``, ``least_p`` of all tokens) on, as the
-original algorithm asks for, so there are at most 1/least_p of them at each length, whatever the input. Each length is
-counted by one grouped aggregation over all training texts, of n-grams whose parts are eligible. A context is retained if
-its successors diverge from what its parent, the context less its first word, predicts (a likelihood-ratio test against
-its number of successors), or if a longer retained context needs it. Successors' probabilities are smoothed towards the
-parent's; all others share what is left, in proportion to the parent's, so each distribution sums to one. A word is
-predicted by its longest suffix state.
-
-Texts are scored where they are: a state's correction to the root is looked up in the tree, which is sent to all tasks, and
-the root's part in a table of at most ``common`` words, the most frequent. The other words are joined to the whole table of counts by
-hash, as (text, word, count) rows; frequent words, the skewed ones, aren't among them.
+them. Contexts and their successors are eligible from a count of ``least_n`` on, whatever the input, so what is gathered
+grows with it. Each length is counted by one grouped aggregation over all training texts, of n-grams whose parts are
+eligible. A context is retained if its successors diverge from what its parent, the context less its first word, predicts
+(a likelihood-ratio test against its number of successors), or if a longer retained context needs it. Successors'
+probabilities are smoothed towards the parent's; all others share what is left, in proportion to the parent's, so each
+distribution sums to one. A word is predicted by its longest suffix state.
+
+The tree is a table. What a state adds to its parent's prediction depends on the n-gram alone: so each n-gram of a text has
+one value (``values``), as a successor and as a context, and a text's states add the sum of them to the root. Tasks know
+the values of at most ``common`` n-grams, the most frequent, and the probabilities of as many words. The others are joined
+by hash to the whole tables, as (text, n-gram, times) rows; frequent ones, the skewed ones, aren't among them. n-grams that
+can't be in a table are left out before by a bitmap of fixed size, which may let others pass, but loses none.
+
+``Tree`` and ``grow`` are the same in the memory of one machine; the tests hold the table against them.
 
 Null texts are empty: they have the end alone. Null doc_ids train and aren't held out. Repeated rows count, and are
 returned, each. An empty table gives no rows. Words are told apart by 64-bit hashes.
@@ -29,12 +32,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import release, stage
+from ._shared import drop_stage, release, stage
 from ._text import Slice, slices
 
 #: Distinct keys that a task gathers before it gives them out.
 GATHERED = 1_000_000
 SHIFT = 22
+#: Hashes of a text's start and end.
+START, END = np.int64(0x5BD1E9955BD1E995), np.int64(0x1B8735939E3779B9)
+#: Bits of a bitmap of keys, and of each of its blocks.
+BITS, BLOCK = 1 << 27, 1 << 15
+#: Rows of a level up to which it is broadcast; beyond, joins with it are shuffled.
+ROWS = 300_000
 
 
 class Counter:
@@ -189,16 +198,15 @@ def _gram_counts(texts: DataFrame, tree: Broadcast, levels: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: float, depth: int = 3, least_p: float = 1e-6, least_n: int = 4, strength: float = 4.0) -> Tree:
-    """The tree of ``texts``; counts: key and n of their words."""
+def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: float, depth: int = 3, least_n: int = 4, strength: float = 4.0) -> Tree:
+    """The tree of ``texts`` in memory, for tables that fit there; counts: key and n of their words."""
     spark = texts.sparkSession
-    least = max(least_n, int(np.ceil(least_p * total)))
-    words = counts.where(F.col("n") >= least).toPandas().sort_values("key")  # at most 1/least_p rows
+    words = counts.where(F.col("n") >= least_n).toPandas().sort_values("key")
     count = np.concatenate((words["n"].to_numpy(np.int64), [ends, ends])).astype(float)
     tree = Tree(words["key"].to_numpy(np.int64), np.log10((count + 0.5) / scale), count)
     for d in range(depth):
         sent = spark.sparkContext.broadcast(tree)
-        grams = _gram_counts(texts, sent, d).where(F.col("n") >= least).toPandas()  # at most 1/least_p rows
+        grams = _gram_counts(texts, sent, d).where(F.col("n") >= least_n).toPandas()
         sent.unpersist()
         if not len(grams):
             break
@@ -208,8 +216,174 @@ def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: floa
     return tree
 
 
-def _text_sums(docs: DataFrame, tree: Broadcast, frequent: Broadcast, base_end: float, end_known: bool) -> DataFrame:
-    """Of each text: its words, and sums over its end, its frequent words and its states."""
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = seed + np.uint64(0x27D4EB2F165667C5 + 8)
+    h = h ^ (_rotl(x * np.uint64(0xC2B2AE3D27D4EB4F), 31) * np.uint64(0x9E3779B185EBCA87))
+    h = _rotl(h, 27) * np.uint64(0x9E3779B185EBCA87) + np.uint64(0x85EBCA77C2B2AE63)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(context, suffix): the key of an n-gram, from those of its two parts."""
+    seed = _hash_long(context.view(np.uint64), np.full(len(context), 42, np.uint64))
+    return _hash_long(suffix.view(np.uint64), seed).view(np.int64)
+
+
+def _levels(part: Slice, most: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The text of each symbol, start and end included; then of each length up to ``most`` the keys of the n-grams that end there, and whether there is one."""
+    h, doc = _words(part)
+    n = np.bincount(doc, minlength=part.n)
+    first = np.cumsum(n + 2) - (n + 2)
+    owner = np.repeat(np.arange(part.n), n + 2)
+    symbol = np.empty(len(owner), np.int64)
+    symbol[np.arange(len(h)) + 2 * doc + 1] = h
+    symbol[first], symbol[first + n + 1] = START, END
+    keys, ok = [symbol], [np.ones(len(owner), bool)]
+    inside = np.ones(len(owner), bool)
+    inside[first] = False  # the start has nothing before it
+    for _ in range(most - 1):
+        keys.append(np.concatenate((keys[-1][:1], pair_keys(keys[-1][:-1], keys[-1][1:]))))
+        ok.append(inside & ok[-1] & np.concatenate(([False], ok[-1][:-1])))
+    return owner, keys, ok
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bits of ``keys`` (key): BITS of them, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 8, np.uint8)
+        for b in batches:
+            at = b.column("key").to_numpy() & (BITS - 1)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        bits = bits.reshape(-1, BLOCK // 8)
+        for i in np.flatnonzero(bits.any(1)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([int(i)], pa.int32()), "bits": pa.array([bits[i].tobytes()], pa.binary())})
+
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.shiftright(F.col("key").bitwiseAND(F.lit(BITS - 1)), BLOCK.bit_length() - 1)
+    out = np.zeros((BITS // BLOCK, BLOCK // 8), np.uint8)
+    for r in keys.select("key").repartition(n, block).mapInArrow(run, "block int, bits binary").collect():  # at most BITS / BLOCK rows
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
+    """ctx, suf and n of n-grams of a length, of all whose context and suffix are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for b in batches:
+            for part in slices(b.column("text")):
+                _, keys, ok = _levels(part, length - 1)
+                below, fits = keys[-1], ok[-1] & _has(bits, keys[-1])
+                at = np.flatnonzero(fits[:-1] & fits[1:] & (keys[0][1:] != START)) + 1
+                _, first, n = np.unique(pair_keys(below[at - 1], below[at]), return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(below[at - 1]), pa.array(below[at]), pa.array(n)], ["ctx", "suf", "n"])
+
+    return texts.select("text").mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table, with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.count() <= ROWS else df
+
+
+def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth: int = 3, least_n: int = 4, strength: float = 4.0) -> DataFrame:
+    """The tree as a table: key, n and value of each n-gram that adds something to the root's log10 probability.
+
+    counts: key and n of the words of ``texts``.
+    """
+    spark = texts.sparkSession
+    marks = spark.createDataFrame([(int(START), ends), (int(END), ends)], "key long, n long")
+    words = counts.where(F.col("n") >= least_n).unionByName(marks.where("n > 0"))
+    levels, contexts = [stage(words.select("key", "n", ((F.col("n") + 0.5) / F.lit(scale)).alias("p")), "tree-words")], []
+    for length in range(2, depth + 2):
+        below = levels[-1]
+        sent = spark.sparkContext.broadcast(_bitmap(below))
+        found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
+        sent.unpersist()
+        release(spark)
+        below = _small(below)
+        n, c, above = F.col("n"), F.col("c"), F.col("above")
+        grams = found.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("p").alias("above")), "suf")
+        grams = grams.select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "suf", "n", "c", "above", ((n + strength * above) / (c + strength)).alias("p"))
+        grams = stage(grams, "tree-grams")
+        sums = grams.groupBy("ctx").agg(F.max("c").alias("c"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("above").alias("above"), F.count("*").alias("kinds"), F.sum(n * F.log(n / c / above)).alias("gain"))
+        other, left_above = F.greatest(c - n, F.lit(0)), F.greatest(1 - above, F.lit(1e-12))
+        ratio = 2 * (F.col("gain") + F.when(other > 0, other * F.log(other / c / left_above)).otherwise(0.0))
+        kinds = F.col("kinds")
+        rest = F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)) / left_above)
+        contexts.append(stage(sums.select("ctx", "c", rest.alias("rest"), (ratio >= kinds + 4 * F.sqrt(2 * kinds) + 10).alias("own")), "tree-contexts"))
+        levels.append(grams)
+        release(spark)
+
+    out, needed = [], None
+    for at in range(depth - 1, -1, -1):
+        kept = contexts[at].where("own").select("ctx")
+        kept = kept if needed is None else kept.unionByName(needed).distinct()
+        kept = stage(contexts[at].join(kept, "ctx", "left_semi").select("ctx", "c", "rest"), "tree-kept")
+        if at:  # the parents of what is kept
+            needed = _small(kept).join(levels[at].select(F.col("key").alias("ctx"), "suf"), "ctx").select(F.col("suf").alias("ctx")).distinct()
+        out.append(kept.select(F.col("ctx").alias("key"), F.col("c").alias("n"), F.col("rest").alias("value")))
+        own = levels[at + 1].drop("c").join(_small(kept.select("ctx", "rest")), "ctx")
+        out.append(own.select("key", "n", (F.log10(F.col("p") / F.col("above")) - F.col("rest")).alias("value")))
+    both = out[0]
+    for x in out[1:]:
+        both = both.unionByName(x)
+    both = stage(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "tree-values")
+    for x in (*levels, *contexts):
+        drop_stage(x)
+    release(spark)
+    return both
+
+
+def _gains(docs: DataFrame, tree: DataFrame, common: int, most: int) -> DataFrame:
+    """row and gain, what the states add to each text, times the number of equal rows."""
+    top = _most_frequent(tree, common).toPandas().sort_values("key")
+    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["value"].to_numpy(float), _bitmap(tree)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, worth, bits = sent.value
+        for b in batches:
+            row = b.column("row").to_numpy()
+            for part in slices(b.column("text")):
+                owner, keys, ok = _levels(part, most)
+                own, total = row[part.lo : part.hi], np.zeros(part.n)
+                for k, fits in zip(keys, ok, strict=True):
+                    at = np.flatnonzero(fits & _has(bits, k))
+                    place = _find(known, k[at])
+                    hit = place >= 0
+                    total += np.bincount(owner[at[hit]], weights=worth[place[hit]], minlength=part.n)
+                    at = at[~hit]
+                    order = at[np.lexsort((k[at], owner[at]))]
+                    h, doc = k[order], owner[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    first = np.flatnonzero(new)
+                    times = np.diff(np.append(first, len(h))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[doc[first]]), pa.array(h[first]), pa.array(times), pa.array(np.zeros(len(first)))], ["row", "key", "times", "gain"])
+                # what is summed already; its key is any, as it is taken no times
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.zeros(part.n, np.int32)), pa.array(total)], ["row", "key", "times", "gain"])
+
+    rows = docs.select("row", "text").mapInArrow(run, "row long, key long, times int, gain double")
+    rows = rows.join(tree.select("key", "value"), "key", "left")
+    return rows.groupBy("row").agg(F.sum(F.col("gain") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("gain"))
+
+
+def _text_sums(docs: DataFrame, frequent: Broadcast, base_end: float, end_known: bool) -> DataFrame:
+    """Of each text: its words, and sums over its end and its frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, base = frequent.value
@@ -220,10 +394,10 @@ def _text_sums(docs: DataFrame, tree: Broadcast, frequent: Broadcast, base_end:
                 hit = at >= 0
                 known = np.bincount(doc[hit], minlength=part.n) + int(end_known)
                 sums = np.bincount(doc[hit], weights=base[at[hit]], minlength=part.n) + base_end
-                cols = [b.column("row").slice(part.lo, part.n), b.column("doc_id").slice(part.lo, part.n), pa.array(np.bincount(doc, minlength=part.n) + 1), pa.array(known), pa.array(sums), pa.array(tree.value.gains(part))]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base", "gain"])
+                cols = [b.column("row").slice(part.lo, part.n), b.column("doc_id").slice(part.lo, part.n), pa.array(np.bincount(doc, minlength=part.n) + 1), pa.array(known), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, gain double")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double")
 
 
 def _rare_words(docs: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -257,7 +431,7 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(1 << least))
 
 
-def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, least_p: float = 1e-6) -> DataFrame:
+def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, least_n: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``train`` is a condition on doc_id that says which rows to learn from. base_score is the root's alone.
@@ -271,18 +445,18 @@ def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, l
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = int(total) + ends, int(kinds) + (ends > 0)
     scale = total + 0.5 * (kinds + 1)
-    tree = grow(learnt, counts, ends, total, scale, depth, least_p)
+    tree = values(learnt, counts, ends, scale, depth, least_n)
 
     top = _most_frequent(counts, common).toPandas().sort_values("key")
     frequent = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.log10((top["n"].to_numpy(float) + 0.5) / scale)))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    near = _text_sums(docs, spark.sparkContext.broadcast(tree), frequent, float(np.log10((ends + 0.5) / scale)), ends > 0)
+    near = _text_sums(docs, frequent, float(np.log10((ends + 0.5) / scale)), ends > 0)
     # equal rows share a key: one stands for all
-    near = near.groupBy("row", "doc_id").agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
+    near = near.groupBy("row", "doc_id").agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base")))
     n = F.coalesce("n", F.lit(0))
     far = _rare_words(docs, frequent).join(counts, "key", "left")
     far = far.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(scale))).alias("rare"))
-    both = near.join(far, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    both = near.join(far, "row", "left").join(_gains(docs, tree, common, depth + 1), "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     base = F.col("base") + F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0))
     known = F.col("n_known") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))
-    return both.select("doc_id", (~train).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return both.select("doc_id", (~train).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") / F.col("copies")).alias("score"))

@@ -232,6 +232,38 @@ def test_suffix_tree_distributions_sum_to_one(spark):
                 assert p.sum() + unseen * 10 ** tree.rest[0][context] == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_table_equals_tree_in_memory(spark):
+    from lodestone.llm._text import slices
+    from lodestone.llm.suffix_tree import grow, pair_keys, word_counts
+
+    ab = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (2, 50))
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in ab.T], "a long, b long")
+    assert [r[0] for r in pairs.select(F.xxhash64("a", "b")).collect()] == pair_keys(ab[0].copy(), ab[1].copy()).tolist()
+    rng = random.Random(5)
+    parts = ["the old harbour clock", "clock struck nine", "nine and nobody looked up", "up the hill", "x", "y z"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)] + [""]
+    docs = frame(spark, texts)
+    counts = word_counts(docs)
+    total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
+    total, kinds = total + len(texts), kinds + 1
+    tree = grow(docs, counts, len(texts), total, total + 0.5 * (kinds + 1))
+    assert all(k.any() for k in tree.kept) and len(tree.kept) == 3
+    import pyarrow as pa
+
+    want = np.concatenate([tree.gains(part) for part in slices(pa.array(texts))])
+    for common in (0, 20, 262_144):
+        got = {r["doc_id"]: r["score"] - r["base_score"] for r in score_texts(docs, F.lit(True), common).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_suffix_tree_keeps_contexts_of_large_inputs(spark):
+    """A phrase of ten times keeps its states among 12 million other words."""
+    filler = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("f"), (i + F.col("id")) % 7)))
+    docs = spark.range(600).select("id", filler.alias("text")).unionByName(spark.range(1000, 1010).select("id", F.lit("zinc yarrow xylem").alias("text"))).withColumnRenamed("id", "doc_id")
+    got = score_texts(docs, F.lit(True)).where("doc_id = 1000").first()
+    assert got["score"] > got["base_score"] + 5
+
+
 def test_suffix_tree_of_nothing(spark):
     assert score_texts(frame(spark, []), F.lit(True)).count() == 0
     assert score_texts(frame(spark, ["a b"]), F.lit(False)).first()["n_known"] == 0
