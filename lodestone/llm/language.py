@@ -1,7 +1,7 @@
 """Language ID (operator 6): Bayesian fusion of a text's likelihood with what its page and its host say.
 
 - Text: likelihoods of hashed byte trigrams, letters only, under a profile of each language, counted by a grouped
-  aggregation over labelled texts. What a text can say is limited to ``evidence`` trigrams, since trigrams aren't independent.
+  aggregation over labelled texts, for every label (its language, so en-US and en-GB are one). What a text can say is limited to ``evidence`` trigrams, since trigrams aren't independent.
 - Markup: the declared language, through the probability that pages in a language declare it, estimated by a grouped
   aggregation with a prior that favours the truth.
 - Address: the prior of a host is its pages' languages, smoothed towards its address suffix's, and that towards all
@@ -23,9 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stage
-from ._text import LOWER, Slice, slices
+from ._text import LOWER, Slice, ragged, slices
 
 BUCKETS = 1 << 16
+#: Languages that a task counts in whole arrays before it gives them out; likelihoods that are expanded at once.
+AT_ONCE, EXPANDED = 64, 1 << 22
+#: Declarations, the most frequent, that go out to all tasks; the others, the rare ones, are joined.
+FREQUENT = 1024
 UND = "und"
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[65:91] = _LETTERS[97:123] = np.arange(97, 123)
@@ -45,43 +49,82 @@ def _trigrams(part: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Profiles:
-    """Languages, ``und`` last, and log probabilities of buckets, a row each."""
+    """Languages, ``und`` last, with sparse log probabilities of buckets.
+
+    base: of each language, of a bucket that it doesn't have; gain: what those that it has add to that, by bucket, from
+    starts[bucket] on, each with the place of its language.
+    """
 
     languages: list[str]
-    logs: np.ndarray
+    base: np.ndarray
+    starts: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
 
     def likelihoods(self, part: Slice, evidence: int) -> np.ndarray:
         """Log likelihood of each text under each language, scaled to at most ``evidence`` trigrams."""
         doc, t = _trigrams(part)
-        n = np.bincount(doc, minlength=part.n)
-        out = np.stack([np.bincount(doc, weights=row[t], minlength=part.n) for row in self.logs], 1)
+        n, k = np.bincount(doc, minlength=part.n), len(self.languages)
+        out = n[:, None] * self.base
+        size = self.starts[t + 1] - self.starts[t]
+        # blocks of whole trigrams, so that what they expand to stays bounded
+        cuts = np.searchsorted(np.cumsum(size), np.arange(EXPANDED, size.sum() + EXPANDED, EXPANDED), "right")
+        for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(t)), strict=True):
+            if lo < hi:
+                at, first, last = ragged(self.starts[t[lo:hi]], size[lo:hi]), doc[lo], doc[hi - 1] + 1
+                cell = np.repeat(doc[lo:hi] - first, size[lo:hi]) * k + self.language[at]
+                out[first:last] += np.bincount(cell, weights=self.gain[at], minlength=(last - first) * k).reshape(-1, k)
         return out * (np.minimum(n, evidence) / np.maximum(n, 1))[:, None]
 
 
-def fit_profiles(labelled: DataFrame, max_languages: int = 64) -> Profiles:
-    """Profiles of the ``max_languages`` most frequent languages of ``labelled`` (text, lang); at most that many times 65,536 counts reach the driver."""
-    named = labelled.where("lang IS NOT NULL").select("text", F.lower("lang").alias("lang"))
-    languages = sorted(r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+def primary(tag):
+    """The language of a tag, lower-cased, without region or script; tags of another form are kept whole. Null for blank ones."""
+    letters = F.regexp_extract(tag, r"^\s*([A-Za-z]+)", 1)
+    name = F.lower(F.when(letters != "", letters).otherwise(F.trim(tag)))
+    return F.when(name != "", name)
+
+
+def fit_profiles(labelled: DataFrame) -> Profiles:
+    """Profiles of all languages of ``labelled`` (text, lang); each's distinct trigrams, at most 65,536 counts, reach the driver."""
+    named = labelled.select("text", primary(F.col("lang")).alias("lang")).where("lang IS NOT NULL")
+    languages = sorted(r["lang"] for r in named.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
+        total = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at + i * BUCKETS), pa.array(n[at])], ["at", "n"])
+            total.clear()
+
         for b in batches:
-            of = np.array([place.get(x, -1) for x in b.column("lang").to_pylist()], np.int64)
+            of = np.array([place[x] for x in b.column("lang").to_pylist()], np.int64)
             for part in slices(b.column("text")):
                 doc, t = _trigrams(part)
-                own = of[part.lo : part.hi][doc]
-                total += np.bincount((own * BUCKETS + t)[own >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    logs = np.zeros((len(languages) + 1, BUCKETS))
-    logs[-1] = -np.log(BUCKETS)
+                here, own = np.unique(of[part.lo : part.hi], return_inverse=True)
+                own = own[doc]
+                for lo in range(0, len(here), AT_ONCE):
+                    some = slice(None) if len(here) <= AT_ONCE else (own >= lo) & (own < lo + AT_ONCE)
+                    group = here[lo : lo + AT_ONCE]
+                    n = np.bincount((own[some] - lo) * BUCKETS + t[some], minlength=len(group) * BUCKETS).reshape(-1, BUCKETS)
+                    for i, x in zip(group.tolist(), n, strict=True):
+                        total[i] = total[i] + x if i in total else x.copy()
+                    if len(total) > AT_ONCE:
+                        yield from out()
+        yield from out()
+
+    at, n = np.zeros(0, np.int64), np.zeros(0)
     if languages:
         got = named.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        n = np.bincount(got["at"], weights=got["n"], minlength=len(languages) * BUCKETS).reshape(-1, BUCKETS) + 0.01
-        logs[:-1] = np.log(n / n.sum(1, keepdims=True))
-    return Profiles([*languages, UND], logs)
+        at, n = got["at"].to_numpy(np.int64), got["n"].to_numpy(float)
+    order = np.lexsort((at // BUCKETS, at % BUCKETS))
+    at, n = at[order], n[order]
+    total = np.bincount(at // BUCKETS, weights=n, minlength=len(languages)) + 0.01 * BUCKETS
+    base = np.append(np.log(0.01 / total), -np.log(BUCKETS))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(at % BUCKETS, minlength=BUCKETS))))
+    return Profiles([*languages, UND], base, starts, at // BUCKETS, np.log((n + 0.01) / 0.01))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -105,9 +148,9 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
                 z[:, -1] += np.log(und_prior)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(part.lo, part.n) for c in ("id", "declared", "host")), pa.array(list(z), pa.list_(pa.float64()))], ["id", "declared", "host", "z"])
 
-    declared = F.lower(F.regexp_extract(F.col("declared"), r"^\s*([A-Za-z]+)", 1))
+    declared = primary(F.col("declared"))
     host = F.regexp_replace(F.lower("host"), r":\d*$", "")
-    given = rows.select("id", "text", F.when(declared != "", declared).alias("declared"), F.when(host != "", host).alias("host"))
+    given = rows.select("id", "text", declared.alias("declared"), F.when(host != "", host).alias("host"))
     kind = dict(given.dtypes)["id"]
     seen = stage(given.mapInArrow(text, f"id {kind}, declared string, host string, z array<double>"), "text-likelihoods")
     seen = seen.withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
@@ -119,22 +162,42 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
 
     # declarations: soft counts of (language by text, declared)
     soft = seen.where("declared IS NOT NULL").withColumn("p", posterior(F.col("z")))
-    counts = {r["declared"]: [r[f"c{i}"] for i in range(k)] for r in soft.groupBy("declared").agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(k))).orderBy(F.desc("n"), "declared").limit(1024).collect()}
-    labels = sorted(counts)
-    n = np.array([counts[d] for d in labels]).reshape(-1, k).T  # language by declaration
-    prior = np.full(n.shape, 0.1 / max(1, len(labels))) + 0.9 * np.array([[float(d == x) for d in labels] for x in names]).reshape(n.shape)
-    prior[-1] = 1 / max(1, len(labels))
-    said = np.log((n + trust * prior) / (n.sum(1, keepdims=True) + trust)) if labels else n
-    spoken = {d: said[:, j].tolist() for j, d in enumerate(labels)}
+    counts = soft.groupBy("declared").agg(F.count("*").alias("n"), *(F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(k)))
+    counts = stage(counts.select("declared", "n", F.array(*(F.col(f"c{i}") for i in range(k))).alias("c")), "declarations")
+    kinds, *whole = counts.agg(F.count("*"), *(F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)) for i in range(k))).first()
+    whole = np.array(whole)
+
+    def said(labels: list[str], n: np.ndarray) -> np.ndarray:
+        """Of each declaration: the log probability that pages in each language give it."""
+        prior = 0.1 / kinds + 0.9 * np.array([[float(d == x) for x in names] for d in labels]).reshape(n.shape)
+        prior[:, -1] = 1 / kinds
+        return np.log((n + trust * prior) / (whole + trust))
+
+    top = {r["declared"]: r["c"] for r in counts.orderBy(F.desc("n"), "declared").limit(FREQUENT).collect()}
+    spoken = dict(zip(top, said(list(top), np.array(list(top.values()))).tolist(), strict=True)) if top else {}
+    seen = seen.withColumn("said", F.lit(None).cast("array<double>"))
+    if kinds > FREQUENT:
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                labels = b.column("declared").to_pylist()
+                if labels:
+                    n = b.column("c").flatten().to_numpy().reshape(-1, k)
+                    yield pa.RecordBatch.from_arrays([b.column("declared"), pa.array(list(said(labels, n)), pa.list_(pa.float64()))], ["declared", "said"])
+
+        is_rare = F.coalesce(~F.col("declared").isin(list(top)), F.lit(False))
+        others = counts.where(is_rare).select("declared", "c").mapInArrow(rare, "declared string, said array<double>")
+        seen = seen.where(~is_rare).unionByName(seen.where(is_rare).drop("said").join(others, "declared", "left"))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = b.column("z").flatten().to_numpy().reshape(-1, k)
-            z = z + np.array([spoken.get(d, [0.0] * k) for d in b.column("declared").to_pylist()]).reshape(-1, k)
+            none = [0.0] * k
+            z = z + np.array([x or spoken.get(d, none) for d, x in zip(b.column("declared").to_pylist(), b.column("said").to_pylist(), strict=True)]).reshape(-1, k)
             keep = [c for c in ("id", "declared", "host", "suffix", "z")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(list(z), pa.list_(pa.float64())), pa.array(list(_softmax(z)), pa.list_(pa.float64()))], [*keep, "y", "p"])
 
-    page = seen.select("id", "declared", "host", "suffix", "z").mapInArrow(fuse, f"id {kind}, declared string, host string, suffix string, z array<double>, y array<double>, p array<double>")
+    page = seen.select("id", "declared", "host", "suffix", "z", "said").mapInArrow(fuse, f"id {kind}, declared string, host string, suffix string, z array<double>, y array<double>, p array<double>")
     page = stage(page, "page-posteriors")
     sums = lambda tag: [F.sum(F.col("p")[i]).alias(f"{tag}{i}") for i in range(k)]
     vector = lambda tag: F.array(*(F.col(f"{tag}{i}") for i in range(k)))

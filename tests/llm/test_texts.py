@@ -365,6 +365,27 @@ def test_language(spark):
     assert identify(odd, fit_profiles(docs.limit(0))).where("lang = 'und'").count() == 4
 
 
+def test_language_has_no_cap_on_labels_or_declarations(spark):
+    """Ninety languages, one of two regions, and more declarations than go out to all tasks."""
+    rng = random.Random(9)
+    tags = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    stems = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for x in tags}
+    rows = [(i, " ".join(rng.choices(stems[x], k=20)), x.upper() + ("-GB" if i % 2 else "_US"), None) for i, x in enumerate(tags * 2 + tags[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    profiles = fit_profiles(docs)
+    assert profiles.languages == [*tags, "und"]
+    others = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(1500)]
+    many = spark.createDataFrame([(1000 + i, rows[i % 90][1], x, None) for i, x in enumerate(others)], "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in identify(document_rows(docs.unionByName(many)), profiles).collect()}
+    assert len(got) == 1700
+    assert all((got[i]["text_lang"], got[i]["lang"], got[i]["declared"]) == (tags[i % 90],) * 3 for i in range(180))
+    # the same texts with rare declarations: these are evidence as the frequent ones are
+    assert all(got[1000 + i]["lang"] == tags[i % 90] for i in range(1500))
+    empty = spark.createDataFrame([(5000 + i, "", x, None) for i, x in enumerate([*others, *tags, *tags])], "doc_id long, text string, lang string, source string")
+    told = {r["declared"]: r["lang"] for r in identify(document_rows(empty), profiles).collect()}
+    assert len(told) == 1590 and all(told[x] == x for x in tags)
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "https://u@x.example.org:8080/p?q", "<HTML dir=ltr lang='fr-CA'><script>var a='<p>';</script><!-- c --><p>Bonjour &amp; toi</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = page_rows(pages).orderBy("id").collect()
