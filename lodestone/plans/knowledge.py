@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.config import DEFAULT
 from lodestone.functions import tokens
 from lodestone.operators import chunking as C
 from lodestone.operators import knowledge as K
@@ -27,7 +30,8 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, parent, leaf, CAST(i - 1 AS INTEGER) AS ord, s[i] AS text FROM (SELECT doc_id, parent, leaf, {SENTENCES} AS s, unnest(range(1, least(7, len({SENTENCES})) + 1)) AS i FROM ({LEAVES}))")
 def propositions(spark: SparkSession, sf: str) -> DataFrame:
-    return K.propositions(C.leaves(C.parents(load(spark, sf, "documents"))))
+    """The first seven of each leaf, as the SQL has it; the operator gives all."""
+    return K.propositions(C.leaves(C.parents(load(spark, sf, "documents"))), replace(DEFAULT, max_propositions=7))
 
 
 @query(f"WITH {RELATIONS} SELECT doc_id, pos, subject, relation, object FROM rel")
@@ -99,7 +103,8 @@ def classify_complexity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS part, p[i] AS question FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, CASE WHEN len({SENTENCES}) > 0 THEN {SENTENCES}[1:4] ELSE [text] END AS p FROM conversations WHERE role = 'user'))")
 def decompose_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(OFFLINE.decompose(F.col("text"))).alias("part", "question"))
+    """The first four parts of each turn, as the SQL has it; the provider gives all."""
+    return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(OFFLINE.decompose(F.col("text"), 4)).alias("part", "question"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -113,10 +118,6 @@ SELECT q.vec_id AS qid, e.vec_id AS entry, round({COSINE.format('q.embedding', '
 WHERE q.vec_id % 100 = 0 AND e.vec_id * 60 > 3600) WHERE similarity >= 0.3 GROUP BY qid""")
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as cached questions, a minute apart; labels as collections; a threshold that these vectors can meet."""
-    from dataclasses import replace
-
-    from lodestone.config import DEFAULT
-
     v = load(spark, sf, "embeddings")
     entries = v.select(F.col("vec_id").alias("entry"), F.col("label").alias("collection"), "embedding", (F.col("vec_id") * 60).alias("expires_at"))
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("collection"), F.col("embedding").alias("q"))

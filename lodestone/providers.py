@@ -28,8 +28,9 @@ class Offline:
 
     name = "offline"
 
-    def propositions(self, text: Column, most: int) -> Column:
-        return F.slice(sentences(text), 1, most)
+    def propositions(self, text: Column, most: int | None = None) -> Column:
+        """All sentences; the first ``most`` where that is given."""
+        return sentences(text) if most is None else F.slice(sentences(text), 1, most)
 
     def triples(self, sentence: Column) -> Column:
         """[subject, relation, object]: a sentence's first three words without punctuation; null for shorter ones."""
@@ -40,9 +41,9 @@ class Offline:
         n = F.size(tokens(question))
         return F.when(n <= 8, "simple").when(n <= 24, "moderate").otherwise("complex")
 
-    def decompose(self, question: Column) -> Column:
-        """Up to four parts: the question's sentences; the question itself where there is none."""
-        parts = F.slice(sentences(question), 1, 4)
+    def decompose(self, question: Column, most: int | None = None) -> Column:
+        """The question's sentences, the first ``most`` where that is given; the question itself where there is none."""
+        parts = sentences(question) if most is None else F.slice(sentences(question), 1, most)
         return F.when(F.size(parts) > 0, parts).otherwise(F.array(question))
 
     def containment(self, inner: Column, outer: Column) -> Column:

@@ -222,3 +222,10 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema(pages.schema).parquet(f"{tmp_path}/in")
         ingest_pages(stream, f"{tmp_path}/out", f"{tmp_path}/check{k}", "c")
     assert [r["slug"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a"]
+
+
+def test_all_statements_and_parts_are_kept(spark):
+    text = " ".join(f"Sentence number {i} is here." for i in range(12))
+    leaf = spark.createDataFrame([(1, 0, 0, text)], "doc_id long, parent int, leaf int, text string")
+    assert [r["ord"] for r in K.propositions(leaf).orderBy("ord").collect()] == list(range(12))
+    assert len(values(spark, OFFLINE.decompose, [text])[0]) == 12
