@@ -13,7 +13,8 @@ The dimensions are cut into m lists. A vector's score in a list is its partial i
 Components become floor(scale * x), computed in 64-bit floats, in which all sums here are exact integers. Vectors that are
 null, empty or hold null or non-finite components, and rows with a null id, take no part. Vectors of another length than
 the query's have no inner product with it and aren't its candidates. Repeated ids are separate rows, but none is a
-candidate for a query of its own id. Fewer than k candidates are returned all; an empty table gives no rows.
+candidate for a query of its own id. All query rows of an id are asked and share one list, as in the SQL, and one cutoff,
+the k-th best of what any of them found: it is safe for each. Fewer than k candidates are returned all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def _hits(q: list, v: list, s: list) -> pa.RecordBatch:
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query; both tables as ``quantised`` gives them."""
     blocks = stage(_packed(rows, "r", ROWS), "row-blocks")
-    asked = stage(_packed(queries.dropDuplicates(["id"]), "q", QUERIES), "query-blocks")
+    asked = stage(_packed(queries, "q", QUERIES), "query-blocks")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a stated query set against all rows, in blocks: one row here is 4096 x 1024 pairs
     pairs = blocks.join(asked, "dim").repartition(n, "r", "q")
@@ -115,7 +116,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, lists: int = LI
     cutoff = _ranked(local, k).groupBy("query_id").agg(F.min("score").alias("t"), F.count("*").alias("n"))
     # without k entries yet, nothing is below the cutoff
     cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("t")).alias("t"))
-    known = queries.dropDuplicates(["id"]).join(cutoff, "id", "left").select("id", "dim", F.concat("v", F.array(F.coalesce("t", F.lit(-(2**62))))).alias("v"), F.col("dim").alias("own"))
+    known = queries.join(cutoff, "id", "left").select("id", "dim", F.concat("v", F.array(F.coalesce("t", F.lit(-(2**62))))).alias("v"), F.col("dim").alias("own"))
     sent = stage(_packed(known.select("id", (F.col("own") + 1).alias("dim"), "v"), "q", QUERIES).withColumn("dim", F.col("dim") - 1), "query-cutoffs")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

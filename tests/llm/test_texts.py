@@ -287,6 +287,19 @@ def test_exact_top_k(spark):
         assert sorted(got.get(q, [])) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
 
 
+def test_exact_top_k_asks_all_rows_of_a_repeated_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 9, 8).astype(float).tolist()) for i in range(120)]
+    rows += [(50, rng.integers(-9, 9, 8).astype(float).tolist()) for _ in range(6)] + [rows[100]]
+    data = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), scale=1)
+    got = sorted(tuple(r) for r in exact_top_k(data, data.where("id % 50 = 0"), 5).collect())
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-int(np.dot(a, b)), j) for i, a in rows if i == q for j, b in rows if j != q)[:5]
+        want += [(q, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    assert got == want
+
+
 def test_exact_top_k_of_few(spark):
     data = quantised(spark.createDataFrame([(0, [1.0, -1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in exact_top_k(data, data.where("id = 0")).collect()] == [(0, 1, 1, 0)]
