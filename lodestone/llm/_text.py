@@ -16,6 +16,10 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _power: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
+#: Powers that a worker keeps: enough for a slice of ``SLICE`` bytes.
+SLICE = 1 << 20
+KEEP = SLICE + 1
+
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,13 +28,16 @@ LOWER[65:91] += 32
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_power[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(n, base, U64)
-            x[0] = 1
-            _power[k] = np.cumprod(x)
-    return _power[0][:n], _power[1][:n]
+    if len(_power[0]) >= n:
+        return _power[0][:n], _power[1][:n]
+    made = []
+    for base in (_P, _P_INV):
+        x = np.full(max(n, KEEP), base, U64)
+        x[0] = 1
+        made.append(np.cumprod(x))
+    if len(made[0]) <= KEEP:  # those of one long text are made anew
+        _power[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,7 +99,7 @@ class Slice:
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[Slice]:
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[Slice]:
     """Slices of at most ``most`` bytes, or of one longer text. Null texts count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

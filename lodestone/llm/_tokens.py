@@ -21,8 +21,8 @@ _PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
 _MAYBE_WHITE = np.zeros(256, bool)
 _MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
-#: Entries that a worker keeps, and bytes of the longest chunk it keeps.
-KEPT, KEPT_BYTES = 2_000_000, 48
+#: Entries that a task keeps, some 20 MB, and bytes of the longest chunk it keeps.
+KEPT, KEPT_BYTES = 400_000, 48
 
 
 class ChunkCodec:
@@ -30,9 +30,9 @@ class ChunkCodec:
 
     def __init__(self, encode: Callable[[list[bytes]], list]):
         self.encode = encode
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -43,7 +43,7 @@ class ChunkCodec:
         h = part.hashes(starts, ends)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT:
-            self._clear()
+            self.clear()
         place = np.searchsorted(self.keys, keys)
         known = place < len(self.keys)
         known[known] = self.keys[place[known]] == keys[known]
@@ -185,7 +185,15 @@ _codecs: dict[str, TextCodec] = {}
 
 
 def codec(path: str) -> TextCodec:
-    """The worker's codec of a file; it and what it has encoded outlive the task."""
+    """The worker's codec of a file; it outlives the task, what it has encoded doesn't."""
     if path not in _codecs:
         _codecs[path] = TextCodec(path)
     return _codecs[path]
+
+
+def forget(codecs: bool) -> None:
+    """Drop what was encoded; without ``codecs``, the codecs too."""
+    for c in _codecs.values():
+        c.chunks.clear()
+    if not codecs:
+        _codecs.clear()

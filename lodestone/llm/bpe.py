@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import in_arrow
 from ._text import slices
 from ._tokens import TextCodec
 
@@ -183,6 +184,15 @@ def _codec(path: str) -> SpeculativeBPE:
     return _own[path]
 
 
+def forget(codecs: bool) -> None:
+    """Drop what was encoded; without ``codecs``, the codecs too."""
+    for c in _own.values():
+        c.chunks.clear()
+        c.words.clear()
+    if not codecs:
+        _own.clear()
+
+
 def _each(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, memoryview, np.ndarray]]:
     codec = _codec(tokenizer)
     for b in batches:
@@ -201,7 +211,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             out = [str(text[a : max(a, z - 1)], "utf-8") for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, ENCODED, True)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -214,4 +224,4 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             d = [hashlib.sha256(text[x : max(x, y - 1)]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(ends), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, DIGESTS, True)

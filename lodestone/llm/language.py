@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import in_arrow, stage
 from ._text import LOWER, Slice, ragged, slices
 
 BUCKETS = 1 << 16
@@ -117,7 +117,7 @@ def fit_profiles(labelled: DataFrame) -> Profiles:
 
     at, n = np.zeros(0, np.int64), np.zeros(0)
     if languages:
-        got = named.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        got = named.transform(in_arrow, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         at, n = got["at"].to_numpy(np.int64), got["n"].to_numpy(float)
     order = np.lexsort((at // BUCKETS, at % BUCKETS))
     at, n = at[order], n[order]
@@ -152,7 +152,7 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
     host = F.regexp_replace(F.lower("host"), r":\d*$", "")
     given = rows.select("id", "text", declared.alias("declared"), F.when(host != "", host).alias("host"))
     kind = dict(given.dtypes)["id"]
-    seen = stage(given.mapInArrow(text, f"id {kind}, declared string, host string, z array<double>"), "text-likelihoods")
+    seen = stage(given.transform(in_arrow, text, f"id {kind}, declared string, host string, z array<double>"), "text-likelihoods")
     seen = seen.withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)))
 
     def posterior(z):
@@ -186,7 +186,7 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
                     yield pa.RecordBatch.from_arrays([b.column("declared"), pa.array(list(said(labels, n)), pa.list_(pa.float64()))], ["declared", "said"])
 
         is_rare = F.coalesce(~F.col("declared").isin(list(top)), F.lit(False))
-        others = counts.where(is_rare).select("declared", "c").mapInArrow(rare, "declared string, said array<double>")
+        others = counts.where(is_rare).select("declared", "c").transform(in_arrow, rare, "declared string, said array<double>")
         seen = seen.where(~is_rare).unionByName(seen.where(is_rare).drop("said").join(others, "declared", "left"))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
             keep = [c for c in ("id", "declared", "host", "suffix", "z")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(list(z), pa.list_(pa.float64())), pa.array(list(_softmax(z)), pa.list_(pa.float64()))], [*keep, "y", "p"])
 
-    page = seen.select("id", "declared", "host", "suffix", "z", "said").mapInArrow(fuse, f"id {kind}, declared string, host string, suffix string, z array<double>, y array<double>, p array<double>")
+    page = seen.select("id", "declared", "host", "suffix", "z", "said").transform(in_arrow, fuse, f"id {kind}, declared string, host string, suffix string, z array<double>, y array<double>, p array<double>")
     page = stage(page, "page-posteriors")
     sums = lambda tag: [F.sum(F.col("p")[i]).alias(f"{tag}{i}") for i in range(k)]
     vector = lambda tag: F.array(*(F.col(f"{tag}{i}") for i in range(k)))
@@ -230,7 +230,7 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
             )
 
     cols = with_host.select("id", "host", "suffix", "declared", "z", "y", "p", "nh", "h", "ns", F.when(F.col("ns").isNotNull(), F.col("s")).alias("s"))
-    return cols.mapInArrow(settle, f"id {kind}, host string, suffix string, declared string, text_lang string, lang string, confidence double")
+    return cols.transform(in_arrow, settle, f"id {kind}, host string, suffix string, declared string, text_lang string, lang string, confidence double")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

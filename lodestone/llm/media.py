@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import in_arrow, stage
 from ._text import slices
 
 UNIT = 192
@@ -119,7 +119,7 @@ def _index(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "payload", "digests"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
+    return docs.transform(in_arrow, run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
 
 
 def _bit(column: str):
@@ -175,7 +175,7 @@ def write(docs: DataFrame) -> Store:
                 a, o, r, t = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(o, pa.binary()), pa.array(r, pa.list_(chunk)), pa.array(t, pa.list_(data))], ["payload", "own", "chunks", "sent"])
 
-    media = stage(docs.select("text").mapInArrow(run, MEDIA), "media-rows")
+    media = stage(docs.select("text").transform(in_arrow, run, MEDIA), "media-rows")
     sent = media.select(F.explode("sent").alias("x")).select("x.*")
     shared = stage(sent.groupBy("digest").agg(F.first("data").alias("data")), "media-chunks")
     return Store(index.drop("digests"), media.drop("sent"), shared)
@@ -215,7 +215,7 @@ def _rebuild(rows: DataFrame) -> DataFrame:
             kinds = [("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
             yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
-    return rows.mapInArrow(run, VALUES)
+    return rows.transform(in_arrow, run, VALUES)
 
 
 def read(store: Store) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import release, stage
+from ._shared import in_arrow, stage
 from ._text import U64, mix, shingles, slices
 from .components import connected_components
 from .partenum import fingerprints, signatures, unique_sets
@@ -72,7 +72,7 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 sketch = [_sketch(h[s : s + n]) if n else None for s, n in zip(start.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(part.lo, part.n), pa.array(size), pa.array(fp, mask=size == 0), pa.array(sketch, pa.binary())], ["doc_id", "n", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, "doc_id long, n long, fp long, sketch binary")
 
 
 def _signature_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _signature_rows(docs: DataFrame, width: int) -> DataFrame:
                 own, sig = signatures(h, start[one], size[one], NUM, DEN)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(fp[one][own])], ["sig", "fp"])
 
-    return docs.select("text").mapInArrow(run, "sig long, fp long")
+    return docs.select("text").transform(in_arrow, run, "sig long, fp long")
 
 
 def _of(docs: DataFrame, classes: DataFrame, fps: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _elements(texts: DataFrame, width: int) -> DataFrame:
                 h, start, size, fp = _sets(part, width)
                 yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(size), pa.ListArray.from_arrays(pa.array(np.append(start, len(h)), pa.int32()), pa.array(h.view(np.int64)))], ["fp", "n", "items"])
 
-    return texts.select("text").mapInArrow(run, "fp long, n long, items array<long>")
+    return texts.select("text").transform(in_arrow, run, "fp long, n long, items array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = [_differ(p, q) * (DEN + NUM) <= (m + n) * (DEN - NUM) for p, q, m, n in zip(d["sx"], d["sy"], d["nx"], d["ny"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "x long, y long")
+    return rows.transform(in_arrow, run, "x long, y long")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _half_rows(texts: DataFrame, width: int) -> DataFrame:
                 item = np.concatenate((h[half].view(np.int64), fp[free]))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(need[own].astype(np.int32)), pa.array(item)], ["fp", "need", "item"])
 
-    return texts.select("text").mapInArrow(run, "fp long, need int, item long")
+    return texts.select("text").transform(in_arrow, run, "fp long, need int, item long")
 
 
 def _without_idle(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _pairs_apart(placed: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["x", "y", "d"]), t.slice(int(at[done]))
 
-    return rows.mapInArrow(run, "x long, y long, d long").groupBy("x", "y").agg(F.min("d").alias("d"))
+    return rows.transform(in_arrow, run, "x long, y long, d long").groupBy("x", "y").agg(F.min("d").alias("d"))
 
 
 def _best_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -264,9 +264,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = 5) -> DataFram
     of = Window.partitionBy("sig")
     rows = _signature_rows(docs, width).withColumn("least", F.min("fp").over(of)).withColumn("most", F.max("fp").over(of)).where("least <> most")
     groups = stage(rows.select("sig", "fp").distinct(), "signatures")
-    release(spark)
     groups = stage(_without_idle(docs, classes, groups, width), "groups")
-    release(spark)
 
     df = groups.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     groups = groups.join(df, "sig")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import in_arrow, stage
 from ._text import slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -61,7 +61,7 @@ def cut(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 2) -> D
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, PIECES, True)
 
 
 class Plan:
@@ -172,7 +172,7 @@ def pack(pieces: DataFrame, most: int = 1024) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(plan["offset"][at])], [*names, "sequence_id", "offset"])
 
-    return pieces.join(before, ["part", "length"]).mapInArrow(place, PACKED)
+    return pieces.join(before, ["part", "length"]).transform(in_arrow, place, PACKED)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 2) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_stage, release, stage
+from ._shared import drop_stage, in_arrow, stage
 from ._text import Slice, slices
 
 #: Distinct keys that a task gathers before it gives them out.
@@ -84,7 +84,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield found.out()
         yield found.out()
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(in_arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _find(table: np.ndarray, keys: np.ndarray, ok: np.ndarray | None = None) -> np.ndarray:
@@ -195,7 +195,7 @@ def _gram_counts(texts: DataFrame, tree: Broadcast, levels: int) -> DataFrame:
                     yield found.out()
         yield found.out()
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(in_arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: float, depth: int = 3, least_n: int = 4, strength: float = 4.0) -> Tree:
@@ -211,7 +211,6 @@ def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: floa
         if not len(grams):
             break
         tree.learn(grams["key"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), strength)
-        release(spark)
     tree.close()
     return tree
 
@@ -268,7 +267,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.shiftright(F.col("key").bitwiseAND(F.lit(BITS - 1)), BLOCK.bit_length() - 1)
     out = np.zeros((BITS // BLOCK, BLOCK // 8), np.uint8)
-    for r in keys.select("key").repartition(n, block).mapInArrow(run, "block int, bits binary").collect():  # at most BITS / BLOCK rows
+    for r in keys.select("key").repartition(n, block).transform(in_arrow, run, "block int, bits binary").collect():  # at most BITS / BLOCK rows
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -292,7 +291,7 @@ def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFra
                 at = at[first]
                 yield pa.RecordBatch.from_arrays([pa.array(below[at - 1]), pa.array(below[at]), pa.array(n)], ["ctx", "suf", "n"])
 
-    return texts.select("text").mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(in_arrow, run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -314,7 +313,6 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
         sent = spark.sparkContext.broadcast(_bitmap(below))
         found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
         sent.unpersist()
-        release(spark)
         below = _small(below)
         n, c, above = F.col("n"), F.col("c"), F.col("above")
         grams = found.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("p").alias("above")), "suf")
@@ -327,7 +325,6 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
         rest = F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)) / left_above)
         contexts.append(stage(sums.select("ctx", "c", rest.alias("rest"), (ratio >= kinds + 4 * F.sqrt(2 * kinds) + 10).alias("own")), "tree-contexts"))
         levels.append(grams)
-        release(spark)
 
     out, needed = [], None
     for at in range(depth - 1, -1, -1):
@@ -345,7 +342,6 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     both = stage(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "tree-values")
     for x in (*levels, *contexts):
         drop_stage(x)
-    release(spark)
     return both
 
 
@@ -377,7 +373,7 @@ def _gains(docs: DataFrame, tree: DataFrame, common: int, most: int) -> DataFram
                 # what is summed already; its key is any, as it is taken no times
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.zeros(part.n, np.int32)), pa.array(total)], ["row", "key", "times", "gain"])
 
-    rows = docs.select("row", "text").mapInArrow(run, "row long, key long, times int, gain double")
+    rows = docs.select("row", "text").transform(in_arrow, run, "row long, key long, times int, gain double")
     rows = rows.join(tree.select("key", "value"), "key", "left")
     return rows.groupBy("row").agg(F.sum(F.col("gain") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("gain"))
 
@@ -397,7 +393,7 @@ def _text_sums(docs: DataFrame, frequent: Broadcast, base_end: float, end_known:
                 cols = [b.column("row").slice(part.lo, part.n), b.column("doc_id").slice(part.lo, part.n), pa.array(np.bincount(doc, minlength=part.n) + 1), pa.array(known), pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double")
+    return docs.select("row", "doc_id", "text").transform(in_arrow, run, "row long, doc_id long, n_tokens long, n_known long, base double")
 
 
 def _rare_words(docs: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -418,7 +414,7 @@ def _rare_words(docs: DataFrame, frequent: Broadcast) -> DataFrame:
                 n = np.diff(np.append(first, len(h))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(part.lo, part.n).take(pa.array(doc[first])), pa.array(h[first]), pa.array(n)], ["row", "key", "times"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, key long, times int")
+    return docs.select("row", "text").transform(in_arrow, run, "row long, key long, times int")
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_path, stage
+from ._shared import in_arrow, new_path, stage
 from ._text import slices
 
 NULL_ID = -(2**63)
@@ -86,7 +86,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "path": [path], "n_docs": [len(docs_)], "n_tokens": [int(offsets[-1])], "width": pa.array([kind.itemsize], pa.int32())})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
-    return stage(rows.mapInArrow(write, INDEX), "token-index")
+    return stage(rows.transform(in_arrow, write, INDEX, True), "token-index")
 
 
 def read_token_files(index: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                     })
 
     n = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return based.repartition(n, "part").mapInArrow(read, READ)
+    return based.repartition(n, "part").transform(in_arrow, read, READ)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import in_arrow, stage
 
 #: Rows of a row block and of a query block: with 64 dimensions, 1 MB and 0.25 MB of integers.
 ROWS, QUERIES, LISTS = 4096, 1024, 4
@@ -58,7 +58,7 @@ def _packed(rows: DataFrame, name: str, most: int) -> DataFrame:
                         f"{name}_vals": [v[lo : lo + most].astype("<i8").tobytes()],
                     })
 
-    return rows.mapInArrow(run, f"dim int, {name} long, {name}_ids binary, {name}_vals binary")
+    return rows.transform(in_arrow, run, f"dim int, {name} long, {name}_ids binary, {name}_vals binary")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, lists: int = LI
                         o.append(x)
                 yield _hits(*out)
 
-    local = pairs.mapInArrow(first, HITS)
+    local = pairs.transform(in_arrow, first, HITS)
     cutoff = _ranked(local, k).groupBy("query_id").agg(F.min("score").alias("t"), F.count("*").alias("n"))
     # without k entries yet, nothing is below the cutoff
     cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("t")).alias("t"))
@@ -138,7 +138,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, lists: int = LI
                         o.append(x)
                 yield _hits(*out)
 
-    found = blocks.join(sent, "dim").repartition(n, "r", "q").mapInArrow(second, HITS)
+    found = blocks.join(sent, "dim").repartition(n, "r", "q").transform(in_arrow, second, HITS)
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import in_arrow, stage
 from ._text import LOWER, U64, Slice, mix, slices
 
 #: Identity terms by group; a term is swapped for others of its own group and language.
@@ -101,7 +101,7 @@ def _feature_rows(sample: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(f[new]))
                 yield pa.RecordBatch.from_arrays([b.column("label").slice(part.lo, part.n), lists], ["label", "features"])
 
-    return sample.select("label", "text").mapInArrow(run, "label int, features array<long>")
+    return sample.select("label", "text").transform(in_arrow, run, "label int, features array<long>")
 
 
 def _swaps(rows: list, names: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
             lists = [np.intersect1d(np.array(x, np.int64), wanted) for x in b.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(lists, pa.list_(pa.int64()))], ["label", "features"])
 
-    got = sample.mapInArrow(only, "label int, features array<long>").collect()
+    got = sample.transform(in_arrow, only, "label int, features array<long>").collect()
     present = [set(r["features"]) for r in got]
     pairs = [(i, int(np.searchsorted(names, f))) for i, fs in enumerate(present) for f in sorted(fs) if len(names) and names[min(np.searchsorted(names, f), len(names) - 1)] == f]
     row, col = np.array(pairs, np.int64).reshape(-1, 2).T
@@ -185,20 +185,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 s = model.scores(part)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(part.lo, part.n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all their columns, whose text scores below ``threshold``."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
-
-        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(p) for p in slices(pa.array(text, pa.string())))]) < threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column("text")):
+                yield b.slice(part.lo, part.n).filter(pa.array(model.scores(part) < threshold))
 
-    return docs.where(clean("text"))
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
