@@ -31,7 +31,6 @@ class Config:
     cache_ttl_seconds: int = 3600
     embed_dims: int = 64
     web_results: int = 4
-    max_propositions: int | None = None
     #: Rows up to which a side of a join is broadcast; beyond it the join is shuffled.
     broadcast_rows: int = 100_000
 

@@ -1,14 +1,29 @@
-"""The library's surface: ingest pages, answer batches of questions, grade answers."""
+"""The library's surface: ingest pages, answer batches of questions, grade answers.
+
+Collections are Parquet tables under one folder, which driver and executors share. Each step of a batch of questions is
+written there and read back, so no plan grows with the flow and a lost executor costs a step; the steps are deleted when
+the answers are written.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
 from lodestone.functions import clean_html, slug
+from lodestone.functions.vectors import embed
+from lodestone.operators import answers as A
 from lodestone.operators import chunking, knowledge, retrieval
 from lodestone.providers import OFFLINE, Offline
+from lodestone.sources.sinks import latest, server_sent_events, write_partitioned
+
+CACHE = "entry long, question string, embedding array<long>, answer string, sources array<struct<url:string,text:string>>, retrieval_method string, web_fallback boolean, namespace string, complexity string, expires_at timestamp, collection string"
+TABLES = ("pages", "parents", "leaves", "propositions", "relations", "chunks", "tree", "postings", "terms")
+VERSION = "0.2.0"
 
 
 class Engine:
@@ -17,59 +32,270 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, config: Config = DEFAULT, provider: Offline = OFFLINE):
         self.spark, self.folder, self.config, self.provider = spark, folder.rstrip("/"), config, provider
 
+    # --- tables
+
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _files(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, files = self._files(path)
+        return files.exists(p)
+
     def _read(self, name: str, collection: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name)).where(F.col("collection") == collection)
 
+    def _write(self, rows: DataFrame, name: str, collection: str) -> DataFrame:
+        write_partitioned(rows.drop("collection").withColumn("collection", F.lit(collection)), self._path(name), "collection")
+        return self._read(name, collection)
+
+    # --- ingest
+
     def ingest(self, pages: DataFrame, collection: str) -> DataFrame:
-        """Clean, chunk and link pages (url, html); replaces the collection, so ingesting twice is ingesting once. Gives its counts."""
+        """Clean, chunk, embed, index and link pages (url, html). Replaces the collection, so ingesting twice is ingesting once. Gives its counts.
+
+        Pages without text are left out. Leaves and parents are cut from semantic chunks. Every leaf gives statements,
+        relations and a node of the summary tree. The status is ``running``, then ``done`` or ``error``.
+        """
+        self._run = uuid.uuid4().hex
+        self._status(collection, "running")
+        for name in TABLES:
+            self._drop(name, collection)
+        try:
+            out = self._ingest(pages, collection)
+        except Exception as e:
+            self._status(collection, "error", str(e)[:500])
+            raise
+        self._status(collection, "done")
+        self._forget()
+        return out
+
+    def _ingest(self, pages: DataFrame, collection: str) -> DataFrame:
         clean = pages.dropDuplicates(["url"]).select(F.xxhash64("url").alias("doc_id"), "url", slug(F.col("url")).alias("slug"), clean_html(F.col("html")).alias("text")).where("text <> ''")
-        self._write(clean, "pages", collection)
-        docs = self._read("pages", collection)
-        parents = chunking.parents(docs, self.config)
-        self._write(parents, "parents", collection)
-        leaves = chunking.leaves(self._read("parents", collection), self.config)
-        self._write(leaves, "leaves", collection)
-        self._write(knowledge.propositions(self._read("leaves", collection), self.config, self.provider), "propositions", collection)
-        self._write(knowledge.relations(docs, self.provider), "relations", collection)
+        docs = self._write(clean, "pages", collection)
+        parents = self._write(chunking.chunk_parents(chunking.semantic_chunks(docs, self.config), self.config), "parents", collection)
+        leaves = self._write(chunking.chunk_leaves(parents, self.config), "leaves", collection)
+        props = self._write(knowledge.propositions(leaves.select("leaf_id", "doc_id", "text"), self.provider, ["leaf_id", "doc_id"]), "propositions", collection)
+        rel = knowledge.relations(leaves.select(F.col("leaf_id").alias("doc_id"), "text"), self.provider)
+        self._write(rel.withColumnRenamed("doc_id", "leaf_id"), "relations", collection)
+
+        url = docs.select("doc_id", "url")
+        named = {
+            "leaf": leaves.select(F.col("leaf_id").alias("id"), "doc_id", "text"),
+            "parent": parents.select(F.col("parent_id").alias("id"), "doc_id", "text"),
+            "props": props.select(F.sha2(F.concat_ws("|", F.lit("prop"), "leaf_id", "ord"), 256).alias("id"), "doc_id", "text"),
+        }
+        every = None
+        for ns, rows in named.items():
+            rows = rows.join(url, "doc_id").select(F.lit(ns).alias("ns"), "id", "url", "text")
+            every = rows if every is None else every.unionByName(rows)
+        vectors = embed(every, "id", self.config.embed_dims)
+        chunks = self._write(every.join(vectors, "id"), "chunks", collection)
+
+        nodes = chunks.where("ns = 'leaf'").select("id", F.xxhash64("id").alias("ord"), "text", "embedding")
+        levels = knowledge.summary_tree(nodes, self.config, self.provider)
+        tree = None
+        for level in levels:
+            tree = level if tree is None else tree.unionByName(level)
+        if tree is not None:
+            tree = self._write(tree, "tree", collection)
+            upper = tree.select(F.concat(F.lit("raptor-l"), "level").alias("ns"), "id", F.lit("").alias("url"), "text")
+            upper = upper.join(embed(upper, "id", self.config.embed_dims), "id")
+            chunks = self._write(self._keep(chunks.drop("collection").unionByName(upper), "with-tree"), "chunks", collection)
+        self._index(chunks, collection)
         return self.summary(collection)
 
-    def _write(self, rows: DataFrame, name: str, collection: str) -> None:
-        rows = rows.drop("collection").withColumn("collection", F.lit(collection))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(self._path(name))
+    def _index(self, chunks: DataFrame, collection: str) -> None:
+        """Postings and term statistics of each namespace."""
+        post = stats = None
+        for ns in sorted(r["ns"] for r in chunks.select("ns").distinct().collect()):  # five namespaces at most
+            own = chunks.where(F.col("ns") == ns).select("id", "text")
+            n, mean = retrieval.lengths(own)
+            p = retrieval.postings(own, "id").select(F.lit(ns).alias("ns"), F.col("id").alias("doc_id"), "term", "tf", "dl")
+            s = retrieval.bm25_stats(retrieval.document_frequencies(own), n, self.config).select(F.lit(ns).alias("ns"), "term", "df", "idf", F.lit(mean).alias("mean_length"))
+            post, stats = (p, s) if post is None else (post.unionByName(p), stats.unionByName(s))
+        self._write(post, "postings", collection)
+        self._write(stats, "terms", collection)
 
     def summary(self, collection: str) -> DataFrame:
-        """One row: pages, parents, leaves, propositions and relations of a collection."""
+        """One row: pages, parents, leaves, propositions and relations of a collection, levels and nodes of its tree."""
         counts = [self._read(n, collection).agg(F.count("*").alias(n)) for n in ("pages", "parents", "leaves", "propositions", "relations")]
+        tree = self._read("tree", collection) if self._exists(self._path("tree")) else None
+        counts.append(tree.agg(F.coalesce(F.max("level"), F.lit(0)).alias("tree_levels"), F.count("*").alias("tree_nodes")) if tree is not None else self.spark.range(1).select(F.lit(0).alias("tree_levels"), F.lit(0).cast("long").alias("tree_nodes")))
         out = counts[0]
         for c in counts[1:]:
             out = out.crossJoin(F.broadcast(c))  # one row each
         return out
 
-    def query_batch(self, questions: DataFrame, collection: str, top_k: int | None = None) -> DataFrame:
-        """qid, answer, sources, retrieval_method, web_fallback, complexity and namespace of each of questions (qid, text)."""
-        docs, k = self._read("pages", collection), top_k or self.config.top_k
-        hits = retrieval.bm25_topk(docs, questions, 2 * k, self.config).select("qid", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("id"))
-        fused = retrieval.rrf(hits, k, self.config).select("qid", F.col("rank").alias("pos"), F.col("id").alias("doc_id"))
-        graded = retrieval.grade(retrieval.rerank(fused, questions, docs, config=self.config), self.config).join(docs.select("doc_id", "url", "text"), "doc_id")
-        order = F.array_sort(F.collect_list(F.struct("rank", "url", "text")))
-        found = graded.groupBy("qid").agg(order.alias("hits"), F.max("web_fallback").alias("web_fallback"))
-        sources = F.transform("hits", lambda h: F.struct(h["url"].alias("url"), F.substring(h["text"], 1, 300).alias("text")))
-        answer = self.provider.summary(F.transform("hits", lambda h: h["text"]), self.config.rerank_top_n)
-        made = found.select("qid", answer.alias("answer"), sources.alias("sources"), "web_fallback")
-        routed = knowledge.semantic_route(questions).select("qid", "namespace")
-        out = questions.join(made, "qid", "left").join(routed, "qid", "left")
-        method = F.when(F.coalesce("web_fallback", F.lit(True)), "web-fallback").otherwise("hybrid+rrf")
-        return out.select("qid", F.coalesce("answer", F.lit("")).alias("answer"), "sources", method.alias("retrieval_method"), F.coalesce("web_fallback", F.lit(True)).alias("web_fallback"), self.provider.complexity(F.col("text")).alias("complexity"), "namespace")
-
-    def query(self, question: str, collection: str, top_k: int | None = None) -> dict:
+    def _status(self, collection: str, state: str, message: str = "") -> None:
+        self._write(self.spark.createDataFrame([(state, message)], "status string, message string").withColumn("at", F.current_timestamp()), "status", collection)
+
+    def ingest_status(self, collection: str) -> str:
+        """not_started, running, done or error."""
+        if not self._exists(self._path("status")):
+            return "not_started"
+        row = self._read("status", collection).first()
+        return row["status"] if row else "not_started"
+
+    # --- steps of a batch
+
+    def _keep(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self._path('_steps')}/{self._run}/{name}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    _run = "ingest"
+
+    def _forget(self) -> None:
+        p, files = self._files(f"{self._path('_steps')}/{self._run}")
+        files.delete(p, True)
+
+    def _namespace(self, ns: str, collection: str) -> A.Index | None:
+        chunks = self._read("chunks", collection).where(F.col("ns") == ns)
+        stats = self._read("terms", collection).where(F.col("ns") == ns)
+        first = stats.select("mean_length").first()
+        return A.Index(chunks, self._read("postings", collection).where(F.col("ns") == ns), stats, first[0]) if first else None
+
+    def retrieve(self, questions: DataFrame, collection: str, top_k: int | None = None, use_hyde: bool = True, use_hybrid: bool = True) -> DataFrame:
+        """Hits of each of questions (qid, text, namespace) in its namespace; one that the collection doesn't have falls to leaves."""
+        spaces, out = [r["namespace"] for r in questions.select("namespace").distinct().collect()], None  # five at most
+        for ns in spaces:
+            index = self._namespace(ns, collection) or self._namespace("leaf", collection)
+            if index is None:
+                continue
+            hits = A.retrieve(index, questions.where(F.col("namespace") == ns), top_k or self.config.top_k, use_hyde, use_hybrid, self.config, self.provider)
+            out = hits if out is None else out.unionByName(hits)
+        return out if out is not None else self.spark.createDataFrame([], f"qid {dict(questions.dtypes)['qid']}, rank int, id string, url string, text string, score double, retrieval_method string")
+
+    def route(self, questions: DataFrame, strategy: str = "llm") -> DataFrame:
+        """qid and namespace: by the nearest description, or by the provider's label, the default for unknown ones."""
+        if strategy == "semantic":
+            return knowledge.semantic_route(questions).select("qid", "namespace")
+        return knowledge.route_by_label(questions.select("qid", self.provider.label(F.col("text")).alias("label")))
+
+    def graph_context(self, questions: DataFrame, collection: str) -> DataFrame:
+        """qid and context by the collection's relations, for questions that have any."""
+        edges = self._read("relations", collection).select(F.col("leaf_id").alias("doc_id"), "pos", "subject", "relation", "object")
+        seeds = questions.select("qid", F.explode(self.provider.entities(F.col("text"))).alias("node"))
+        return knowledge.graph_context(edges, seeds.join(knowledge.adjacency(edges).select("node").distinct(), "node", "left_semi").select("qid", "node"), self.config)
+
+    def web(self, questions: DataFrame, collection: str) -> DataFrame:
+        """qid, rank, id, url, text and score of web results; offline, the pages with most of the question's rarest words."""
+        pages = self._read("pages", collection)
+        hits = retrieval.bm25_topk(pages, questions, self.config.web_results, self.config).join(pages.select("doc_id", "url", "text"), "doc_id")
+        return hits.select("qid", "rank", F.concat(F.lit("web-"), F.col("rank") - 1).alias("id"), "url", "text", F.lit(1.0).alias("score"))
+
+    def _single(self, questions: DataFrame, collection: str, top_k: int, strategy: str, hyde: bool, hybrid: bool) -> DataFrame:
+        """Of questions (qid, text): routed, retrieved, graded, answered and, where the judge fails an answer, answered once more."""
+        routed = self._keep(questions.join(self.route(questions, strategy), "qid"), "routed")
+        hits = self._keep(self.retrieve(routed, collection, top_k, hyde, hybrid), "hits")
+        graded = self._keep(retrieval.grade(A.rerank(hits, questions, self.config), self.config), "graded")
+        # a question without any hit falls back too
+        alone = questions.join(graded.where(~F.col("web_fallback")).select("qid").distinct(), "qid", "left_anti")
+        web = self._keep(self.web(self._keep(alone, "to-web"), collection), "web")
+        asked = graded.unionByName(alone.select("qid").withColumn("web_fallback", F.lit(True)), allowMissingColumns=True)
+        answered = A.generate(A.with_web(asked, web), questions, self.graph_context(questions, collection), self.config, self.provider)
+        fell = alone.select("qid", F.lit(True).alias("fell"))
+        answered = answered.join(fell, "qid", "left").withColumn("web_fallback", F.coalesce("fell", F.lit(False))).drop("fell")
+        answered = answered.withColumn("retrieval_method", F.when(F.col("web_fallback"), "web-fallback").otherwise(F.col("retrieval_method")))
+        again = lambda refined: self.retrieve(self._keep(refined.join(routed.select("qid", "namespace"), "qid"), "refined-questions"), collection, top_k, hyde, hybrid)
+        done = A.refine(self._keep(answered, "answered"), again, self.config, self.provider, self._keep)
+        return self._keep(done.join(routed.select("qid", "namespace"), "qid"), "single")
+
+    def query_batch(self, questions: DataFrame, collection: str, top_k: int | None = None, routing: str = "llm", use_hyde: bool = True, use_hybrid: bool = True, now=None) -> DataFrame:
+        """qid, answer, sources, retrieval_method, web_fallback, namespace, complexity, cache_hit and cache_similarity of questions (qid, text).
+
+        A question near a live entry of the collection's cache gets that entry's answer. Of the others, complex ones are
+        answered in parts, and all answers go to the cache. Null and empty questions find nothing.
+        """
+        self._run = uuid.uuid4().hex
+        now = F.current_timestamp() if now is None else now
+        asked = self._keep(questions.select("qid", F.coalesce("text", F.lit("")).alias("text")), "questions")
+        vectors = self._keep(embed(asked, "qid", self.config.embed_dims), "question-vectors")
+        hits = self._keep(self.cache_get(vectors, collection, now), "cache-hits")
+        missed = self._keep(asked.join(hits.select("qid"), "qid", "left_anti"), "missed")
+        parts = self._keep(A.fan_out(missed, self.provider), "parts")
+        single = self._single(parts.select(F.col("sub").alias("qid"), "text"), collection, top_k or self.config.top_k, routing, use_hyde, use_hybrid)
+        both = parts.join(single.drop("question").withColumnRenamed("qid", "sub"), "sub").withColumnRenamed("text", "question")
+        made = self._keep(A.synthesize(both, self.provider), "made")
+        self.cache_set(made.join(missed, "qid").join(vectors, "qid"), collection, now)
+        out = made.withColumns({"cache_hit": F.lit(False), "cache_similarity": F.lit(None).cast("double")}).unionByName(hits)
+        path = f"{self._path('answers')}/{self._run}"
+        out.write.parquet(path)
+        self._forget()
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    def query(self, question: str, collection: str, top_k: int | None = None, **switches) -> dict:
         """One question: at least three characters, top_k from 1 to 20."""
+        self._valid(question, top_k)
+        return self.query_batch(self.spark.createDataFrame([(0, question)], "qid long, text string"), collection, top_k, **switches).first().asDict(recursive=True)
+
+    def _valid(self, question: str, top_k: int | None) -> None:
         if len(question) < 3 or not 1 <= (top_k or self.config.top_k) <= 20:
             raise ValueError("a question has three characters or more, and top_k is from 1 to 20")
-        return self.query_batch(self.spark.createDataFrame([(0, question)], "qid long, text string"), collection, top_k).first().asDict(recursive=True)
+
+    def query_stream(self, question: str, collection: str, top_k: int | None = None, routing: str = "llm") -> Iterator[str]:
+        """Server-sent events of an answer: routed, retrieved and ranked, without cache, grading, graph and refinement."""
+        self._valid(question, top_k)
+        self._run = uuid.uuid4().hex
+        one = self.spark.createDataFrame([(0, question)], "qid long, text string")
+        routed = self._keep(one.join(self.route(one, routing), "qid"), "routed")
+        hits = A.rerank(self.retrieve(routed, collection, top_k), one, self.config)
+        text = A.generate(hits, one, None, self.config, self.provider).first()["answer"]
+        self._forget()
+        yield from server_sent_events(self.provider.stream(text))
+
+    # --- cache
+
+    def _cache(self, collection: str) -> DataFrame:
+        if not self._exists(self._path("cache")):
+            return self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(CACHE).parquet(self._path("cache")).where(F.col("collection") == collection)
+
+    def cache_get(self, vectors: DataFrame, collection: str, now) -> DataFrame:
+        """The answers of the best live entries for questions (qid, embedding), at or above the threshold."""
+        entries = self._cache(collection)
+        best = knowledge.cache_lookup(vectors.select("qid", F.col("embedding").alias("q"), F.lit(collection).alias("collection")), entries, now, self.config)
+        rows = best.join(entries, "entry")
+        return rows.select("qid", "answer", "sources", "retrieval_method", "web_fallback", "namespace", "complexity", F.lit(True).alias("cache_hit"), F.col("similarity").alias("cache_similarity"))
+
+    def cache_set(self, rows: DataFrame, collection: str, now) -> None:
+        """Add answers (with text and embedding) for the time-to-live; the expired ones go, and of equal questions the new one stays."""
+        expires = (now + F.expr(f"INTERVAL {self.config.cache_ttl_seconds} SECONDS")).cast("timestamp")
+        new = rows.select(F.xxhash64("text").alias("entry"), F.col("text").alias("question"), "embedding", "answer", "sources", "retrieval_method", "web_fallback", "namespace", "complexity", expires.alias("expires_at"), F.lit(collection).alias("collection"))
+        live = self._cache(collection).where(F.col("expires_at") > now)
+        kept = latest(live.unionByName(new), ["entry"], "expires_at")
+        self._write(self._keep(kept, "cache"), "cache", collection)
+
+    def cache_evict(self, collection: str, now=None) -> None:
+        """Drop expired entries."""
+        now = F.current_timestamp() if now is None else now
+        live = self._keep(self._cache(collection).where(F.col("expires_at") > now), "cache")
+        if live.isEmpty():
+            self.cache_clear(collection)
+        else:
+            self._write(live, "cache", collection)
+
+    def cache_stats(self, collection: str, now=None) -> dict:
+        now = F.current_timestamp() if now is None else now
+        return {"size": self._cache(collection).where(F.col("expires_at") > now).count(), "threshold": self.config.cache_similarity, "ttl_seconds": self.config.cache_ttl_seconds}
+
+    def cache_clear(self, collection: str) -> None:
+        self._drop("cache", collection)
+
+    def _drop(self, name: str, collection: str) -> None:
+        p, files = self._files(f"{self._path(name)}/collection={collection}")
+        files.delete(p, True)
+
+    # --- grading
 
     def evaluate(self, rows: DataFrame) -> DataFrame:
-        """Faithfulness and relevance of rows (qid, question, answer, context)."""
-        return knowledge.grade_answers(rows, self.config, self.provider)
+        """Four scores of rows (qid, question, answer, contexts, ground_truth)."""
+        return knowledge.evaluate(rows, self.provider)
+
+    @staticmethod
+    def health() -> dict:
+        return {"status": "ok", "version": VERSION}

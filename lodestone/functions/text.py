@@ -24,11 +24,20 @@ def tokens(text: Column) -> Column:
     return _full(F.split(text, r"\s+"))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it: as the variable of a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def token_windows(words: Column, n: int) -> Column:
-    """Consecutive windows of n tokens, each joined by spaces; none for no tokens."""
-    count = F.ceil(F.size(words) / n).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * n + 1, n), " "))
+    """Consecutive windows of n tokens, each joined by spaces; none for no tokens. Linear in the tokens."""
+
+    def cut(w: Column) -> Column:
+        count = F.ceil(F.size(w) / n).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i * n + 1, n), " "))
+
+    return once(words, cut)
 
 
 def collapse_blank_lines(text: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.batches import Tokens, each
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,3 +34,29 @@ def hash_cells(tokens: DataFrame, keys: list[str], dims: int = 64) -> DataFrame:
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
     cells = tokens.select(*keys, bucket.alias("bucket"), sign.alias("sign")).groupBy(*keys, "bucket").agg(F.sum("sign").alias("value"))
     return cells.where("value <> 0")
+
+
+def embed(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """key and embedding, the hashed embedding of each row's lower-cased text, as integers. Each distinct word of a batch is hashed once."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        v = Tokens(b.column("text")).vectors(dims)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
+        return pa.RecordBatch.from_arrays([b.column("key"), lists], ["key", "embedding"])
+
+    kind = dict(rows.dtypes)[key]
+    made = rows.select(F.col(key).alias("key"), F.lower("text").alias("text")).mapInArrow(each(run), f"key {kind}, embedding array<long>")
+    return made.withColumnRenamed("key", key)
+
+
+def text_cells(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """key, bucket and value of the cells of texts, as they are, that aren't 0; rows of one key are summed."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        v = Tokens(b.column("text")).vectors(dims)
+        i, bucket = np.nonzero(v)
+        return pa.RecordBatch.from_arrays([b.column("key").take(pa.array(i)), pa.array(bucket, pa.int32()), pa.array(v[i, bucket])], ["key", "bucket", "value"])
+
+    kind = dict(rows.dtypes)[key]
+    cells = rows.select(F.col(key).alias("key"), "text").mapInArrow(each(run), f"key {kind}, bucket int, value long")
+    return cells.groupBy(F.col("key").alias(key), "bucket").agg(F.sum("value").alias("value")).where("value <> 0")

@@ -11,17 +11,24 @@ from lodestone.config import DEFAULT, Config
 from lodestone.functions import cosine, sentences, tokens
 from lodestone.functions.vectors import hash_cells
 from lodestone.providers import DEFAULT_ROUTE, OFFLINE, ROUTE_WORDS, ROUTES, Offline
-from lodestone.sources.tables import bounded
+from lodestone.operators.retrieval import dense_topk
+from lodestone.sources.tables import bounded, cut
 
 
-def propositions(leaf_rows: DataFrame, config: Config = DEFAULT, provider: Offline = OFFLINE) -> DataFrame:
-    """doc_id, parent, leaf, ord and text of the statements of each leaf."""
-    return leaf_rows.select("doc_id", "parent", "leaf", F.posexplode(provider.propositions(F.col("text"), config.max_propositions)).alias("ord", "text"))
+#: Fixed value: what stands before the relations of a question.
+GRAPH_HEADER = "Knowledge graph context:\n"
+
+
+def propositions(leaf_rows: DataFrame, provider: Offline = OFFLINE, key: list[str] | None = None) -> DataFrame:
+    """key (doc_id, parent and leaf), ord and text of the statements of each leaf."""
+    return leaf_rows.select(*(key or ["doc_id", "parent", "leaf"]), F.posexplode(provider.propositions(F.col("text"))).alias("ord", "text"))
 
 
 def relations(docs: DataFrame, provider: Offline = OFFLINE) -> DataFrame:
     """doc_id, pos, subject, relation and object; repeats are kept. A malformed triple is left out."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "s")).withColumn("t", provider.triples(F.col("s"))).where(F.size("t") == 3)
+    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "s"))
+    # a triple or none is exploded, so that it is made once
+    rows = rows.select("doc_id", "pos", F.explode(F.filter(F.array(provider.triples(F.col("s"))), lambda t: F.size(t) == 3)).alias("t"))
     return rows.select("doc_id", "pos", F.col("t")[0].alias("subject"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("object"))
 
 
@@ -46,14 +53,14 @@ def reach(adjacent: DataFrame, seeds: DataFrame, hops: int = 2, inclusive: bool
 
 
 def graph_context(edges: DataFrame, seeds: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """qid and context: the first relations, by (doc_id, pos), with both ends within reach, a line each."""
+    """qid and context: a header, then the first relations, by (doc_id, pos), with both ends within reach, a line each."""
     related = reach(adjacency(edges), seeds, config.graph_hops)
     ends = edges.join(related.select("qid", F.col("node").alias("subject")), "subject")
     inner = ends.join(related.select("qid", F.col("node").alias("object")), ["qid", "object"])
     first = inner.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "pos"))).where(F.col("k") <= config.graph_relations)
     line = F.concat_ws(" → ", "subject", "relation", "object")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"])
-    return first.groupBy("qid").agg(F.array_join(lines, "\n").alias("context"))
+    return first.groupBy("qid").agg(F.concat(F.lit(GRAPH_HEADER), F.array_join(lines, "\n")).alias("context"))
 
 
 def semantic_route(questions: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def semantic_route(questions: DataFrame) -> DataFrame:
     spark = questions.sparkSession
     routes = spark.createDataFrame([(i, label, space, ROUTE_WORDS[label]) for i, (label, space) in enumerate(ROUTES)], "ord int, label string, namespace string, text string")
     q = hash_cells(questions.select("qid", F.explode(tokens(F.lower("text"))).alias("token")), ["qid"])
-    r = hash_cells(routes.select("ord", F.explode(tokens("text")).alias("token")), ["ord"])
+    r = hash_cells(routes.select("ord", F.explode(tokens(F.lower("text"))).alias("token")), ["ord"])
     dots = q.join(F.broadcast(r.withColumnRenamed("value", "w")), "bucket").groupBy("qid", "ord").agg(F.sum(F.col("value") * F.col("w")).alias("dot"))  # four routes
     length = r.groupBy("ord").agg(F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double")).alias("len"))
     every = questions.select("qid").crossJoin(F.broadcast(routes.select("ord", "label", "namespace").join(length, "ord")))
@@ -77,15 +84,16 @@ def route_by_label(labelled: DataFrame) -> DataFrame:
     return labelled.join(F.broadcast(routes), "label", "left").select("qid", F.coalesce("namespace", F.lit(fallback)).alias("namespace"))  # four routes
 
 
-def cache_lookup(asked: DataFrame, entries: DataFrame, now, config: Config = DEFAULT) -> DataFrame:
+def cache_lookup(asked: DataFrame, entries: DataFrame, now, config: Config = DEFAULT, others: bool = False) -> DataFrame:
     """qid, entry and similarity of the best live entry of the same collection at or above the threshold; the oldest wins ties.
 
-    asked: qid, collection, q; entries: entry, collection, embedding, expires_at.
+    asked: qid, collection, q; entries: entry, collection, embedding, expires_at. ``others``: a question's own entry, of its
+    qid, is no hit.
     """
-    live = entries.where(F.col("expires_at") > now)
-    pairs = live.join(bounded(asked, config.broadcast_rows), "collection").where(F.col("entry") != F.col("qid"))
-    scored = pairs.select("qid", "entry", F.round(cosine(F.col("q"), F.col("embedding")), 4).alias("similarity")).where(F.col("similarity") >= config.cache_similarity)
-    return scored.groupBy("qid").agg(F.max_by(F.struct("entry", "similarity"), F.struct("similarity", -F.col("entry"))).alias("hit")).select("qid", "hit.entry", "hit.similarity")
+    live = entries.where(F.col("expires_at") > now).select(F.col("entry").alias("vec_id"), "collection", "embedding")
+    best = dense_topk(live, asked, 1, config, others=others, by="collection", digits=4)
+    hit = (F.col("score") >= config.cache_similarity) & (F.col("score") > 0)
+    return best.where(hit).select("qid", F.col("vec_id").alias("entry"), F.col("score").alias("similarity"))
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -123,13 +131,33 @@ def summary_tree(nodes: DataFrame, config: Config = DEFAULT, provider: Offline =
         dims = len(here.select("embedding").first()[0])
         mean = F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(dims)))
         here = first.groupBy("cluster").agg(F.collect_list("id").alias("child_ids"), provider.summary(text, config.texts_per_summary).alias("text"), mean.alias("embedding"))
-        here = here.select(F.sha2(F.concat_ws("|", F.lit("tree"), F.lit(level), "cluster"), 256).alias("id"), F.col("cluster").alias("ord"), F.lit(level).alias("level"), "text", "embedding", "child_ids").persist()
+        here = here.select(F.sha2(F.concat_ws("|", F.lit("tree"), F.lit(level), "cluster"), 256).alias("id"), F.col("cluster").alias("ord"), F.lit(level).alias("level"), "text", "embedding", "child_ids")
+        here = cut(here)
         levels.append(here)
     return levels
 
 
 def grade_answers(rows: DataFrame, config: Config = DEFAULT, provider: Offline = OFFLINE) -> DataFrame:
-    """Of qid, question, answer, context: faithfulness, relevance and whether both pass; a null score passes, as a failed judge's does."""
-    scored = rows.select("qid", F.round(provider.containment(F.col("answer"), F.col("context")), 4).alias("faithfulness"), F.round(provider.containment(F.col("question"), F.col("answer")), 4).alias("relevance"))
-    ok = (F.coalesce("faithfulness", F.lit(1.0)) >= config.faithfulness_pass) & (F.coalesce("relevance", F.lit(1.0)) >= config.relevance_pass)
-    return scored.withColumn("passes", ok)
+    """Of qid, question, answer, context: faithfulness, relevance, supported, issues and whether it passes.
+
+    Where a text is null the judge fails, and a failed judge lets pass: both scores are 1, without issues.
+    """
+    judged = F.col("question").isNotNull() & F.col("answer").isNotNull() & F.col("context").isNotNull()
+    score = lambda a, b: F.when(judged, F.round(provider.containment(F.col(a), F.col(b)), 4)).otherwise(1.0)
+    scored = rows.select("qid", score("answer", "context").alias("faithfulness"), score("question", "answer").alias("relevance"))
+    faithful, relevant = F.col("faithfulness") >= config.faithfulness_pass, F.col("relevance") >= config.relevance_pass
+    issues = F.concat_ws(",", F.when(~faithful, "unsupported"), F.when(~relevant, "beside the question"))
+    return scored.withColumns({"supported": faithful, "issues": issues, "passes": faithful & relevant})
+
+
+def evaluate(rows: DataFrame, provider: Offline = OFFLINE) -> DataFrame:
+    """Of qid, question, answer, contexts (an array) and ground_truth: faithfulness, answer_relevancy, context_precision and context_recall.
+
+    Scores are from 0 to 1, of four digits; context_recall is null without a ground truth. Where the question, the answer or
+    the contexts are null there is nothing to judge, and each score is -1.
+    """
+    judged = F.col("question").isNotNull() & F.col("answer").isNotNull() & F.col("contexts").isNotNull()
+    rows = rows.withColumn("context", F.array_join("contexts", "\n\n"))
+    score = lambda a, b: F.when(judged, F.round(provider.containment(F.col(a), F.col(b)), 4)).otherwise(-1.0)
+    recall = F.when(F.col("ground_truth").isNotNull(), score("ground_truth", "context"))
+    return rows.select("qid", score("answer", "context").alias("faithfulness"), score("question", "answer").alias("answer_relevancy"), score("question", "context").alias("context_precision"), recall.alias("context_recall"))

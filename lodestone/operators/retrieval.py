@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
 from lodestone.functions import cosine, tokens
+from lodestone.functions.batches import Tokens, each, rounded
 from lodestone.sources.tables import bounded
 
 
@@ -15,34 +21,73 @@ def term_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(tokens(F.lower("text"))).alias("term"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return term_rows(docs, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+    """key, term, tf and dl, the length, of each row's distinct words, of ``terms`` alone where they are given. A row is a document: no shuffle."""
+    wanted = None if terms is None else pa.array(terms, pa.string())
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        t = Tokens(b.column("text"))
+        doc, code, tf = t.counts()
+        dl = np.bincount(t.owner, minlength=t.n)
+        if wanted is not None:
+            keep = pc.is_in(t.words, value_set=wanted.cast(t.words.type)).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+            doc, code, tf = doc[keep], code[keep], tf[keep]
+        return pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), t.words.take(pa.array(code)).cast(pa.string()), pa.array(tf), pa.array(dl[doc])], ["key", "term", "tf", "dl"])
+
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("key"), F.lower("text").alias("text")).mapInArrow(each(run), f"key {kind}, term string, tf long, dl long")
+    return rows.withColumnRenamed("key", key)
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term and df. Batches give their own counts, so what is shuffled is a row for each term of a batch."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        t = Tokens(b.column("text"))
+        n = np.bincount(t.counts()[1], minlength=len(t.words))
+        return pa.RecordBatch.from_arrays([t.words.cast(pa.string()), pa.array(n)], ["term", "df"])
+
+    rows = docs.select(F.lower("text").alias("text")).mapInArrow(each(run, 8192), "term string, df long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def lengths(docs: DataFrame) -> tuple[int, float]:
+    """The number of documents and their mean length in words."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([len(Tokens(b.column("text")).code)])], ["n", "words"])
 
+    n, words = docs.select("text").mapInArrow(each(run, 8192), "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    return n, words / n if n else 0.0
 
-def bm25_stats(post: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame:
-    """term, df and idf; an idf below 0 becomes epsilon times the mean idf of all terms."""
-    raw = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = raw.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+def bm25_stats(dfs: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame:
+    """Of term and df: term, df and idf; an idf below 0 becomes epsilon times the mean idf of all terms."""
+    raw = dfs.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     floor = F.when(F.col("raw") < 0, config.bm25_epsilon * F.col("mean")).otherwise(F.col("raw"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", floor.alias("idf"))  # the mean is one row
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """qid, doc_id and score of documents that hold a term of the question; repeated terms count each time."""
-    post = postings(docs)
-    size = docs.select("doc_id", F.size(tokens(F.lower("text"))).alias("dl"))
-    n, avg = size.agg(F.count("*"), F.avg("dl")).first()
+def bm25_from(post: DataFrame, stats: DataFrame, mean_length: float, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """qid, doc_id and score by an index: postings and stats, of which only the questions' terms are read. Repeated terms count each time."""
     asked = term_rows(questions, "qid").groupBy("qid", "term").agg(F.count("*").alias("times"))
     wanted = bounded(asked.select("term").distinct(), config.broadcast_rows)
-    stats = bm25_stats(post, n, config).join(wanted, "term", "left_semi")
-    hits = post.join(wanted, "term", "left_semi").join(size, "doc_id")
+    hits = post.join(wanted, "term", "left_semi").join(stats.join(wanted, "term", "left_semi"), "term")
     k1, b = config.bm25_k1, config.bm25_b
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg)))
-    weighted = hits.join(stats, "term").select("term", "doc_id", weight.alias("w"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
+    weighted = hits.select("term", "doc_id", weight.alias("w"))
     return weighted.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
 
 
+def bm25_scores(docs: DataFrame, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """qid, doc_id and score of documents that hold a term of the question, without an index."""
+    terms = [r["term"] for r in term_rows(questions, "qid").select("term").distinct().limit(config.broadcast_rows + 1).collect()]
+    post = postings(docs, terms=terms if len(terms) <= config.broadcast_rows else None)
+    n, mean = lengths(docs)
+    return bm25_from(post, bm25_stats(document_frequencies(docs), n, config), mean, questions, config)
+
+
 def top(rows: DataFrame, k: int, *order, by: str = "qid") -> DataFrame:
     """The first k rows of each question in a total order, with their rank from 1."""
     w = Window.partitionBy(by).orderBy(*order)
@@ -55,14 +100,59 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int | None = None, confi
     return top(scores, k or config.top_k, F.desc("score"), "doc_id").select("qid", "rank", "doc_id", "score")
 
 
-def dense_topk(vectors: DataFrame, questions: DataFrame, k: int | None = None, config: Config = DEFAULT) -> DataFrame:
+def _array(x: pa.Array) -> np.ndarray:
+    return np.array(x.to_pylist()) if pa.types.is_string(x.type) else x.to_numpy(zero_copy_only=False)
+
+
+def _nearest(ids: np.ndarray, v: np.ndarray, groups: np.ndarray, qids: np.ndarray, q: np.ndarray, of: np.ndarray, k: int, others: bool, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each question, the k vectors of a block with the greatest cosine, ties to the smaller id."""
+    length = lambda x: np.sqrt((x * x).sum(1))
+    scale = length(q)[:, None] * length(v)[None, :]
+    score = rounded(np.where(scale > 0, (q @ v.T) / np.where(scale > 0, scale, 1), 0.0), digits)
+    for i, x in enumerate(qids):
+        s = score[i]
+        at = np.flatnonzero((groups == of[i]) & ((ids != x) if others else True))
+        if len(at) > k:
+            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+        at = at[np.lexsort((ids[at], -s[at]))[:k]]
+        yield np.full(len(at), x), ids[at], s[at]
+
+
+def dense_topk(vectors: DataFrame, questions: DataFrame, k: int | None = None, config: Config = DEFAULT, others: bool = True, by: str | None = None, digits: int = 6) -> DataFrame:
     """qid, rank, vec_id and cosine of the nearest of vectors (vec_id, embedding) to each of questions (qid, q).
 
-    A question set of bounded size is broadcast; a larger one is met by all vectors in a shuffled product.
+    A question set of at most ``broadcast_rows`` goes to all tasks as a matrix; each block of vectors is multiplied with it
+    and gives its k best of a question, so that is all that is shuffled. A larger set is met by all vectors in a shuffled
+    product. ``others`` leaves out the vector with the question's own id; ``by``, a column of both, vectors that differ in it.
+    Null vectors take no part.
     """
-    pairs = vectors.crossJoin(bounded(questions, config.broadcast_rows)).where("vec_id <> qid")
-    scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top(scored, k or config.top_k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
+    k = k or config.top_k
+    group = F.lit(0) if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
+    vectors = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", group.alias("g"))
+    questions = questions.where("q IS NOT NULL").select("qid", "q", group.alias("g"))
+    asked = questions.limit(config.broadcast_rows + 1).collect()
+    if len(asked) > config.broadcast_rows:
+        pairs = vectors.join(questions, "g")
+        pairs = pairs.where("vec_id <> qid") if others else pairs
+        scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), digits).alias("score"))
+        return top(scored, k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
+    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for d in {len(r["q"]) for r in asked}:
+        own = [r for r in asked if len(r["q"]) == d]
+        by_size[d] = np.array([r["qid"] for r in own]), np.array([r["q"] for r in own], float), np.array([r["g"] for r in own])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        out, dims = [], pc.list_value_length(b.column("embedding")).to_numpy()
+        for d, (qids, q, of) in by_size.items():
+            own = b.filter(pa.array(dims == d))
+            ids, groups, v = _array(own.column("vec_id")), _array(own.column("g")), own.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            for lo in range(0, len(qids) if len(ids) else 0, 1024):
+                out += _nearest(ids, v, groups, qids[lo : lo + 1024], q[lo : lo + 1024], of[lo : lo + 1024], k, others, digits)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["qid", "vec_id", "score"]) if out else None
+
+    kinds = dict(questions.dtypes)["qid"], dict(vectors.dtypes)["vec_id"]
+    best = vectors.mapInArrow(each(run, 4096), f"qid {kinds[0]}, vec_id {kinds[1]}, score double")
+    return top(best, k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
 
 
 def rrf(rankings: DataFrame, k: int | None = None, config: Config = DEFAULT) -> DataFrame:

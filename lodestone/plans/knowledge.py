@@ -28,10 +28,9 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
     return K.relations(load(spark, sf, "documents"))
 
 
-@query(f"SELECT doc_id, parent, leaf, CAST(i - 1 AS INTEGER) AS ord, s[i] AS text FROM (SELECT doc_id, parent, leaf, {SENTENCES} AS s, unnest(range(1, least(7, len({SENTENCES})) + 1)) AS i FROM ({LEAVES}))")
+@query(f"SELECT doc_id, parent, leaf, CAST(i - 1 AS INTEGER) AS ord, s[i] AS text FROM (SELECT doc_id, parent, leaf, {SENTENCES} AS s, unnest(range(1, len({SENTENCES}) + 1)) AS i FROM ({LEAVES}))")
 def propositions(spark: SparkSession, sf: str) -> DataFrame:
-    """The first seven of each leaf, as the SQL has it; the operator gives all."""
-    return K.propositions(C.leaves(C.parents(load(spark, sf, "documents"))), replace(DEFAULT, max_propositions=7))
+    return K.propositions(C.leaves(C.parents(load(spark, sf, "documents"))))
 
 
 @query(f"WITH {RELATIONS} SELECT doc_id, pos, subject, relation, object FROM rel")
@@ -64,15 +63,15 @@ def graph_2hop(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("qid").agg(F.count("*").alias("reached"), F.count(F.when(F.col("node").startswith("s"), 1)).alias("suppliers"))
 
 
-@query(f"""WITH {RELATIONS}, seed AS (SELECT DISTINCT qid, node FROM (SELECT item_id AS qid, unnest({_Q}) AS node FROM benchmark) WHERE node IN (SELECT node FROM adj) AND length(node) > 6),
+@query(f"""WITH {RELATIONS}, seed AS (SELECT DISTINCT qid, node FROM (SELECT item_id AS qid, unnest({_Q}) AS node FROM benchmark) WHERE node IN (SELECT node FROM adj)),
 near AS (SELECT qid, node FROM seed UNION SELECT qid, neighbour FROM seed JOIN adj USING (node)),
 ind AS (SELECT s.qid, rel.*, row_number() OVER (PARTITION BY s.qid ORDER BY doc_id, pos) AS k FROM rel JOIN near s ON s.node = subject JOIN near o ON o.node = object AND o.qid = s.qid)
-SELECT qid, string_agg(subject || ' → ' || relation || ' → ' || object, chr(10) ORDER BY k) AS context FROM ind WHERE k <= 20 GROUP BY qid""")
+SELECT qid, 'Knowledge graph context:' || chr(10) || string_agg(subject || ' → ' || relation || ' → ' || object, chr(10) ORDER BY k) AS context FROM ind WHERE k <= 20 GROUP BY qid""")
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Relations around the longer words of each question."""
+    """Relations around the words of each question that are nodes of the graph."""
     rel = _relations(spark, sf)
     nodes = K.adjacency(rel).select("node").distinct()
-    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tokens(F.lower("text"))).alias("node")).where(F.char_length("node") > 6).distinct()
+    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tokens(F.lower("text"))).alias("node")).distinct()
     return K.graph_context(rel, words.join(nodes, "node", "left_semi").select("qid", "node"))
 
 
@@ -81,7 +80,7 @@ _ROUTES = ", ".join(f"({i}, '{label}', '{space}', '{ROUTE_WORDS[label]}')" for i
 
 @query(f"""WITH routes(ord, label, namespace, text) AS (VALUES {_ROUTES}),
 q AS (SELECT id AS qid, {BUCKET} AS bucket, sum({SIGN}) AS v FROM (SELECT item_id AS id, unnest({_Q}) AS token FROM benchmark) GROUP BY ALL),
-r AS (SELECT ord, {BUCKET} AS bucket, sum({SIGN}) AS w FROM (SELECT ord, unnest({TOKENS.format("text")}) AS token FROM routes) GROUP BY ALL),
+r AS (SELECT ord, {BUCKET} AS bucket, sum({SIGN}) AS w FROM (SELECT ord, unnest({TOKENS.format("lower(text)")}) AS token FROM routes) GROUP BY ALL),
 dots AS (SELECT qid, ord, sum(v * w) AS dot FROM q JOIN r USING (bucket) GROUP BY ALL), len AS (SELECT ord, sqrt(CAST(sum(w * w) AS DOUBLE)) AS len FROM r GROUP BY ord)
 SELECT qid, label, namespace FROM (SELECT item_id AS qid, label, namespace, row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(dot / len, 0), 6) DESC, routes.ord) AS k
 FROM benchmark CROSS JOIN routes JOIN len USING (ord) LEFT JOIN dots ON dots.qid = item_id AND dots.ord = routes.ord) WHERE k = 1""")
@@ -101,10 +100,9 @@ def classify_complexity(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", OFFLINE.complexity(F.col("text")).alias("complexity"))
 
 
-@query(f"SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS part, p[i] AS question FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, CASE WHEN len({SENTENCES}) > 0 THEN {SENTENCES}[1:4] ELSE [text] END AS p FROM conversations WHERE role = 'user'))")
+@query(f"SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS part, p[i] AS question FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, CASE WHEN len({SENTENCES}) > 0 THEN {SENTENCES} ELSE [text] END AS p FROM conversations WHERE role = 'user'))")
 def decompose_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """The first four parts of each turn, as the SQL has it; the provider gives all."""
-    return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(OFFLINE.decompose(F.col("text"), 4)).alias("part", "question"))
+    return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(OFFLINE.decompose(F.col("text"))).alias("part", "question"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -121,7 +119,7 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     v = load(spark, sf, "embeddings")
     entries = v.select(F.col("vec_id").alias("entry"), F.col("label").alias("collection"), "embedding", (F.col("vec_id") * 60).alias("expires_at"))
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("collection"), F.col("embedding").alias("q"))
-    return K.cache_lookup(asked, entries, F.lit(3600), replace(DEFAULT, cache_similarity=0.3))
+    return K.cache_lookup(asked, entries, F.lit(3600), replace(DEFAULT, cache_similarity=0.3), others=True)
 
 
 @query("""SELECT user_id, count(*) AS entries, count(*) FILTER (WHERE nxt IS NOT NULL AND nxt < ts + INTERVAL 3600 SECOND) AS hits FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) GROUP BY user_id""")

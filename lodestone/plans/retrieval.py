@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import cosine, tokens
-from lodestone.functions.vectors import hash_cells
+from lodestone.functions import cosine
+from lodestone.functions.vectors import embed
 from lodestone.operators import retrieval as R
 from lodestone.plans.text import BUCKET, SIGN, TOKENS
 from lodestone.registry import query
-from lodestone.sources.tables import bounded, load
+from lodestone.sources.tables import load
 
 _T = TOKENS.format("lower(text)")
 BM25 = f"""terms AS (SELECT doc_id, unnest({_T}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
@@ -39,16 +39,10 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_documents(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """Nearest documents of each question by hashed embeddings, over sparse cells: no pair without a bucket in common is made."""
-    words = lambda df, key: df.select(F.col(key).alias("id"), F.explode(tokens(F.lower("text"))).alias("token"))
-    d, q = hash_cells(words(load(spark, sf, "documents"), "doc_id"), ["id"]), hash_cells(words(load(spark, sf, "benchmark"), "item_id"), ["id"])
-    size = lambda c, name: c.groupBy("id").agg(F.sum(F.col("value") * F.col("value")).cast("double").alias(name))
-    left = d.select(F.col("id").alias("doc_id"), "bucket", F.col("value").alias("a"))
-    right = bounded(q.select(F.col("id").alias("qid"), "bucket", F.col("value").alias("b")), 100_000)
-    dots = left.join(right, "bucket").groupBy("qid", "doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    both = dots.join(size(q, "sq").withColumnRenamed("id", "qid"), "qid").join(size(d, "sd").withColumnRenamed("id", "doc_id"), "doc_id")
-    scored = both.select("qid", "doc_id", F.round(F.col("dot") / (F.sqrt("sq") * F.sqrt("sd")), 6).alias("score"))
-    return R.top(scored, k, F.desc("score"), "doc_id")
+    """Nearest documents of each question by hashed embeddings."""
+    vectors = embed(load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    asked = embed(questions(spark, sf), "qid").withColumnRenamed("embedding", "q")
+    return R.dense_topk(vectors, asked, k, others=False).withColumnRenamed("vec_id", "doc_id")
 
 
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +60,7 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    return R.bm25_stats(R.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.bm25_stats(R.document_frequencies(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM sparse WHERE rank <= 6")

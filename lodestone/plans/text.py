@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import collapse_blank_lines, tokens
-from lodestone.functions.vectors import hash_cells
+from lodestone.functions.vectors import text_cells
 from lodestone.operators import chunking as C
 from lodestone.registry import query
 from lodestone.sources.tables import load
@@ -39,14 +39,12 @@ def sentence_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {BUCKET} AS bucket, CAST(sum({SIGN}) AS BIGINT) AS value FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL HAVING sum({SIGN}) <> 0")
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    words = load(spark, sf, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return hash_cells(words, ["doc_id"])
+    return text_cells(load(spark, sf, "documents"), "doc_id")
 
 
 @query(f"WITH {WINDOW_CELLS} SELECT doc_id, pos, sim FROM sim")
 def adjacent_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.sentence_rows(load(spark, sf, "documents"))
-    return C.adjacent_similarity(C.window_cells(rows), rows)
+    return C.adjacent_similarity(load(spark, sf, "documents"))
 
 
 @query(f"""WITH {WINDOW_CELLS}, i AS (SELECT s.doc_id, s.pos, sentence, CAST(sum(CASE WHEN sim < 0.85 THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS BIGINT) AS chunk

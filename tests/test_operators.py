@@ -96,7 +96,7 @@ def test_sitemaps(spark):
 def test_crawl(spark):
     links = [("a", "b"), ("b", "a"), ("b", "c#x"), ("c", "d"), ("a", "c"), ("d", "e")]
     rows = [(f"https://h/{s}", f"https://h/{t}") for s, t in links] + [("https://h/a", "https://other/z"), ("https://h/a", "https://h/i.png")]
-    got = crawl(spark.createDataFrame(rows, "src string, dst string"), "https://h/a", rounds=3).collect()
+    got = crawl(spark.createDataFrame(rows, "src string, dst string"), "https://h/a").collect()
     assert [(r["url"][-1], r["depth"]) for r in got] == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
 
 
@@ -114,7 +114,7 @@ def test_grade(spark):
 
 def test_bm25_floor_and_repeats(spark):
     docs = spark.createDataFrame([(1, "the cat"), (2, "the dog"), (3, "the the bird")], "doc_id long, text string")
-    stats = {r["term"]: r["idf"] for r in R.bm25_stats(R.postings(docs), 3).collect()}
+    stats = {r["term"]: r["idf"] for r in R.bm25_stats(R.document_frequencies(docs), 3).collect()}
     assert stats["the"] > 0 or min(stats.values()) == stats["the"]
     q = spark.createDataFrame([(1, "Cat cat"), (2, "cat"), (3, "none")], "qid long, text string")
     s = {r["qid"]: r["score"] for r in R.bm25_scores(docs, q).collect()}
@@ -124,7 +124,7 @@ def test_bm25_floor_and_repeats(spark):
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 0, "a", "r", "b"), (1, 1, "b", "r", "c"), (1, 2, "c", "r", "d"), (1, 3, "a", "r", "b"), (2, 0, "a", "r", "a")], "doc_id long, pos int, subject string, relation string, object string")
     seeds = spark.createDataFrame([(7, "a")], "qid long, node string")
-    assert K.graph_context(edges, seeds).first()["context"].split("\n") == ["a → r → b", "a → r → b", "a → r → a"]
+    assert K.graph_context(edges, seeds).first()["context"].split("\n") == ["Knowledge graph context:", "a → r → b", "a → r → b", "a → r → a"]
     adjacent = K.adjacency(edges)
     assert {r["node"] for r in K.reach(adjacent, seeds, 2).collect()} == {"a", "b"}
     assert {r["node"] for r in K.reach(adjacent, seeds, 2, inclusive=True).collect()} == {"a", "b", "c"}
@@ -181,18 +181,73 @@ def test_asof_and_range(spark):
     assert sorted((x["p"], x["n"]) for x in range_join(p, r, "p", "lo", "hi", 7.0).collect()) == [(0.0, 1), (9.9, 1), (9.9, 2), (10.0, 2), (25.0, 2)]
 
 
-def test_engine(spark, tmp_path):
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
     from lodestone.engine import Engine
 
-    pages = spark.createDataFrame([(f"https://h/{i}", f"<p>Page {i} tells of topic{i} now. It is long. It ends.</p>") for i in range(6)], "url string, html string")
-    e = Engine(spark, str(tmp_path))
+    pages = spark.createDataFrame([(f"https://h/{i}", f"<p>Page {i} tells of topic{i} now. It is long. It ends.</p>") for i in range(6)] + [("https://h/none", "<p> </p>")], "url string, html string")
+    e = Engine(spark, str(tmp_path_factory.mktemp("engine")))
+    assert e.ingest_status("c") == "not_started"
     first = e.ingest(pages, "c").first().asDict()
-    assert first == e.ingest(pages, "c").first().asDict() and first["pages"] == 6
-    got = e.query("Page topic3", "c")
-    assert got["sources"][0]["url"] == "https://h/3" and not got["web_fallback"]
-    assert e.query("zzz qqq", "c")["web_fallback"]
+    assert first == e.ingest(pages, "c").first().asDict() and first["pages"] == 6 and e.ingest_status("c") == "done"
+    assert first["leaves"] == first["parents"] >= 6 and first["tree_levels"] >= 1 and first["relations"] >= 6
+    return e
+
+
+def test_engine_answers(spark, engine):
+    got = engine.query("Page 3 tells topic3", "c", routing="semantic", use_hyde=False)
+    assert "https://h/3" in {s["url"] for s in got["sources"]} and not got["web_fallback"] and not got["cache_hit"] and got["complexity"] == "simple"
+    assert got["retrieval_method"].startswith("hybrid+rrf")
+    with pytest.raises(ValueError):
+        engine.query("no", "c")
     with pytest.raises(ValueError):
-        e.query("no", "c")
+        engine.query("long enough", "c", top_k=21)
+    frames = list(engine.query_stream("Page 2 tells topic2", "c"))
+    assert frames[-1] == "data: [DONE]\n\n" and len(frames) > 2
+    assert engine.health()["status"] == "ok"
+
+
+def test_engine_falls_back_refines_and_caches(spark, engine):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    later = F.lit("2024-01-01 00:59:59").cast("timestamp")
+    expired = F.lit("2024-01-01 01:00:01").cast("timestamp")
+    engine.cache_clear("c")
+    asked = spark.createDataFrame([(1, "zzz qqq vvv"), (2, "Page 4 tells of topic4 now."), (3, None)], "qid long, text string")
+    first = {r["qid"]: r for r in engine.query_batch(asked, "c", now=now).collect()}
+    assert set(first) == {1, 2, 3} and first[1]["web_fallback"] and first[3]["web_fallback"] and not first[2]["web_fallback"]
+    assert first[1]["retrieval_method"].startswith("web-fallback") and first[1]["retrieval_method"].endswith("+self-rag")
+    assert engine.cache_stats("c", now)["size"] == 3
+    again = {r["qid"]: r for r in engine.query_batch(asked, "c", now=later).collect()}
+    assert again[2]["cache_hit"] and again[2]["answer"] == first[2]["answer"] and again[2]["cache_similarity"] == 1.0
+    assert engine.query_batch(asked.where("qid = 2"), "other", now=later).first()["cache_hit"] is False
+    assert not engine.query_batch(asked.where("qid = 2"), "c", now=expired).first()["cache_hit"]
+    engine.cache_evict("c", F.lit("2025-01-01").cast("timestamp"))
+    assert engine.cache_stats("c", now)["size"] == 0
+
+
+def test_engine_answers_complex_questions_in_parts(spark, engine):
+    parts = [f"Does page {i} tell of topic{i} now or does it not tell at all?" for i in range(3)]
+    r = engine.query_batch(spark.createDataFrame([(9, " ".join(parts))], "qid long, text string"), "c").first()
+    assert r["complexity"] == "complex" and r["retrieval_method"] == "multi-hop" and not r["web_fallback"]
+    assert {f"https://h/{i}" for i in range(3)} <= {s["url"] for s in r["sources"]} and r["answer"].count("\n\n") == 2
+
+
+def test_discover_site(spark):
+    from lodestone.sources.web import discover_site, robots_sitemaps
+
+    robots = spark.createDataFrame([("https://a", "User-agent: *\nSITEMAP: https://a/gone.xml\nsitemap:https://a/map.xml"), ("https://b", "")], "origin string, body string")
+    assert [(r["priority"], r["url"]) for r in robots_sitemaps(robots).orderBy("priority").collect()] == [(1, "https://a/gone.xml"), (2, "https://a/map.xml")]
+    files = [("https://a/map.xml", 200, "<urlset><url><loc>https://a/docs/x/</loc></url><url><loc>https://a/docs/x</loc></url><url><loc>https://a/blog</loc></url></urlset>"), ("https://a/gone.xml", 404, "<url"), ("https://b/sitemap.xml", 200, "<html>")]
+    fetched = spark.createDataFrame(files, "source string, status int, body string")
+    links = spark.createDataFrame([("https://b/docs", "https://b/docs/1"), ("https://b/docs/1", "https://b/other")], "src string, dst string")
+    assert [r["url"].rstrip("/") for r in discover_site("https://a/docs", robots, fetched, links).collect()] == ["https://a/docs/x"]
+    assert [r["url"] for r in discover_site("https://b/docs", robots, fetched, links).collect()] == ["https://b/docs", "https://b/docs/1"]
+
+
+def test_evaluation(spark):
+    rows = spark.createDataFrame([(1, "what is a", "a is b", ["a is b", "c"], "a is b"), (2, "q", None, ["c"], None), (3, "q x", "x y", ["x"], None)], "qid int, question string, answer string, contexts array<string>, ground_truth string")
+    got = {r["qid"]: tuple(r)[1:] for r in K.evaluate(rows).collect()}
+    assert got[1] == (1.0, 0.6667, 0.6667, 1.0) and got[2] == (-1.0, -1.0, -1.0, None) and got[3] == (0.5, 0.5, 0.5, None)
 
 
 def test_config_is_the_contract():
