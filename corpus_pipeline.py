@@ -3,7 +3,7 @@
 1. toxicity: documents that the classifier predicts toxic go.
 2. language: documents in no language that the corpus' profiles know go.
 3. line_dedup: lines that an earlier line makes redundant go, and documents that lose all their lines.
-4. ngram_join: of each group of near duplicates, the document with the smallest doc_id stays.
+4. ngram_join: of each group of near duplicates, the document with the smallest doc_id stays, once; null ids come last.
 5. packing: the texts that are left, as pieces in sequences of at most 1024 tokens.
 
 Stages 1 to 4 return the columns of ``documents``. Documents are told apart by (doc_id, text): wholly equal rows fare alike.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import stage
 from lodestone.llm.language import UND, document_rows, fit_profiles, identify
 from lodestone.llm.line_dedup import dedup_lines
-from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.ngram_join import keep_one
 from lodestone.llm.packing import best_fit_packing
 from lodestone.llm.queries import table, vocabulary
 from lodestone.llm.toxicity import fit, keep_clean, training_labels
@@ -60,10 +60,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    copies = stage(copies, "copies")
-    copies = F.broadcast(copies) if copies.count() <= KEYS else copies
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    return keep_one(docs.select(COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

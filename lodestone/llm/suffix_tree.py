@@ -11,9 +11,9 @@ distribution sums to one. A word is predicted by its longest suffix state.
 
 The tree is a table. What a state adds to its parent's prediction depends on the n-gram alone: so each n-gram of a text has
 one value (``values``), as a successor and as a context, and a text's states add the sum of them to the root. Tasks know
-the values of at most ``common`` n-grams, the most frequent, and the probabilities of as many words. The others are joined
-by hash to the whole tables, as (text, n-gram, times) rows; frequent ones, the skewed ones, aren't among them. n-grams that
-can't be in a table are left out before by a bitmap of fixed size, which may let others pass, but loses none.
+the values of at most ``common`` n-grams and words, the most frequent. The others are joined by hash to the whole table, as
+(text, n-gram, times) rows, in one pass; frequent ones, the skewed ones, aren't among them. n-grams and words that can't be
+in the table are left out before by a bitmap of fixed size, which may let others pass, but loses none.
 
 ``Tree`` and ``grow`` are the same in the memory of one machine; the tests hold the table against them.
 
@@ -32,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bits import bitmap, has
 from ._shared import drop_stage, in_arrow, stage
 from ._text import Slice, slices
 
@@ -40,8 +41,6 @@ GATHERED = 1_000_000
 SHIFT = 22
 #: Hashes of a text's start and end.
 START, END = np.int64(0x5BD1E9955BD1E995), np.int64(0x1B8735939E3779B9)
-#: Bits of a bitmap of keys, and of each of its blocks.
-BITS, BLOCK = 1 << 27, 1 << 15
 #: Rows of a level up to which it is broadcast; beyond, joins with it are shuffled.
 ROWS = 300_000
 
@@ -252,31 +251,6 @@ def _levels(part: Slice, most: int) -> tuple[np.ndarray, list[np.ndarray], list[
     return owner, keys, ok
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of ``keys`` (key): BITS of them, whatever the input."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS // 8, np.uint8)
-        for b in batches:
-            at = b.column("key").to_numpy() & (BITS - 1)
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        bits = bits.reshape(-1, BLOCK // 8)
-        for i in np.flatnonzero(bits.any(1)):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([int(i)], pa.int32()), "bits": pa.array([bits[i].tobytes()], pa.binary())})
-
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.shiftright(F.col("key").bitwiseAND(F.lit(BITS - 1)), BLOCK.bit_length() - 1)
-    out = np.zeros((BITS // BLOCK, BLOCK // 8), np.uint8)
-    for r in keys.select("key").repartition(n, block).transform(in_arrow, run, "block int, bits binary").collect():  # at most BITS / BLOCK rows
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
     """ctx, suf and n of n-grams of a length, of all whose context and suffix are in the bitmap."""
 
@@ -285,7 +259,7 @@ def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFra
         for b in batches:
             for part in slices(b.column("text")):
                 _, keys, ok = _levels(part, length - 1)
-                below, fits = keys[-1], ok[-1] & _has(bits, keys[-1])
+                below, fits = keys[-1], ok[-1] & has(bits, keys[-1])
                 at = np.flatnonzero(fits[:-1] & fits[1:] & (keys[0][1:] != START)) + 1
                 _, first, n = np.unique(pair_keys(below[at - 1], below[at]), return_index=True, return_counts=True)
                 at = at[first]
@@ -310,7 +284,7 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     levels, contexts = [stage(words.select("key", "n", ((F.col("n") + 0.5) / F.lit(scale)).alias("p")), "tree-words")], []
     for length in range(2, depth + 2):
         below = levels[-1]
-        sent = spark.sparkContext.broadcast(_bitmap(below))
+        sent = spark.sparkContext.broadcast(bitmap(below))
         found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
         sent.unpersist()
         below = _small(below)
@@ -345,89 +319,63 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     return both
 
 
-def _gains(docs: DataFrame, tree: DataFrame, common: int, most: int) -> DataFrame:
-    """row and gain, what the states add to each text, times the number of equal rows."""
-    top = _most_frequent(tree, common).toPandas().sort_values("key")
-    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["value"].to_numpy(float), _bitmap(tree)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, worth, bits = sent.value
-        for b in batches:
-            row = b.column("row").to_numpy()
-            for part in slices(b.column("text")):
-                owner, keys, ok = _levels(part, most)
-                own, total = row[part.lo : part.hi], np.zeros(part.n)
-                for k, fits in zip(keys, ok, strict=True):
-                    at = np.flatnonzero(fits & _has(bits, k))
-                    place = _find(known, k[at])
-                    hit = place >= 0
-                    total += np.bincount(owner[at[hit]], weights=worth[place[hit]], minlength=part.n)
-                    at = at[~hit]
-                    order = at[np.lexsort((k[at], owner[at]))]
-                    h, doc = k[order], owner[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.append(first, len(h))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[doc[first]]), pa.array(h[first]), pa.array(times), pa.array(np.zeros(len(first)))], ["row", "key", "times", "gain"])
-                # what is summed already; its key is any, as it is taken no times
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.zeros(part.n, np.int32)), pa.array(total)], ["row", "key", "times", "gain"])
-
-    rows = docs.select("row", "text").transform(in_arrow, run, "row long, key long, times int, gain double")
-    rows = rows.join(tree.select("key", "value"), "key", "left")
-    return rows.groupBy("row").agg(F.sum(F.col("gain") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("gain"))
-
-
-def _text_sums(docs: DataFrame, frequent: Broadcast, base_end: float, end_known: bool) -> DataFrame:
-    """Of each text: its words, and sums over its end and its frequent words."""
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows from some power of two on, the least such that there are at most ``most``: nothing is sorted for it."""
+    levels = {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
+    total, least = 0, 63
+    while least > 0 and total + levels.get(least - 1, 0) <= most:
+        least -= 1
+        total += levels.get(least, 0)
+    return counts.where(F.col("n") >= F.lit(1 << least))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base = frequent.value
-        for b in batches:
-            for part in slices(b.column("text")):
-                h, doc = _words(part)
-                at = _find(keys, h)
-                hit = at >= 0
-                known = np.bincount(doc[hit], minlength=part.n) + int(end_known)
-                sums = np.bincount(doc[hit], weights=base[at[hit]], minlength=part.n) + base_end
-                cols = [b.column("row").slice(part.lo, part.n), b.column("doc_id").slice(part.lo, part.n), pa.array(np.bincount(doc, minlength=part.n) + 1), pa.array(known), pa.array(sums)]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base"])
 
-    return docs.select("row", "doc_id", "text").transform(in_arrow, run, "row long, doc_id long, n_tokens long, n_known long, base double")
+#: What a row of a text is: an n-gram or a word to look up, or the text's own sums, ids and size.
+GRAM, WORD, BASE, VALUE, KNOWN, SIZE, NULL_SIZE = range(7)
+ROWS_OF_TEXT = "row long, key long, slot byte, amount double"
 
 
-def _rare_words(docs: DataFrame, frequent: Broadcast) -> DataFrame:
-    """row, key and n of the words that aren't frequent."""
+def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missing: float) -> DataFrame:
+    """Rows of each text (row, doc_id, text): sums over what tasks know, and times for each key that must be looked up."""
+    top = _most_frequent(table, common).toPandas().sort_values("key")
+    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), bitmap(table)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _ = frequent.value
+        known, base, value, bits = sent.value
+        is_word = ~np.isnan(base)
+        base = np.nan_to_num(base)
         for b in batches:
+            row, ids = b.column("row").to_numpy(), b.column("doc_id")
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
             for part in slices(b.column("text")):
-                h, doc = _words(part)
-                rare = _find(keys, h) < 0
-                h, doc = h[rare], doc[rare]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(h))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("row").slice(part.lo, part.n).take(pa.array(doc[first])), pa.array(h[first]), pa.array(n)], ["row", "key", "times"])
-
-    return docs.select("row", "text").transform(in_arrow, run, "row long, key long, times int")
-
+                owner, keys, ok = _levels(part, most)
+                own, sums = row[part.lo : part.hi], np.zeros((3, part.n))
+                out = []
+                for length, (k, fits) in enumerate(zip(keys, ok, strict=True)):
+                    there = has(bits, k)
+                    if not length:
+                        sums[0] += missing * np.bincount(owner[~there & (k != START)], minlength=part.n)
+                    at = np.flatnonzero(fits & there)
+                    place = _find(known, k[at])
+                    hit = at[place >= 0]
+                    for total, worth in zip(sums, (base, value, is_word), strict=True):
+                        total += np.bincount(owner[hit], weights=worth[place[place >= 0]], minlength=part.n)
+                    at = at[place < 0]
+                    order = at[np.lexsort((k[at], owner[at]))]
+                    first = np.flatnonzero((np.diff(k[order], prepend=0) != 0) | (np.diff(owner[order], prepend=-1) != 0))
+                    slot = np.where(k[order[first]] == START, GRAM, WORD) if not length else np.full(len(first), GRAM)
+                    out.append((own[owner[order[first]]], k[order[first]], slot, np.diff(np.append(first, len(order)))))
+                for slot, total in ((BASE, sums[0]), (VALUE, sums[1]), (KNOWN, sums[2])):
+                    out.append((own, own, np.full(part.n, slot), total))
+                size = np.bincount(owner, minlength=part.n) - 1
+                nulls = null[part.lo : part.hi]
+                out.append((own, np.where(nulls, own, ids[part.lo : part.hi]), np.where(nulls, NULL_SIZE, SIZE), size))
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int8)), pa.array(cols[3].astype(float))], ["row", "key", "slot", "amount"])
 
-def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words from some power of two on, the least such that there are at most ``most``: nothing is sorted for it."""
-    levels = {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
-    total, least = 0, 63
-    while least > 0 and total + levels.get(least - 1, 0) <= most:
-        least -= 1
-        total += levels.get(least, 0)
-    return counts.where(F.col("n") >= F.lit(1 << least))
+    return docs.select("row", "doc_id", "text").transform(in_arrow, run, ROWS_OF_TEXT)
 
 
-def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, least_n: int = 4) -> DataFrame:
+def score_texts(docs: DataFrame, train, common: int = 524_288, depth: int = 3, least_n: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``train`` is a condition on doc_id that says which rows to learn from. base_score is the root's alone.
@@ -443,16 +391,27 @@ def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, l
     scale = total + 0.5 * (kinds + 1)
     tree = values(learnt, counts, ends, scale, depth, least_n)
 
-    top = _most_frequent(counts, common).toPandas().sort_values("key")
-    frequent = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.log10((top["n"].to_numpy(float) + 0.5) / scale)))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    near = _text_sums(docs, frequent, float(np.log10((ends + 0.5) / scale)), ends > 0)
-    # equal rows share a key: one stands for all
-    near = near.groupBy("row", "doc_id").agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base")))
-    n = F.coalesce("n", F.lit(0))
-    far = _rare_words(docs, frequent).join(counts, "key", "left")
-    far = far.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(scale))).alias("rare"))
-    both = near.join(far, "row", "left").join(_gains(docs, tree, common, depth + 1), "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    base = F.col("base") + F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0))
-    known = F.col("n_known") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))
-    return both.select("doc_id", (~train).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") / F.col("copies")).alias("score"))
+    # one table: of words the root's log10 probability, of n-grams (words as contexts too) what states add
+    words = counts.unionByName(spark.createDataFrame([(int(END), ends)], "key long, n long").where("n > 0"))
+    words = words.select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(scale)).alias("base"), F.lit(0.0).alias("value"))
+    both = words.unionByName(tree.select("key", "n", F.lit(None).cast("double").alias("base"), "value"))
+    table = stage(both.groupBy("key").agg(F.max("n").alias("n"), F.max("base").alias("base"), F.sum("value").alias("value")), "root-and-tree")
+    drop_stage(tree, counts)
+
+    missing = float(np.log10(0.5 / scale))
+    rows = _text_rows(docs.withColumn("row", F.xxhash64("doc_id", "text")), table, common, depth + 1, missing)
+    rows = rows.join(table.select("key", "base", "value").hint("shuffle_hash"), "key", "left")
+    slot, amount = F.col("slot"), F.col("amount")
+    total_of = lambda s, looked: F.sum(F.when(slot == s, amount).when(looked[0], amount * looked[1]))
+    sums = rows.groupBy("row").agg(
+        F.max(F.when(slot == SIZE, F.col("key"))).alias("doc_id"),
+        F.max(F.when(slot >= SIZE, amount)).cast("long").alias("n_tokens"),
+        F.count(F.when(slot >= SIZE, 1)).alias("copies"),
+        total_of(BASE, (slot == WORD, F.coalesce("base", F.lit(missing)))).alias("base"),
+        total_of(VALUE, (slot <= WORD, F.coalesce("value", F.lit(0.0)))).alias("value"),
+        total_of(KNOWN, (slot == WORD, F.when(F.col("base").isNotNull(), 1).otherwise(0))).alias("known"),
+    )
+    # equal rows share a key: their sums are as many times one's
+    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    base, value = F.col("base") / F.col("copies"), F.col("value") / F.col("copies")
+    return each.select("doc_id", (~train).alias("held_out"), "n_tokens", F.round(F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + value).alias("score"))

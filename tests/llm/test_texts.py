@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.language import document_rows, fit_profiles, identify, page_rows
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.media import chunks, cuts, media_columns
-from lodestone.llm.ngram_join import ngram_components
+from lodestone.llm.ngram_join import keep_one, ngram_components
+from lodestone.llm.partenum import signatures
 from lodestone.llm.suffix_tree import score_texts
+from lodestone.llm import topk
 from lodestone.llm.topk import exact_top_k, quantised
 from lodestone.llm.toxicity import IDENTITY, fit, keep_clean, score
 
@@ -85,6 +87,59 @@ def test_ngram_components(spark):
     assert got == brute_components(texts)
 
 
+def test_ngram_components_of_long_texts_and_short_sets(spark):
+    """Coarser parts, so that signatures are long and some sets short; texts of over 1,000 words."""
+    rng = random.Random(17)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=n)) for n in (1300, 1300, 520, 60, 60, 30, 14, 8)]
+    texts = list(base)
+    for _ in range(150):
+        w = words(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 20 + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1, 2))] = [f"n{rng.random()}"] * rng.choice((0, 1))
+            w = w or ["x"]
+        texts.append(" ".join(w))
+    want = brute_components(texts)
+    for coarse in (0, 4, 9):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(frame(spark, texts), coarse=coarse).collect()}
+        assert got == want, coarse
+
+
+def test_partenum_signatures():
+    """Linked sets share a signature unless one is short; contents of subsets are never empty."""
+    rng = np.random.default_rng(1)
+    linked = 0
+    for _ in range(1500):
+        a = int(rng.choice([1, 2, 3, 4, 5, 7, 8, 12, 16, 31, 32, 33, 64, 127, 128, 200, 255, 256, 900]))
+        one = np.unique(rng.integers(0, 2**64, a, dtype=np.uint64))
+        two = np.unique(np.concatenate((rng.permutation(one)[: a - rng.integers(0, a // 4 + 1)], rng.integers(0, 2**64, rng.integers(0, a // 3 + 1), dtype=np.uint64))))
+        both = len(np.intersect1d(one, two))
+        for coarse in (0, 2):
+            own, sig, short = signatures(np.concatenate((one, two)), np.array([0, len(one)]), np.array([len(one), len(two)]), coarse=coarse)
+            assert coarse or not short.any()
+            if 100 * both >= 75 * (len(one) + len(two) - both) and not short.any():
+                linked += 1
+                assert len(np.intersect1d(sig[own == 0], sig[own == 1]))
+    assert linked > 500
+
+
+def test_keep_one_of_each_component(spark):
+    a, near, b = "one two three four five six seven eight nine ten eleven twelve", "one two three four five six seven eight nine ten eleven twelve thirteen", "another text of its own that has nothing in common with the first"
+    rows = [(5, near, 1), (3, a, 2), (3, a, 3), (3, b, 4), (None, b, 5), (None, "texts without an id stay if they are alone there is no doubt", 6), (None, "", 7), (8, None, 8), (None, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(df).collect()), key=str)
+    assert got == sorted([(3, a), (3, b), (None, rows[5][1]), (None, ""), (None, ""), (8, None)], key=str)
+    assert keep_one(df).columns == df.columns
+    assert keep_one(df.limit(0)).count() == 0
+
+
+def test_null_ids_link_others(spark):
+    w = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w), " ".join(w[:50]), " ".join(w[:42])]  # the first and the last aren't near
+    got = ngram_components(spark.createDataFrame([(1, texts[0]), (None, texts[1]), (2, texts[2])], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (2, 1)}
+
+
 def test_ngram_components_of_nothing(spark):
     assert ngram_components(frame(spark, [])).count() == 0
 
@@ -300,6 +355,38 @@ def test_exact_top_k_asks_all_rows_of_a_repeated_id(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 10**6, 10**9, 2**40, 2**61])
+def test_exact_top_k_of_large_components(spark, size):
+    """Sums that 64-bit floats, and integers, don't hold."""
+    rng = random.Random(size)
+    rows = [(i, [float(rng.randint(-size, size)) for _ in range(6)]) for i in range(90)] + [(90, [float(size), 1.0, 0.0, 0.0, 0.0, 0.0]), (100, [float(size), 1.0, 0.0, 0.0, 0.0, 0.0])]
+    data = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = sorted(tuple(r) for r in exact_top_k(data, data.where("id % 50 = 0"), 4).collect())
+    want = []
+    for q, v in ((i, x) for i, x in rows if i % 50 == 0):
+        score = lambda x, v=v: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, x, strict=True))))
+        s = sorted((-score(x), i) for i, x in rows if i != q)[:4]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert got == sorted(want)
+    if size == 10**6:
+        assert (100, 1, 90, 10**12 + 1) in got or any(r[0] == 100 and r[3] >= 10**12 + 1 for r in got)
+
+
+def test_exact_top_k_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few rows over a grid of several groups of both."""
+    monkeypatch.setattr(topk, "ROWS", 7)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.integers(-40, 40, 5 if i % 3 else 9).astype(float).tolist()) for i in range(400)]
+    data = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = sorted(tuple(r) for r in exact_top_k(data, data.where("id % 10 = 0"), 3).collect())
+    want = []
+    for q, v in rows[::10]:
+        s = sorted((-int(np.dot(v, x)), i) for i, x in rows if i != q and len(x) == len(v))[:3]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert got == sorted(want)
+
+
 def test_exact_top_k_of_few(spark):
     data = quantised(spark.createDataFrame([(0, [1.0, -1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in exact_top_k(data, data.where("id = 0")).collect()] == [(0, 1, 1, 0)]
