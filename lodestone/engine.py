@@ -19,7 +19,7 @@ from lodestone.functions.vectors import embed
 from lodestone.operators import answers as A
 from lodestone.operators import chunking, knowledge, retrieval
 from lodestone.providers import OFFLINE, Offline
-from lodestone.sources.sinks import latest, server_sent_events, write_partitioned
+from lodestone.sources.sinks import server_sent_events, write_partitioned
 
 CACHE = "entry long, question string, embedding array<long>, answer string, sources array<struct<url:string,text:string>>, retrieval_method string, web_fallback boolean, namespace string, complexity string, expires_at timestamp, collection string"
 TABLES = ("pages", "parents", "leaves", "propositions", "relations", "chunks", "tree", "postings", "terms")
@@ -196,7 +196,7 @@ class Engine:
         # a question without any hit falls back too
         alone = questions.join(graded.where(~F.col("web_fallback")).select("qid").distinct(), "qid", "left_anti")
         web = self._keep(self.web(self._keep(alone, "to-web"), collection), "web")
-        asked = graded.unionByName(alone.select("qid").withColumn("web_fallback", F.lit(True)), allowMissingColumns=True)
+        asked = retrieval.union(graded, alone.select("qid").withColumn("web_fallback", F.lit(True)))
         answered = A.generate(A.with_web(asked, web), questions, self.graph_context(questions, collection), self.config, self.provider)
         fell = alone.select("qid", F.lit(True).alias("fell"))
         answered = answered.join(fell, "qid", "left").withColumn("web_fallback", F.coalesce("fell", F.lit(False))).drop("fell")
@@ -222,7 +222,8 @@ class Engine:
         both = parts.join(single.drop("question").withColumnRenamed("qid", "sub"), "sub").withColumnRenamed("text", "question")
         made = self._keep(A.synthesize(both, self.provider), "made")
         self.cache_set(made.join(missed, "qid").join(vectors, "qid"), collection, now)
-        out = made.withColumns({"cache_hit": F.lit(False), "cache_similarity": F.lit(None).cast("double")}).unionByName(hits)
+        out = made.withColumns({"cache_hit": F.lit(False), "cache_similarity": F.lit(None).cast("double")})
+        out = retrieval.union(out, hits)
         path = f"{self._path('answers')}/{self._run}"
         out.write.parquet(path)
         self._forget()
@@ -266,9 +267,7 @@ class Engine:
         """Add answers (with text and embedding) for the time-to-live; the expired ones go, and of equal questions the new one stays."""
         expires = (now + F.expr(f"INTERVAL {self.config.cache_ttl_seconds} SECONDS")).cast("timestamp")
         new = rows.select(F.xxhash64("text").alias("entry"), F.col("text").alias("question"), "embedding", "answer", "sources", "retrieval_method", "web_fallback", "namespace", "complexity", expires.alias("expires_at"), F.lit(collection).alias("collection"))
-        live = self._cache(collection).where(F.col("expires_at") > now)
-        kept = latest(live.unionByName(new), ["entry"], "expires_at")
-        self._write(self._keep(kept, "cache"), "cache", collection)
+        self._write(self._keep(knowledge.cache_put(self._cache(collection), new, now), "cache"), "cache", collection)
 
     def cache_evict(self, collection: str, now=None) -> None:
         """Drop expired entries."""

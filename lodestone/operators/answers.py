@@ -46,7 +46,7 @@ def retrieve(index: Index, questions: DataFrame, top_k: int, hyde: bool = True,
     if hybrid:
         scores = retrieval.bm25_from(index.post, index.stats, index.mean_length, questions, config).withColumn("score", F.round("score", 6))
         sparse = retrieval.top(scores, 2 * top_k, F.desc("score"), "doc_id").select("qid", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("id"))
-        fused = retrieval.rrf(dense.select("qid", F.lit(0).alias("list_no"), "rank", "id").unionByName(sparse), top_k, config).select("qid", "rank", "id")
+        fused = retrieval.rrf(retrieval.union(dense.select("qid", F.lit(0).alias("list_no"), "rank", "id"), sparse), top_k, config).select("qid", "rank", "id")
     else:
         fused = dense.where(F.col("rank") <= top_k).select("qid", "rank", "id")
     found = fused.join(dense.select("qid", "id", "score"), ["qid", "id"], "left").join(index.chunks.select("id", "url", "text"), "id")
@@ -70,7 +70,7 @@ def with_web(graded: DataFrame, web: DataFrame) -> DataFrame:
     kept = graded.where(~F.col("web_fallback"))
     asked = graded.where("web_fallback").select("qid").distinct()
     new = web.join(asked, "qid", "left_semi").withColumn("retrieval_method", F.lit("web-fallback")).withColumn("web_fallback", F.lit(True))
-    return kept.unionByName(new, allowMissingColumns=True)
+    return retrieval.union(kept, new)
 
 
 def generate(hits: DataFrame, questions: DataFrame, graph: DataFrame | None, config: Config = DEFAULT, provider: Offline = OFFLINE) -> DataFrame:
@@ -111,7 +111,7 @@ def refine(answers: DataFrame, again: Callable[[DataFrame], DataFrame], config:
         made = generate(rerank(again(asked), own, config), own, None, config, provider)
         before = failed.select("qid", F.col("retrieval_method").alias("m"), F.col("web_fallback").alias("w"))
         made = made.drop("retrieval_method", "web_fallback").join(before, "qid").withColumn("retrieval_method", F.concat("m", F.lit("+self-rag"))).withColumnRenamed("w", "web_fallback").drop("m")
-        answers = keep(answers.join(failed.select("qid"), "qid", "left_anti").unionByName(made), f"refined-{k}")
+        answers = keep(retrieval.union(answers.join(failed.select("qid"), "qid", "left_anti"), made), f"refined-{k}")
     return answers
 
 

@@ -96,6 +96,13 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, now, config: Config = DEF
     return best.where(hit).select("qid", F.col("vec_id").alias("entry"), F.col("score").alias("similarity"))
 
 
+def cache_put(stored: DataFrame, new: DataFrame, now) -> DataFrame:
+    """The live entries of both (entry, ..., expires_at); of one entry, the one that lives longest."""
+    w = Window.partitionBy("entry").orderBy(F.desc("expires_at"))
+    live = stored.unionByName(new).where(F.col("expires_at") > now)
+    return live.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert or replace by key: a stored row stays unless a new one has its key."""
     return stored.join(new.select(key), key, "left_anti").unionByName(new)

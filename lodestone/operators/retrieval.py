@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
 from lodestone.functions import cosine, tokens
+from lodestone.functions.text import once
 from lodestone.functions.batches import Tokens, each, rounded
 from lodestone.sources.tables import bounded
 
@@ -155,6 +156,12 @@ def dense_topk(vectors: DataFrame, questions: DataFrame, k: int | None = None, c
     return top(best, k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
 
 
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both. The second's ``qid`` is made anew, so that Spark doesn't zip the partitions of two sides dealt by it, which fails
+    where it has coalesced those of one side."""
+    return a.unionByName(b.withColumn("qid", once(F.col("qid"), lambda q: q)), allowMissingColumns=True)
+
+
 def rrf(rankings: DataFrame, k: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """Of rankings (qid, list_no, rank from 1, id): qid, rank, id and the sum of 1/(k + rank).
 

@@ -49,7 +49,7 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """qid, rank, id and score of dense and sparse lists of twelve, fused to six."""
     dense = dense_documents(spark, sf, 12).select("qid", F.lit(0).alias("list_no"), "rank", F.col("doc_id").alias("id"))
     sparse = R.bm25_topk(load(spark, sf, "documents"), questions(spark, sf), 12).select("qid", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("id"))
-    return R.rrf(dense.unionByName(sparse))
+    return R.rrf(R.union(dense, sparse))
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:

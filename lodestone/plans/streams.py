@@ -19,6 +19,12 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return S.run_to_table(S.sessions(S.event_stream(spark, sf))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT make_timestamp((CAST(floor(epoch(ts) / 21600) AS BIGINT) - k) * 21600 * 1000000) AS start, event_type, count(*) AS n FROM events, range(0, 4) t(k) GROUP BY ALL")
+def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a day every six hours."""
+    return S.run_to_table(S.sliding(S.event_stream(spark, sf))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Each event twice in the stream, counted once."""

@@ -22,6 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from lodestone import plans
 

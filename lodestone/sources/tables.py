@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,21 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; only in one process, as in tests, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder; as it is where none is set, as in tests."""
     sc = df.sparkSession.sparkContext
@@ -19,6 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df
 
 
+def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows``, or ``others`` where there are none."""
+    return others if rows.isEmpty() else rows
+
+
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of whole files, in UTF-8, one document a file; its url is unknown."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return rows.withColumn("url", F.lit(""))
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; else joins with it are shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -279,6 +279,37 @@ def test_streams(spark, tmp_path):
     assert [r["slug"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a"]
 
 
+def test_late_rows_and_expired_state(spark, tmp_path):
+    """Files, one a batch: a row behind the watermark is left out of the window that it closed; an expired key misses."""
+    from lodestone.streaming import windows as S
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    batches = [[(1, "2024-01-01 10:00:00"), (2, "2024-01-01 11:00:00")], [(3, "2024-01-05 00:00:00")], [(7, "2024-01-05 00:10:00")], [(4, "2024-01-01 12:00:00"), (5, "2024-01-05 00:30:00"), (6, "2024-01-09 00:00:00")]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, t, 7, "view", 1.0) for i, t in rows], "event_id long, t string, user_id long, event_type string, value double")
+        df.select("event_id", F.col("t").cast("timestamp").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    counts = S.tumbling(read(), "1 day", "1 hour")
+    got = {str(r["start"])[:10]: r["n"] for r in S.run_to_table(counts, "append").collect()}
+    assert got["2024-01-01"] == 2 and got["2024-01-05"] == 3  # without event 4
+    hits = {str(r["ts"]): r["hit"] for r in S.run_to_table(S.with_ttl(read().select(F.col("user_id").alias("key"), "ts"), late="1 hour"), "append").collect()}
+    assert hits["2024-01-05 00:30:00"] and not hits["2024-01-09 00:00:00"] and not hits["2024-01-01 10:00:00"]
+
+
+def test_text_files_and_other_formats(spark, tmp_path):
+    from lodestone.sources.tables import or_else, text_files
+
+    (tmp_path / "a.txt").write_text("One.\nTwo é", encoding="utf-8")
+    row = text_files(spark, f"{tmp_path}/a.txt").first()
+    assert row["text"] == "One.\nTwo é" and row["url"] == "" and row["path"].endswith("a.txt")
+    df = spark.createDataFrame([(1, "x,y", None), (2, "", 2.5)], "a int, b string, c double")
+    df.write.orc(f"{tmp_path}/o")
+    df.write.option("header", True).option("emptyValue", '""').csv(f"{tmp_path}/c")
+    assert sorted(spark.read.orc(f"{tmp_path}/o").collect()) == sorted(df.collect())
+    assert {r["a"]: r["c"] for r in spark.read.schema(df.schema).option("header", True).csv(f"{tmp_path}/c").collect()} == {1: None, 2: 2.5}
+    assert or_else(df.limit(0), df).count() == 2 and or_else(df.limit(1), df).count() == 1
+
+
 def test_all_statements_and_parts_are_kept(spark):
     text = " ".join(f"Sentence number {i} is here." for i in range(12))
     leaf = spark.createDataFrame([(1, 0, 0, text)], "doc_id long, parent int, leaf int, text string")
