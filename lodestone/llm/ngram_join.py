@@ -7,7 +7,7 @@ No group is expanded into all its pairs:
    group of copies is to its original. Verified links make components; pairs within one are links already implied.
 2. In groups that hold several components still, members of different ones are compared, in blocks, by array arithmetic.
    Each component of a block gives the likeliest pair with another one, and these are verified: one link joins two
-   components. That is done ``ROUNDS`` times.
+   components. That is done ``ROUNDS`` times, with ``FEW`` signatures of each class, as it need not find all.
 3. Pairs that may link and are apart still, all of them, are verified.
 
 Whether a pair may link is told by odd sketches: a differing shingle flips one bit, so more bits that differ than shingles
@@ -39,8 +39,8 @@ from .partenum import fingerprints, signatures, unique_sets
 BLOCK = 1024
 #: Rows of keys, 8 bytes each, up to which a selection of documents is broadcast; beyond, it is a shuffled join.
 IDS = 2_000_000
-#: Rounds of likeliest pairs.
-ROUNDS = 2
+#: Rounds of likeliest pairs, and signatures of a class in them.
+ROUNDS, FEW = 2, 8
 NUM, DEN = 75, 100
 #: The signature under which short sets are told.
 SHORT = -(2**63)
@@ -291,12 +291,14 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = 5, coarse: int
     # a group of two is its star
     rest = stage(groups.where("df > 2").select("sig", "fp"), "larger-groups")
     drop_stage(groups)
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy("sig"))
+    few = stage(rest.withColumn("nth", nth).where(F.col("nth") <= FEW).select("sig", "fp"), "few-signatures")
     for k in range(ROUNDS + 1):
         comp = stage(_components(links), "components-so-far")
-        pairs = stage(_pairs_apart(rest, comp, classes, k < ROUNDS), "pairs")
+        pairs = stage(_pairs_apart(few if k < ROUNDS else rest, comp, classes, k < ROUNDS), "pairs")
         links = stage(links.unionByName(_verified(docs, classes, pairs, width)), "all-links")
         drop_stage(comp)
-    drop_stage(rest)
+    drop_stage(rest, few)
     return links
 
 
