@@ -12,6 +12,7 @@ from lodestone.functions import cosine, sentences, tokens
 from lodestone.functions.vectors import hash_cells
 from lodestone.providers import DEFAULT_ROUTE, OFFLINE, ROUTE_WORDS, ROUTES, Offline
 from lodestone.operators.retrieval import dense_topk
+from lodestone.sources.sinks import latest
 from lodestone.sources.tables import bounded, cut
 
 
@@ -98,9 +99,7 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, now, config: Config = DEF
 
 def cache_put(stored: DataFrame, new: DataFrame, now) -> DataFrame:
     """The live entries of both (entry, ..., expires_at); of one entry, the one that lives longest."""
-    w = Window.partitionBy("entry").orderBy(F.desc("expires_at"))
-    live = stored.unionByName(new).where(F.col("expires_at") > now)
-    return live.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return latest(stored.unionByName(new).where(F.col("expires_at") > now), ["entry"], "expires_at")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -25,17 +25,12 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def vector_records(chunks: DataFrame, collection: str, namespace: str, stored_chars: int = 500) -> DataFrame:
-    """collection, ns, id, embedding, text (its first characters) and url of embedded chunks."""
-    return chunks.select(F.lit(collection).alias("collection"), F.lit(namespace).alias("ns"), "id", "embedding", F.substring("text", 1, stored_chars).alias("text"), "url")
-
-
 def json_rows(answers: DataFrame) -> DataFrame:
     return answers.select(F.to_json(F.struct(*answers.columns)).alias("json"))
 
 
 def server_sent_events(tokens: Iterable[str]) -> Iterator[str]:
-    """Frames of a token stream, empty tokens left out, and the one that ends it."""
+    """Frames of a token stream, empty tokens left out, and the one that ends it. The frames' format."""
     for t in tokens:
         if t:
             yield f"data: {json.dumps({'token': t})}\n\n"
