@@ -40,6 +40,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return there.unionByName(back).distinct()
 
 
+def entity_sources(relations: DataFrame) -> DataFrame:
+    """entity and doc_id of each document that relates it, once."""
+    return relations.select(F.explode(F.array("subject", "object")).alias("entity"), "doc_id").distinct()
+
+
 def reach(adjacent: DataFrame, seeds: DataFrame, hops: int = 2, inclusive: bool = False) -> DataFrame:
     """qid and node within reach of seeds (qid, node): distance below ``hops``, or up to it if ``inclusive``.
 

@@ -38,11 +38,10 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
     return _relations(spark, sf)
 
 
-@query(f"WITH {RELATIONS} SELECT entity, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT DISTINCT entity, doc_id FROM (SELECT subject AS entity, doc_id FROM rel UNION ALL SELECT object, doc_id FROM rel)) GROUP BY entity")
+@query(f"WITH {RELATIONS} SELECT DISTINCT entity, doc_id FROM (SELECT subject AS entity, doc_id FROM rel UNION ALL SELECT object, doc_id FROM rel)")
 def entity_sources(spark: SparkSession, sf: str) -> DataFrame:
-    rel = _relations(spark, sf)
-    ends = rel.select(F.col("subject").alias("entity"), "doc_id").unionByName(rel.select(F.col("object").alias("entity"), "doc_id")).distinct()
-    return ends.groupBy("entity").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """The sources of each entity, a row each: those of a common word are too many for one row."""
+    return K.entity_sources(_relations(spark, sf))
 
 
 @query(f"WITH {RELATIONS} SELECT node, neighbour FROM adj")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +131,37 @@ def rel_sessions(spark: SparkSession, sf: str) -> DataFrame:
     new = F.when(F.col("p").isNull() | (F.col("ts") > F.col("p") + F.expr("INTERVAL 30 MINUTE")), 1).otherwise(0)
     rows = rows.withColumn("new", new).withColumn("s", F.sum("new").over(w))
     return rows.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT event_type, count(*) AS n, TRUE AS hll_near, TRUE AS sketch_near, TRUE AS quantile_near FROM events GROUP BY event_type")
+def rel_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate distinct counts, a mergeable sketch and an approximate quantile, held against the exact values: within 10 %."""
+    rows = load(spark, sf, "events").groupBy("event_type", F.pmod("event_id", F.lit(4)).alias("part"))
+    parts = rows.agg(F.count("*").alias("n"), F.hll_sketch_agg("user_id", 12).alias("s"))
+    merged = parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("s", False)).alias("merged"))
+    whole = load(spark, sf, "events").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("hll"), F.percentile("value", 0.5).alias("median"), F.percentile_approx("value", 0.5, 10_000).alias("near"), F.max("value").alias("top")
+    )
+    close = lambda a, b, of: F.abs(F.col(a) - F.col(b)) <= 0.1 * F.col(of)
+    return merged.join(whole, "event_type").select("event_type", "n", close("hll", "users", "users").alias("hll_near"), close("merged", "users", "users").alias("sketch_near"), close("near", "median", "top").alias("quantile_near"))
+
+
+@query("SELECT event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events GROUP BY event_type")
+def rel_user_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's aggregate over partial ones: a Pandas UDF squares in batches, what remains is a native sum."""
+    @F.pandas_udf("double")
+    def squared(x: pd.Series) -> pd.Series:
+        return x * x
+
+    rows = load(spark, sf, "events").select("event_type", squared("value").alias("sq"))
+    return rows.groupBy("event_type").agg(F.round(F.sqrt(F.avg("sq")), 6).alias("rms"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' + INTERVAL 2 MONTH GROUP BY ALL")
+def rel_sql_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Decimals, dates and intervals by SQL text over a view."""
+    load(spark, sf, "orders").createOrReplaceTempView("lodestone_orders")
+    return spark.sql(
+        "SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total FROM lodestone_orders "
+        "WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' + INTERVAL 2 MONTH GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)"
+    )
