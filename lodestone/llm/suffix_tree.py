@@ -42,7 +42,7 @@ SHIFT = 22
 #: Hashes of a text's start and end.
 START, END = np.int64(0x5BD1E9955BD1E995), np.int64(0x1B8735939E3779B9)
 #: Rows of a level up to which it is broadcast; beyond, joins with it are shuffled.
-ROWS = 300_000
+ROWS = 100_000
 
 
 class Counter:
@@ -286,7 +286,7 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
         below = levels[-1]
         sent = spark.sparkContext.broadcast(bitmap(below))
         found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
-        sent.unpersist()
+        sent.destroy()
         below = _small(below)
         n, c, above = F.col("n"), F.col("c"), F.col("above")
         grams = found.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("p").alias("above")), "suf")
@@ -336,8 +336,10 @@ ROWS_OF_TEXT = "row long, key long, slot byte, amount double"
 
 def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missing: float) -> DataFrame:
     """Rows of each text (row, doc_id, text): sums over what tasks know, and times for each key that must be looked up."""
-    top = _most_frequent(table, common).toPandas().sort_values("key")
-    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), bitmap(table)))
+    top = _most_frequent(table, common).select("key", "base", "value").toArrow().sort_by("key")  # at most `common` rows of 24 bytes
+    key, base, value = (top.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("base", float), ("value", float)))
+    sent = docs.sparkSession.sparkContext.broadcast((key, base, value, bitmap(table)))
+    del top, key, base, value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base, value, bits = sent.value
@@ -375,7 +377,7 @@ def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missin
     return docs.select("row", "doc_id", "text").transform(in_arrow, run, ROWS_OF_TEXT)
 
 
-def score_texts(docs: DataFrame, train, common: int = 524_288, depth: int = 3, least_n: int = 4) -> DataFrame:
+def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, least_n: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``train`` is a condition on doc_id that says which rows to learn from. base_score is the root's alone.
