@@ -8,7 +8,8 @@ No group is expanded into all its pairs:
 2. In groups that hold several components still, members of different ones are compared, in blocks, by array arithmetic.
    Each component of a block gives the likeliest pair with another one, and these are verified: one link joins two
    components. That is done ``ROUNDS`` times, with ``FEW`` signatures of each class, as it need not find all.
-3. Pairs that may link and are apart still, all of them, are verified.
+3. Pairs that may link and are apart still, all of them, are verified: first found are those with one of the ``FEW`` in
+   common, then in all groups those without, so that a pair isn't found once for each of its signatures.
 
 Whether a pair may link is told by odd sketches: a differing shingle flips one bit, so more bits that differ than shingles
 may differ rule a link out; what passes is verified over the sets. All steps are exact, up to equal 64-bit digests.
@@ -190,10 +191,11 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes], few: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (places i, j) of different components whose sizes and sketches allow a link, and the bits that differ.
 
-    side: 0 and 1, two blocks to compare with each other, or 2 alone, one block with itself.
+    side: 0 and 1, two blocks to compare with each other, or 2 alone, one block with itself. few: signatures of each, in rows;
+    pairs with one in common are left out.
     """
     rows = _folded(sketches)
     for i in np.flatnonzero(side != 1):
@@ -202,6 +204,8 @@ def _near_in_group(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.nda
         if len(at):
             differ = np.bitwise_count(rows[at] ^ rows[i]).sum(1, dtype=np.int64)
             ok = differ * (DEN + NUM) <= (n[at] + n[i]) * (DEN - NUM)
+            if few is not None and ok.any():
+                ok[ok] = ~(few[at[ok]][:, :, None] == few[i]).any((1, 2))
             if ok.any():
                 yield np.full(int(ok.sum()), i), at[ok], differ[ok]
 
@@ -213,18 +217,21 @@ def _likeliest(comp: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) ->
     return np.unique(pair[order[np.diff(of[order], prepend=of[order[0]] - 1) != 0]])
 
 
-def _pairs_apart(groups: DataFrame, comp: DataFrame, classes: DataFrame, likeliest: bool) -> DataFrame:
+def _pairs_apart(groups: DataFrame, comp: DataFrame, classes: DataFrame, likeliest: bool, seen: DataFrame | None = None) -> DataFrame:
     """Pairs (x, y) of ``groups`` (sig, fp) that share a signature, not a component of ``comp`` (fp, comp), and may link.
 
     A group is cut into blocks of about ``BLOCK`` members, and each two blocks meet in a task: pairs are compared there by
-    array arithmetic. With ``likeliest`` there is no more than a row for each component of a block, and then of all.
+    array arithmetic. With ``likeliest`` there is no more than a row for each component of a block, and then of all. Pairs
+    with a signature of ``seen`` (fp, few) in common are left out.
     """
     placed = groups.join(comp, "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
     size = placed.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     rows = placed.join(size.where("c0 <> c1").select("sig", "blocks"), "sig").join(classes.select("fp", "n", "sketch"), "fp")
+    skips = seen is not None
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side")))
-    rows = rows.select("sig", "fp", "comp", "n", "sketch", F.explode(meets).alias("b")).select("sig", "b.i", "b.j", "b.side", "fp", "comp", "n", "sketch")
+    rows = rows.withColumn("few", F.lit(None).cast("array<long>")) if seen is None else rows.join(seen, "fp")
+    rows = rows.select("sig", "fp", "comp", "n", "sketch", "few", F.explode(meets).alias("b")).select("sig", "b.i", "b.j", "b.side", "fp", "comp", "n", "sketch", "few")
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
@@ -245,10 +252,14 @@ def _pairs_apart(groups: DataFrame, comp: DataFrame, classes: DataFrame, likelie
         at = np.append(np.flatnonzero(new), t.num_rows)
         done = len(at) - 1 if last else len(at) - 2
         fp, comp, n, side = (t.column(c).to_numpy() for c in ("fp", "comp", "n", "side"))
-        sketch = t.column("sketch").to_pylist()
+        sketch, few = t.column("sketch").to_pylist(), None
+        if skips:
+            few = np.repeat(fp[:, None], FEW, 1)  # a class' own digest stands where it has fewer
+            for i, x in enumerate(t.column("few").to_pylist()):
+                few[i, : len(x)] = x
         out = [np.zeros((0, 5), np.int64)]
         for lo, hi in zip(at[:done].tolist(), at[1 : done + 1].tolist(), strict=True):
-            found = list(_near_in_group(fp[lo:hi], comp[lo:hi], n[lo:hi], side[lo:hi], sketch[lo:hi]))
+            found = list(_near_in_group(fp[lo:hi], comp[lo:hi], n[lo:hi], side[lo:hi], sketch[lo:hi], None if few is None else few[lo:hi]))
             if found:
                 i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
                 some = _likeliest(comp[lo:hi], i, j, d) if likeliest else slice(None)
@@ -295,7 +306,11 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = 5, coarse: int
     few = stage(rest.withColumn("nth", nth).where(F.col("nth") <= FEW).select("sig", "fp"), "few-signatures")
     for k in range(ROUNDS + 1):
         comp = stage(_components(links), "components-so-far")
-        pairs = stage(_pairs_apart(few if k < ROUNDS else rest, comp, classes, k < ROUNDS), "pairs")
+        pairs = _pairs_apart(few, comp, classes, k < ROUNDS)
+        if k == ROUNDS:
+            seen = few.groupBy("fp").agg(F.collect_list("sig").alias("few"))  # at most FEW
+            pairs = pairs.unionByName(_pairs_apart(rest, comp, classes, False, seen)).distinct()
+        pairs = stage(pairs, "pairs")
         links = stage(links.unionByName(_verified(docs, classes, pairs, width)), "all-links")
         drop_stage(comp)
     drop_stage(rest, few)

@@ -33,3 +33,34 @@ def test_stages(spark, folder):
     assert set(range(40)) <= ngrams
     packed = P.run(spark, folder).toPandas()
     assert set(range(40)) <= set(packed["doc_id"]) and (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, label int, n_lines int"
+
+
+def test_stages_of_odd_rows(spark, folder):
+    """Nulls in any column, equal rows, empty and long texts, columns whose names clash: each stage gives its columns, and crashes on none."""
+    long = "a sentence of many words that goes on and on until there is nothing left to say about it " * 400
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", None, 0), (2, long, "en", "s", 1), (2, long, "en", "s", 1), (None, "number 3 tells a story of its own about the bridge", None, None, None), (3, "Zahl \n\n\t", "de", "", 3)]
+    docs = spark.createDataFrame([(*r, "k", 1, 1, 5) for r in rows], ODD)
+    for _, step in P.STAGES:
+        out = step(spark, docs, folder)
+        assert set(P.COLUMNS) <= set(out.columns) or "sequence_id" in out.columns
+        assert out.count() <= 2 * len(rows) + 40
+        assert step(spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_against_plain_reckoning(spark, folder):
+    from .test_texts import brute_components, brute_lines
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 100 AND text IS NOT NULL").orderBy("doc_id")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts |= {50 + i: f"{texts[i]} and a bit more" for i in range(5)} | {60: texts[0], 61: "short", 62: "short"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = sorted(texts)
+    lines = {i: x for i, x in zip(ids, brute_lines([texts[i] for i in ids]), strict=True)}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.line_dedup(spark, docs, folder).collect()}
+    assert got == {i: (t, len(t)) for i, (n, k, t) in lines.items() if n == 0 or k}
+    component = brute_components([texts[i] for i in ids])
+    stays = {ids[k] for k in range(len(ids)) if component[k][1] == k}
+    assert {r["doc_id"] for r in P.ngram_join(spark, docs, folder).collect()} == stays
