@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,8 @@ def _feature_rows(sample: DataFrame) -> DataFrame:
     return sample.select("label", "text").transform(in_arrow, run, "label int, features array<long>")
 
 
-def _swaps(rows: list, names: np.ndarray) -> np.ndarray:
-    """Changes of the kept features, a row for each swap of an identity term in a labelled text: (swaps, features)."""
+def _swaps(mentions: dict[int, int], names: np.ndarray) -> np.ndarray:
+    """Changes of the kept features, a row for each swap of an identity term that ``mentions`` (term, texts) has: (swaps, features)."""
     place = {int(x): i for i, x in enumerate(names)}
     terms = [t for group in IDENTITY for t in group]
     own = dict(zip(terms, _of_words(terms), strict=True))
@@ -113,14 +114,7 @@ def _swaps(rows: list, names: np.ndarray) -> np.ndarray:
     for t in terms:
         vector[t] = np.zeros(len(names))
         vector[t][[place[int(x)] for x in own[t] if int(x) in place]] = 1
-    counts: dict[tuple[str, str], int] = {}
-    for present in rows:
-        for group in IDENTITY:
-            for t in group:
-                if int(own[t][0]) in present:
-                    for other in group:
-                        if other != t:
-                            counts[t, other] = counts.get((t, other), 0) + 1
+    counts = {(t, other): n for group in IDENTITY for t in group if (n := mentions.get(int(own[t][0]))) for other in group if other != t}
     changes = [np.sqrt(n) * (vector[a] - vector[b]) for (a, b), n in counts.items() if (vector[a] != vector[b]).any()]
     return np.array(changes).reshape(-1, len(names))
 
@@ -168,11 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
             lists = [np.intersect1d(np.array(x, np.int64), wanted) for x in b.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(lists, pa.list_(pa.int64()))], ["label", "features"])
 
-    got = sample.transform(in_arrow, only, "label int, features array<long>").collect()
-    present = [set(r["features"]) for r in got]
-    pairs = [(i, int(np.searchsorted(names, f))) for i, fs in enumerate(present) for f in sorted(fs) if len(names) and names[min(np.searchsorted(names, f), len(names) - 1)] == f]
-    row, col = np.array(pairs, np.int64).reshape(-1, 2).T
-    weights, intercept = _descend(row, col, np.array([r["label"] for r in got], float), len(names), _swaps(present, names), ridge, swap_penalty)
+    got = sample.transform(in_arrow, only, "label int, features array<long>").toArrow()  # at most max_rows, of wanted features alone
+    lists = got.column("features").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    mentions = dict(zip(*(x.tolist() for x in np.unique(flat[np.isin(flat, terms)], return_counts=True)), strict=True))
+    kept = np.isin(flat, names)
+    row, col = owner[kept], np.searchsorted(names, flat[kept])
+    weights, intercept = _descend(row, col, got.column("label").to_numpy().astype(float), len(names), _swaps(mentions, names), ridge, swap_penalty)
     return Model(names, weights, intercept)
 
 
