@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from ._shared import in_arrow, new_path, stage
 from ._text import slices
 
 NULL_ID = -(2**63)
+#: Bytes of text that a file's ids are made of, about.
+FILE_BYTES = 64 << 20
 INDEX = "part int, path string, n_docs long, n_tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -34,7 +38,9 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _save(path: str, parts: list) -> None:
+@contextmanager
+def _file(path: str):
+    """A stream to a file that gets its name only when whole."""
     from pyarrow import fs
 
     system, at = _fs(path)
@@ -42,8 +48,7 @@ def _save(path: str, parts: list) -> None:
         system.create_dir(at.rsplit("/", 1)[0], recursive=True)
     own = f"{at}.{TaskContext.get().taskAttemptId()}.part"
     with system.open_output_stream(own) as out:
-        for x in parts:
-            out.write(x)
+        yield out
     system.move(own, at)
 
 
@@ -60,29 +65,37 @@ def _load(path: str, kind: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each, write the files; a row for each partition that holds documents."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:  # more files where there is more text
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        n = max(n, -(-size // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._tokens import codec
 
         encode = codec(tokenizer)
         kind = np.dtype("<u2") if max(encode.vocabulary, end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        ids, doc_ids, counts = [], [], []
-        for b in batches:
-            doc_ids.append(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            for part in slices(b.column("text")):
-                flat, n_ids = encode(part)
-                own = np.full(len(flat) + part.n, end_id, kind)
-                own[np.arange(len(flat)) + np.repeat(np.arange(part.n), n_ids)] = flat
-                ids.append(own)
-                counts.append(n_ids + 1)
-        if not doc_ids or not counts:
+        doc_ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        k = TaskContext.get().partitionId()
+        path = f"{folder}/{k:06d}"
+        first = next(batches, None)
+        if first is None:
             return
+        with _file(f"{path}.bin") as out:  # a task keeps ids and counts of documents, tokens of one slice
+            for b in chain([first], batches):
+                doc_ids.append(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                for part in slices(b.column("text")):
+                    flat, n_ids = encode(part)
+                    own = np.full(len(flat) + part.n, end_id, kind)
+                    own[np.arange(len(flat)) + np.repeat(np.arange(part.n), n_ids)] = flat
+                    out.write(own)
+                    counts.append(n_ids + 1)
         docs_, counts_ = np.concatenate(doc_ids).astype("<i8"), np.concatenate(counts)
         offsets = np.concatenate(([0], np.cumsum(counts_))).astype("<i8")
-        k = TaskContext.get().partitionId()
-        path = f"{folder}/{k:06d}"
-        _save(f"{path}.bin", ids)
-        _save(f"{path}.idx", [docs_, offsets])
+        if not len(docs_):
+            return
+        with _file(f"{path}.idx") as out:
+            out.write(docs_)
+            out.write(offsets)
         yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "path": [path], "n_docs": [len(docs_)], "n_tokens": [int(offsets[-1])], "width": pa.array([kind.itemsize], pa.int32())})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
@@ -113,7 +126,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                         "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
-    n = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.count())
     return based.repartition(n, "part").transform(in_arrow, read, READ)
 
 
