@@ -27,9 +27,11 @@ from ._text import LOWER, Slice, ragged, slices
 
 BUCKETS = 1 << 16
 #: Languages that a task counts in whole arrays before it gives them out; likelihoods that are expanded at once.
-AT_ONCE, EXPANDED = 64, 1 << 22
+AT_ONCE, EXPANDED = 64, 1 << 20
 #: Declarations, the most frequent, that go out to all tasks; the others, the rare ones, are joined.
 FREQUENT = 1024
+#: Hosts, with two numbers a language each, up to which their sums are broadcast; beyond, they are joined by a shuffle.
+HOSTS = 50_000
 UND = "und"
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[65:91] = _LETTERS[97:123] = np.arange(97, 123)
@@ -206,8 +208,10 @@ def identify(rows: DataFrame, profiles: Profiles, evidence: int = 60, trust: flo
     hosts = page.where("host IS NOT NULL").groupBy("host", "suffix").agg(F.count("*").alias("nh"), *sums("h"))
     suffixes = hosts.where("suffix IS NOT NULL").groupBy("suffix").agg(F.sum("nh").alias("ns"), *(F.sum(f"h{i}").alias(f"s{i}") for i in range(k)))
     known = hosts.join(suffixes, "suffix", "left").select("host", "nh", vector("h").alias("h"), "ns", vector("s").alias("s"))
-    # nothing here is null where a host is: a host without a suffix falls to the world's prior
-    with_host = page.join(known, "host", "left")
+    known = stage(known, "hosts")
+    known = F.broadcast(known) if known.count() <= HOSTS else known
+    # nothing here is null where a host is: a host without a suffix falls to the world's prior. Null hosts aren't dealt out
+    with_host = page.where("host IS NOT NULL").join(known, "host", "left").unionByName(page.where("host IS NULL"), allowMissingColumns=True)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.array(world)
