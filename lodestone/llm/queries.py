@@ -91,6 +91,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(integers(table(spark, sf_dir, "embeddings")), 8)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), 100, 5, 2000, 100)
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import document_fingerprints
 
@@ -145,5 +151,33 @@ FROM documents d LEFT JOIN (
 """
 
 
+#: DuckDB's order of texts is that of their UTF-8 bytes.
+OP12_SQL = """
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL)
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k AS size, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+inside AS (
+  SELECT lang, phrase, max(c) AS longer FROM (
+    SELECT lang, c, array_to_string(w[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM x))
+  ) GROUP BY lang, phrase
+), cuts AS (
+  SELECT x.lang, x.phrase, x.size, x.c AS a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : x.size], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM x) x LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * x.c
+), s AS (
+  SELECT cuts.lang, cuts.phrase, a, l.c AS l, r.c AS r, n.n, k, CAST((CAST(1000 AS HUGEINT) * a * n.n) // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp JOIN n ON n.lang = cuts.lang
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op8_line_dedup": OP8_SQL, "op12_phrases": OP12_SQL}
