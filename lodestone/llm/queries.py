@@ -130,8 +130,8 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), firsts AS (
   SELECT line, min(struct_pack(d := doc_id, n := line_no)) AS place, length(line) AS n FROM lines WHERE line <> '' GROUP BY line
-), long AS (SELECT * FROM firsts WHERE n >= 16), near AS (
-  SELECT DISTINCT b.place FROM long a JOIN long b
+), near AS (
+  SELECT DISTINCT b.place FROM firsts a JOIN firsts b
   ON a.n BETWEEN b.n - 1 AND b.n + 1 AND a.place < b.place
   AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
   WHERE len(list_filter(range(0, CAST(greatest(a.n, b.n) AS BIGINT)), lambda p:

@@ -162,7 +162,7 @@ def one_edit(a, b):
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def brute_lines(texts, least=16):
+def brute_lines(texts):
     seen, out = [], []
     for t in texts:
         kept, n, k = [], 0, 0
@@ -172,7 +172,7 @@ def brute_lines(texts, least=16):
                 kept.append(raw)
                 continue
             n += 1
-            gone = line in seen or len(line) >= least and any(len(s) >= least and one_edit(s, line) for s in seen)
+            gone = line in seen or any(one_edit(s, line) for s in seen)
             if line not in seen:
                 seen.append(line)
             if not gone:
@@ -184,7 +184,7 @@ def brute_lines(texts, least=16):
 
 def test_line_dedup(spark):
     rng = random.Random(9)
-    base = ["".join(rng.choices("abcdeé ", k=rng.choice((3, 15, 16, 17, 40, 90)))).strip() or "z" for _ in range(40)]
+    base = ["".join(rng.choices("abcdeé ", k=rng.choice((1, 2, 3, 5, 15, 16, 17, 40, 90)))).strip() or "z" for _ in range(40)]
     lines = list(base)
     for _ in range(150):
         s = rng.choice(base)
@@ -204,6 +204,16 @@ def test_line_dedup_keeps_columns_and_takes_no_rows(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_any_kind_of_id(spark):
+    """Ids of another width hash as longs do; a template of many lines has one key."""
+    texts = ["first line of this text\nb", "second, another line\nfirst line of this text", None] + [f"page number {i} of this book" for i in range(3000, 3400)]
+    want = brute_lines(texts)
+    for kind in ("int", "string", "long"):
+        rows = frame(spark, texts).withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = {int(r["doc_id"]): (r["n_lines"], r["n_kept"], r["text"]) for r in dedup_lines(rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = dedup_lines(frame(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
