@@ -33,6 +33,8 @@ class Config:
     web_results: int = 4
     #: Rows up to which a side of a join is broadcast; beyond it the join is shuffled.
     broadcast_rows: int = 100_000
+    #: Bytes of question vectors up to which they are broadcast.
+    broadcast_bytes: int = 32 << 20
 
 
 DEFAULT = Config()

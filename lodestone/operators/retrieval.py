@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
-from lodestone.functions import cosine, tokens
+from lodestone.functions import tokens
 from lodestone.functions.text import once
-from lodestone.functions.batches import Tokens, each, rounded
+from lodestone.functions.batches import Tokens, each
+from lodestone.operators import blocks as B
 from lodestone.sources.tables import bounded
 
 
@@ -62,12 +61,21 @@ def lengths(docs: DataFrame) -> tuple[int, float]:
     return n, words / n if n else 0.0
 
 
+def raw_idf(dfs: DataFrame, n_docs: int) -> DataFrame:
+    """Of term and df: raw, the idf before it is kept from falling below 0."""
+    return dfs.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+
+def floored(mean, config: Config = DEFAULT):
+    """idf of ``raw``: one below 0 becomes epsilon times the mean of all terms' raw ones."""
+    return F.when(F.col("raw") < 0, config.bm25_epsilon * mean).otherwise(F.col("raw"))
+
+
 def bm25_stats(dfs: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFrame:
     """Of term and df: term, df and idf; an idf below 0 becomes epsilon times the mean idf of all terms."""
-    raw = dfs.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = raw_idf(dfs, n_docs)
     mean = raw.agg(F.avg("raw").alias("mean"))
-    floor = F.when(F.col("raw") < 0, config.bm25_epsilon * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", floor.alias("idf"))  # the mean is one row
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", floored(F.col("mean"), config).alias("idf"))  # the mean is one row
 
 
 def bm25_from(post: DataFrame, stats: DataFrame, mean_length: float, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -101,58 +109,26 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int | None = None, confi
     return top(scores, k or config.top_k, F.desc("score"), "doc_id").select("qid", "rank", "doc_id", "score")
 
 
-def _array(x: pa.Array) -> np.ndarray:
-    return np.array(x.to_pylist()) if pa.types.is_string(x.type) else x.to_numpy(zero_copy_only=False)
-
-
-def _nearest(ids: np.ndarray, v: np.ndarray, groups: np.ndarray, qids: np.ndarray, q: np.ndarray, of: np.ndarray, k: int, others: bool, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each question, the k vectors of a block with the greatest cosine, ties to the smaller id."""
-    length = lambda x: np.sqrt((x * x).sum(1))
-    scale = length(q)[:, None] * length(v)[None, :]
-    score = rounded(np.where(scale > 0, (q @ v.T) / np.where(scale > 0, scale, 1), 0.0), digits)
-    for i, x in enumerate(qids):
-        s = score[i]
-        at = np.flatnonzero((groups == of[i]) & ((ids != x) if others else True))
-        if len(at) > k:
-            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-        at = at[np.lexsort((ids[at], -s[at]))[:k]]
-        yield np.full(len(at), x), ids[at], s[at]
-
-
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int | None = None, config: Config = DEFAULT, others: bool = True, by: str | None = None, digits: int = 6) -> DataFrame:
     """qid, rank, vec_id and cosine of the nearest of vectors (vec_id, embedding) to each of questions (qid, q).
 
-    A question set of at most ``broadcast_rows`` goes to all tasks as a matrix; each block of vectors is multiplied with it
-    and gives its k best of a question, so that is all that is shuffled. A larger set is met by all vectors in a shuffled
-    product. ``others`` leaves out the vector with the question's own id; ``by``, a column of both, vectors that differ in it.
-    Null vectors take no part.
+    Both are packed into blocks, and one matrix product of two blocks gives each question's k best in it: all that is shuffled
+    of scores. Questions of at most ``broadcast_bytes`` go to all tasks, so vectors stay where they are; more questions meet the
+    vectors in the cells of a grid. Either way it is the same product. ``others`` leaves out the vector with the question's own
+    id; ``by``, a column of both, vectors that differ in it, nulls being equal. Vectors that are null, empty or hold nulls take
+    no part, nor do those of another length than the question's.
     """
     k = k or config.top_k
-    group = F.lit(0) if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
-    vectors = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", group.alias("g"))
-    questions = questions.where("q IS NOT NULL").select("qid", "q", group.alias("g"))
-    asked = questions.limit(config.broadcast_rows + 1).collect()
-    if len(asked) > config.broadcast_rows:
-        pairs = vectors.join(questions, "g")
-        pairs = pairs.where("vec_id <> qid") if others else pairs
-        scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), digits).alias("score"))
-        return top(scored, k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for d in {len(r["q"]) for r in asked}:
-        own = [r for r in asked if len(r["q"]) == d]
-        by_size[d] = np.array([r["qid"] for r in own]), np.array([r["q"] for r in own], float), np.array([r["g"] for r in own])
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        out, dims = [], pc.list_value_length(b.column("embedding")).to_numpy()
-        for d, (qids, q, of) in by_size.items():
-            own = b.filter(pa.array(dims == d))
-            ids, groups, v = _array(own.column("vec_id")), _array(own.column("g")), own.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-            for lo in range(0, len(qids) if len(ids) else 0, 1024):
-                out += _nearest(ids, v, groups, qids[lo : lo + 1024], q[lo : lo + 1024], of[lo : lo + 1024], k, others, digits)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["qid", "vec_id", "score"]) if out else None
-
-    kinds = dict(questions.dtypes)["qid"], dict(vectors.dtypes)["vec_id"]
-    best = vectors.mapInArrow(each(run, 4096), f"qid {kinds[0]}, vec_id {kinds[1]}, score double")
+    group = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit(""))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), group.alias("g"))
+    q = questions.select(F.col("qid").alias("id"), F.col("q").alias("v"), group.alias("g"))
+    kinds, spark = (dict(q.dtypes)["id"], dict(v.dtypes)["id"]), vectors.sparkSession
+    size = questions.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
+    if size > config.broadcast_bytes:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        best = B.meet(B.grid(B.packed(v, "v"), B.packed(q, "q"), parts), kinds, k, others, digits)
+    else:
+        best = B.meet(B.packed(v, "v").join(F.broadcast(B.packed(q.coalesce(1), "q")), "dim"), kinds, k, others, digits)
     return top(best, k, F.desc("score"), "vec_id").select("qid", "rank", "vec_id", "score")
 
 
