@@ -30,6 +30,8 @@ class Config:
     cache_similarity: float = 0.95
     cache_ttl_seconds: int = 3600
     embed_dims: int = 64
+    #: Seconds after which an ingest that never ended no longer keeps others out.
+    ingest_timeout_seconds: int = 6 * 3600
     web_results: int = 4
     #: Rows up to which a side of a join is broadcast; beyond it the join is shuffled.
     broadcast_rows: int = 100_000

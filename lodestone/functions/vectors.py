@@ -36,16 +36,16 @@ def hash_cells(tokens: DataFrame, keys: list[str], dims: int = 64) -> DataFrame:
     return cells.where("value <> 0")
 
 
-def embed(rows: DataFrame, key: str, dims: int = 64) -> DataFrame:
-    """key and embedding, the hashed embedding of each row's lower-cased text, as integers. Each distinct word of a batch is hashed once."""
+def embed(rows: DataFrame, key: str, dims: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns ``keep``, and embedding, the hashed embedding of each row's lower-cased text, as integers. Each distinct word of a batch is hashed once."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        v = Tokens(b.column("text")).vectors(dims)
+        v = Tokens(b.column("lowered")).vectors(dims)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
-        return pa.RecordBatch.from_arrays([b.column("key"), lists], ["key", "embedding"])
+        return pa.RecordBatch.from_arrays([b.column("key"), *(b.column(c) for c in keep), lists], ["key", *keep, "embedding"])
 
-    kind = dict(rows.dtypes)[key]
-    made = rows.select(F.col(key).alias("key"), F.lower("text").alias("text")).mapInArrow(each(run), f"key {kind}, embedding array<long>")
+    kinds = dict(rows.dtypes)
+    made = rows.select(F.col(key).alias("key"), *keep, F.lower("text").alias("lowered")).mapInArrow(each(run), ", ".join([f"key {kinds[key]}", *(f"{c} {kinds[c]}" for c in keep), "embedding array<long>"]))
     return made.withColumnRenamed("key", key)
 
 

@@ -55,8 +55,8 @@ def adjacent_similarity(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each(run), f"doc_id {kind}, pos int, sim double")
 
 
-def semantic_chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """doc_id, chunk from 0, n_sentences and text: sentences joined until a window's similarity to the one before drops below the threshold.
+def semantic_chunks(docs: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, chunk from 0, n_sentences and text: sentences joined until a window's similarity to the one before drops below the threshold.
 
     A document of at most two sentences is one chunk of its raw text; one of none, or null, has no chunk. A row of ``docs`` is a
     document: all of it is done within its batch, without a shuffle.
@@ -77,10 +77,12 @@ def semantic_chunks(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
                 chunk.append(k)
                 size.append(hi - lo)
                 out.append(texts[i] if len(own) <= 2 else " ".join(own[lo:hi]))
-        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(chunk, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.string())], ["doc_id", "chunk", "n_sentences", "text"])
+        own = [b.column(c).take(pa.array(doc, pa.int64())) for c in ("doc_id", *keep)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(chunk, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.string())], ["doc_id", *keep, "chunk", "n_sentences", "text"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(each(run), f"doc_id {kind}, chunk long, n_sentences long, text string")
+    kinds = dict(docs.dtypes)
+    given = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep))
+    return docs.select("doc_id", *keep, "text").mapInArrow(each(run), f"{given}, chunk long, n_sentences long, text string")
 
 
 def token_chunks(rows: DataFrame, key: list[str], n: int, name: str, text: Column | None = None) -> DataFrame:
@@ -101,15 +103,15 @@ def leaves(parent_rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("parent_id", parent_id).withColumn("leaf_id", F.sha2(F.concat_ws("|", F.lit("leaf"), "doc_id", "parent", "leaf"), 256))
 
 
-def chunk_parents(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Parents of semantic chunks: doc_id, chunk, parent, text and parent_id."""
-    rows = token_chunks(chunks, ["doc_id", "chunk"], config.parent_tokens, "parent")
+def chunk_parents(chunks: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parents of semantic chunks: doc_id, ``keep``, chunk, parent, text and parent_id."""
+    rows = token_chunks(chunks, ["doc_id", *keep, "chunk"], config.parent_tokens, "parent")
     return rows.withColumn("parent_id", F.sha2(F.concat_ws("|", F.lit("parent"), "doc_id", "chunk", "parent"), 256))
 
 
-def chunk_leaves(parent_rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Leaves of the parents of semantic chunks: doc_id, chunk, parent, parent_id, leaf, text and leaf_id."""
-    rows = token_chunks(parent_rows, ["doc_id", "chunk", "parent", "parent_id"], config.leaf_tokens, "leaf")
+def chunk_leaves(parent_rows: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Leaves of the parents of semantic chunks: doc_id, ``keep``, chunk, parent, parent_id, leaf, text and leaf_id."""
+    rows = token_chunks(parent_rows, ["doc_id", *keep, "chunk", "parent", "parent_id"], config.leaf_tokens, "leaf")
     return rows.withColumn("leaf_id", F.sha2(F.concat_ws("|", F.lit("leaf"), "doc_id", "chunk", "parent", "leaf"), 256))
 
 

@@ -102,9 +102,14 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, now, config: Config = DEF
     return best.where(hit).select("qid", F.col("vec_id").alias("entry"), F.col("score").alias("similarity"))
 
 
+def newest(entries: DataFrame) -> DataFrame:
+    """Of one entry, the row that lives longest."""
+    return latest(entries, ["entry"], "expires_at")
+
+
 def cache_put(stored: DataFrame, new: DataFrame, now) -> DataFrame:
     """The live entries of both (entry, ..., expires_at); of one entry, the one that lives longest."""
-    return latest(stored.unionByName(new).where(F.col("expires_at") > now), ["entry"], "expires_at")
+    return newest(stored.unionByName(new).where(F.col("expires_at") > now))
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

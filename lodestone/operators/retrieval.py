@@ -21,8 +21,12 @@ def term_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(tokens(F.lower("text"))).alias("term"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
-    """key, term, tf and dl, the length, of each row's distinct words, of ``terms`` alone where they are given. A row is a document: no shuffle."""
+#: Terms up to which they go down to the scan of postings as a list, so that files and row groups without them are passed over.
+LISTED = 1000
+
+
+def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns ``keep``, term, tf and dl, the length, of each row's distinct words, of ``terms`` alone where they are given. A row is a document: no shuffle."""
     wanted = None if terms is None else pa.array(terms, pa.string())
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -30,12 +34,13 @@ def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = Non
         doc, code, tf = t.counts()
         dl = np.bincount(t.owner, minlength=t.n)
         if wanted is not None:
-            keep = pc.is_in(t.words, value_set=wanted.cast(t.words.type)).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
-            doc, code, tf = doc[keep], code[keep], tf[keep]
-        return pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), t.words.take(pa.array(code)).cast(pa.string()), pa.array(tf), pa.array(dl[doc])], ["key", "term", "tf", "dl"])
+            known = pc.is_in(t.words, value_set=wanted.cast(t.words.type)).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+            doc, code, tf = doc[known], code[known], tf[known]
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(doc)) for c in ("key", *keep)), t.words.take(pa.array(code)).cast(pa.string()), pa.array(tf), pa.array(dl[doc])], ["key", *keep, "term", "tf", "dl"])
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.lower("text").alias("text")).mapInArrow(each(run), f"key {kind}, term string, tf long, dl long")
+    kinds = dict(docs.dtypes)
+    given = "".join(f", {c} {kinds[c]}" for c in keep)
+    rows = docs.select(F.col(key).alias("key"), *keep, F.lower("text").alias("text")).mapInArrow(each(run), f"key {kinds[key]}{given}, term string, tf long, dl long")
     return rows.withColumnRenamed("key", key)
 
 
@@ -81,8 +86,13 @@ def bm25_stats(dfs: DataFrame, n_docs: int, config: Config = DEFAULT) -> DataFra
 def bm25_from(post: DataFrame, stats: DataFrame, mean_length: float, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """qid, doc_id and score by an index: postings and stats, of which only the questions' terms are read. Repeated terms count each time."""
     asked = term_rows(questions, "qid").groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = bounded(asked.select("term").distinct(), config.broadcast_rows)
-    hits = post.join(wanted, "term", "left_semi").join(stats.join(wanted, "term", "left_semi"), "term")
+    wanted = asked.select("term").distinct()
+    terms = [r["term"] for r in wanted.limit(LISTED + 1).collect()]
+    if len(terms) <= LISTED:
+        hits = post.where(F.col("term").isin(terms)).join(stats.where(F.col("term").isin(terms)), "term")
+    else:
+        wanted = bounded(wanted, config.broadcast_rows)
+        hits = post.join(wanted, "term", "left_semi").join(stats.join(wanted, "term", "left_semi"), "term")
     k1, b = config.bm25_k1, config.bm25_b
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_length)))
     weighted = hits.select("term", "doc_id", weight.alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import clean_html, hrefs, is_page, normal_url, origin, slug, url_path
 from lodestone.registry import query
 from lodestone.sources.tables import load
-from lodestone.sources.web import discover, pending
+from lodestone.sources.web import discover, page_links, pending
 
 ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -85,9 +85,7 @@ WHERE rtrim(target, '/') NOT IN (SELECT rtrim(url, '/') FROM pages) GROUP BY tar
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """Links of all pages, resolved, that aren't pages yet: the next round of a crawl."""
     pages = load(spark, sf, "pages")
-    h = F.col("h")
-    target = F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("/"), F.concat(origin(F.col("url")), h)).otherwise(F.concat(origin(F.col("url")), F.lit("/"), h))
-    links = pages.select("url", F.explode(hrefs(F.col("html"))).alias("h")).groupBy(target.alias("target")).agg(F.count("*").alias("n"))
+    links = page_links(pages).groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n"))
     seen = pages.select(normal_url(F.col("url")).alias("key")).distinct()
     return links.withColumn("key", normal_url(F.col("target"))).join(seen, "key", "left_anti").select("target", "n")
 

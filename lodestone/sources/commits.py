@@ -80,6 +80,11 @@ class Commits:
         finally:
             stream.close()
 
+    def put(self, name: str, text: str) -> None:
+        """Write a file, or replace it."""
+        p, files = self._at(name)
+        self._put(p, files, text)
+
     def delete(self, name: str) -> None:
         for x in (name, f"claims/{name}"):
             p, files = self._at(x)

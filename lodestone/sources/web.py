@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import has_asset_suffix, is_page, normal_url, origin, slug, url_path
+from lodestone.functions import has_asset_suffix, hrefs, is_page, normal_url, origin, slug, url_path
 from lodestone.sources.tables import cut
 
 
@@ -68,6 +68,19 @@ def crawl(links: DataFrame, start: str, max_pages: int | None = None) -> DataFra
     return seen.orderBy("depth", "url").limit(max_pages) if max_pages else seen.orderBy("depth", "url")
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """A link of the page ``base`` as a whole URL, without fragment; relative ones are taken from the origin."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    whole = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
+    return whole.when(bare.startswith("/"), F.concat(origin(base), bare)).otherwise(F.concat(origin(base), F.lit("/"), bare))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """src and dst of all links of pages (url, html)."""
+    links = pages.select("url", F.explode(hrefs(F.col("html"))).alias("href"))
+    return links.select(F.col("url").alias("src"), resolved(F.col("url"), F.col("href")).alias("dst"))
+
+
 def pending(urls: DataFrame, fetched: DataFrame) -> DataFrame:
     """Of urls (url), those whose normal form isn't among ``fetched`` (url)."""
     key = normal_url(F.col("url")).alias("key")

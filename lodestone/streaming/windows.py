@@ -73,13 +73,13 @@ def with_ttl(questions: DataFrame, ttl_seconds: int = 3600, late: str = "1 day")
 
 
 def ingest_pages(pages: DataFrame, target: str, checkpoint: str, collection: str) -> None:
-    """Clean pages as they come and add those whose URL the target doesn't have; running twice adds nothing."""
+    """Clean pages as they come and add those whose URL the collection doesn't have; running twice adds nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(["url"]).select(F.lit(collection).alias("collection"), "url", slug(F.col("url")).alias("slug"), clean_html(F.col("html")).alias("text")).where("text <> ''")
         if exists(spark, target):
-            rows = rows.join(spark.read.parquet(target).select("url"), "url", "left_anti")
+            rows = rows.join(spark.read.parquet(target).where(F.col("collection") == collection).select("url"), "url", "left_anti")
         rows.write.mode("append").partitionBy("collection").parquet(target)
 
     pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
