@@ -2,12 +2,12 @@
 
 An entry c becomes the integer x = floor(SCALE * c) + SHIFT. A first aggregation gives n and the sums S of each dimension.
 The second has one Spark SQL expression for each pair i <= j of dimensions, the sum of y_i * y_j, where y = x - m and m is the
-whole number nearest to the mean; as m is not quite the mean, n * cov = sum(y_i y_j) - sum(y_i) sum(y_j) / n. Sums and this
-correction are whole numbers, so the covariance is exact until it becomes doubles for LAPACK, whatever the tasks' order. Of
-d dimensions that is d (d + 1) / 2 sums a task; at most ``MOST`` stand in one aggregation, wider vectors take several.
+whole number nearest to the mean; as m is not quite the mean, n * cov = sum(y_i y_j) - sum(y_i) sum(y_j) / n. Products and
+sums are doubles of whole numbers: while n * max(y)^2 is below 2^53 they are exact, whatever the tasks' order, and beyond it
+they are as good as doubles are. Of d dimensions that is d (d + 1) / 2 sums a task; at most ``MOST`` stand in one aggregation,
+wider vectors take several.
 
-Where the bound n * max(y)^2 passes a long's range, products and sums are doubles. Entries whose x leaves +-2^61 count as that
-bound. A deviation beyond a long becomes its greatest value.
+Entries whose x leaves +-2^61 count as that bound. A deviation beyond a long becomes its greatest value.
 
 Rows whose vector is null, or holds null or non-finite entries, take no part. Vectors of several lengths come from several
 models: each length is a fit of its own. Vectors without entries have no component. Repeated rows and null ids count as rows.
@@ -56,7 +56,6 @@ class Fit:
         self.rest = [s - self.n * m for s, m in zip(sums, self.middle)]
         least, most = found[dims + 1 : 2 * dims + 1], found[2 * dims + 1 :]
         self.reach = max(max(abs(a - m), abs(b - m)) for a, b, m in zip(least, most, self.middle))
-        self.whole = self.n * self.reach**2 <= _LONG
         self.covariance = self._covariance(rows)
         values, vectors = np.linalg.eigh(self.covariance)
         order = np.argsort(-values, kind="stable")
@@ -65,9 +64,9 @@ class Fit:
         self.varies = self.values > self.trace * dims * np.finfo(float).eps
 
     def centred(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with y0, y1, ...: x less the whole number nearest to its mean."""
-        y = [F.col("x")[i] - F.lit(m).cast("long") for i, m in enumerate(self.middle)]
-        return rows.select("vec_id", *[(c if self.whole else c.cast("double")).alias(f"y{i}") for i, c in enumerate(y)])
+        """y0, y1, ...: x less the whole number nearest to its mean. Nothing is null here, and the plan knows it, which spares checks a pair."""
+        y = [F.coalesce((F.col("x")[i] - F.lit(m).cast("long")).cast("double"), F.lit(0.0)) for i, m in enumerate(self.middle)]
+        return rows.select(*[c.alias(f"y{i}") for i, c in enumerate(y)])
 
     def _covariance(self, rows: DataFrame) -> np.ndarray:
         pairs = list(combinations_with_replacement(range(self.dims), 2))
