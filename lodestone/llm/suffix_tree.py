@@ -13,9 +13,7 @@ The tree is a table. What a state adds to its parent's prediction depends on the
 one value (``values``), as a successor and as a context, and a text's states add the sum of them to the root. Tasks know
 the values of at most ``common`` n-grams and words, the most frequent. The others are joined by hash to the whole table, as
 (text, n-gram, times) rows, in one pass; frequent ones, the skewed ones, aren't among them. n-grams and words that can't be
-in the table are left out before by a bitmap of fixed size, which may let others pass, but loses none.
-
-``Tree`` and ``grow`` are the same in the memory of one machine; the tests hold the table against them.
+in the table are left out before by a bitmap of bounded size, which may let others pass, but loses none.
 
 Null texts are empty: they have the end alone. Null doc_ids train and aren't held out. Repeated rows count, and are
 returned, each. An empty table gives no rows. Words are told apart by 64-bit hashes.
@@ -24,7 +22,6 @@ returned, each. An empty table gives no rows. Words are told apart by 64-bit has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bits import bitmap, has
+from ._bits import BITS, BLOCK, bitmap, has
 from ._shared import drop_stage, in_arrow, stage
 from ._text import Slice, slices
 
 #: Distinct keys that a task gathers before it gives them out.
-GATHERED = 1_000_000
-SHIFT = 22
+GATHERED = 2_000_000
 #: Hashes of a text's start and end.
 START, END = np.int64(0x5BD1E9955BD1E995), np.int64(0x1B8735939E3779B9)
 #: Rows of a level up to which it is broadcast; beyond, joins with it are shuffled.
@@ -97,123 +93,6 @@ def _find(table: np.ndarray, keys: np.ndarray, ok: np.ndarray | None = None) ->
     return out
 
 
-@dataclass
-class Tree:
-    """n-grams by length, ascending by key: the place of all but the last word among shorter ones, then the last word.
-
-    words: hashes of eligible words; the end and the start of a text come after them. root: log10 probabilities.
-    """
-
-    words: np.ndarray
-    root: np.ndarray
-    count: np.ndarray
-    grams: list[np.ndarray] = field(default_factory=list)
-    n: list[np.ndarray] = field(default_factory=list)
-    suffix: list[np.ndarray] = field(default_factory=list)
-    gain: list[np.ndarray] = field(default_factory=list)
-    kept: list[np.ndarray] = field(default_factory=list)
-    rest: list[np.ndarray] = field(default_factory=list)
-
-    def places(self, part: Slice, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The text of each symbol, start and end included, and the place of the n-gram that ends there, for each length."""
-        h, doc = _words(part)
-        n = np.bincount(doc, minlength=part.n)
-        first = np.cumsum(n + 2) - (n + 2)
-        owner = np.repeat(np.arange(part.n), n + 2)
-        symbol = np.full(len(owner), -1, np.int64)
-        symbol[np.arange(len(h)) + 2 * doc + 1] = _find(self.words, h)
-        symbol[first], symbol[first + n + 1] = len(self.words) + 1, len(self.words)
-        at = [symbol]
-        for d in range(levels):
-            before = np.concatenate(([-1], at[d][:-1]))
-            ok = (before >= 0) & (symbol >= 0) & (symbol <= len(self.words))  # the start has nothing before it
-            at.append(_find(self.grams[d], (before << SHIFT) | symbol, ok))
-        return owner, at
-
-    def gains(self, part: Slice) -> np.ndarray:
-        """What the states add to the root's log10 probability of each text."""
-        owner, at = self.places(part, len(self.grams))
-        out = np.zeros(len(owner))
-        live = np.ones(len(owner), bool)
-        live[0] = False
-        for d in range(len(self.grams)):
-            context = np.concatenate(([-1], at[d][:-1]))
-            live &= (context >= 0) & (at[0] != len(self.words) + 1)
-            live[live] = self.kept[d][context[live]]
-            hit = live & (at[d + 1] >= 0)
-            out[hit] = self.gain[d][at[d + 1][hit]]
-            miss = live & ~hit
-            out[miss] += self.rest[d][context[miss]]
-        return np.bincount(owner, weights=out, minlength=part.n)
-
-    def learn(self, keys: np.ndarray, n: np.ndarray, strength: float) -> None:
-        """Add the n-grams of the next length: their counts give contexts their successors."""
-        d = len(self.grams)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context, word = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
-        total = self.count if d == 0 else self.n[d - 1]
-        if d == 0:
-            above, suffix = 10 ** self.root[word], word
-        else:
-            suffix = _find(self.grams[d - 1], (self.suffix[d - 1][context] << SHIFT) | word)
-            above = 10 ** (self.gain[d - 1][suffix] + self.root[word])
-        c = total[context]
-        p = (n + strength * above) / (c + strength)
-        of = lambda w: np.bincount(context, weights=w, minlength=len(total))
-        left, left_above = np.maximum(1 - of(p), 1e-12), np.maximum(1 - of(above), 1e-12)
-        other = np.maximum(total - of(n), 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * (of(n * np.log(n / c / above)) + np.where(other > 0, other * np.log(other / total / left_above), 0))
-        kinds = np.bincount(context, minlength=len(total))
-        self.grams.append(keys)
-        self.n.append(n)
-        self.suffix.append(suffix)
-        self.gain.append(np.log10(p) - self.root[word])
-        self.kept.append((kinds > 0) & (ratio >= kinds + 4 * np.sqrt(2 * kinds) + 10))
-        self.rest.append(np.log10(left / left_above))
-
-    def close(self) -> None:
-        """Keep the parents of what is kept."""
-        for d in range(len(self.grams) - 1, 0, -1):
-            self.kept[d - 1][self.suffix[d - 1][np.flatnonzero(self.kept[d])]] = True
-
-
-def _gram_counts(texts: DataFrame, tree: Broadcast, levels: int) -> DataFrame:
-    """key and n of the n-grams one longer than the tree's ``levels``, of which both the context and the suffix are eligible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, found = tree.value, Counter()
-        for b in batches:
-            for part in slices(b.column("text")):
-                _, at = t.places(part, levels)
-                before, word = np.concatenate(([-1], at[levels][:-1])), at[0]
-                ok = (before >= 0) & (at[levels] >= 0) & (word <= len(t.words))
-                found.add(*np.unique((before[ok] << SHIFT) | word[ok], return_counts=True))
-                if len(found.keys) > GATHERED:
-                    yield found.out()
-        yield found.out()
-
-    return texts.select("text").transform(in_arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def grow(texts: DataFrame, counts: DataFrame, ends: int, total: int, scale: float, depth: int = 3, least_n: int = 4, strength: float = 4.0) -> Tree:
-    """The tree of ``texts`` in memory, for tables that fit there; counts: key and n of their words."""
-    spark = texts.sparkSession
-    words = counts.where(F.col("n") >= least_n).toPandas().sort_values("key")
-    count = np.concatenate((words["n"].to_numpy(np.int64), [ends, ends])).astype(float)
-    tree = Tree(words["key"].to_numpy(np.int64), np.log10((count + 0.5) / scale), count)
-    for d in range(depth):
-        sent = spark.sparkContext.broadcast(tree)
-        grams = _gram_counts(texts, sent, d).where(F.col("n") >= least_n).toPandas()
-        sent.unpersist()
-        if not len(grams):
-            break
-        tree.learn(grams["key"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), strength)
-    tree.close()
-    return tree
-
-
 def _rotl(x: np.ndarray, k: int) -> np.ndarray:
     return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
@@ -251,23 +130,60 @@ def _levels(part: Slice, most: int) -> tuple[np.ndarray, list[np.ndarray], list[
     return owner, keys, ok
 
 
+class Grams:
+    """n-grams of a task: key, context, suffix and count, added up whenever there are many."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.held += len(part[0])
+        if self.held > GATHERED:
+            self._add_up()
+
+    def _add_up(self) -> None:
+        key, ctx, suf, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+        at = order[first]
+        self.parts = [(key[at], ctx[at], suf[at], np.add.reduceat(n[order], first))]
+        self.held = len(at)
+
+    def out(self) -> pa.RecordBatch:
+        self._add_up()
+        _, ctx, suf, n = self.parts[0]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(suf), pa.array(n)], ["ctx", "suf", "n"])
+
+
 def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
-    """ctx, suf and n of n-grams of a length, of all whose context and suffix are in the bitmap."""
+    """ctx, suf and n of n-grams of a length, of all whose context and suffix are in the bitmap. A task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
+        bits, found = known.value, Grams()
         for b in batches:
             for part in slices(b.column("text")):
                 _, keys, ok = _levels(part, length - 1)
                 below, fits = keys[-1], ok[-1] & has(bits, keys[-1])
                 at = np.flatnonzero(fits[:-1] & fits[1:] & (keys[0][1:] != START)) + 1
-                _, first, n = np.unique(pair_keys(below[at - 1], below[at]), return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(below[at - 1]), pa.array(below[at]), pa.array(n)], ["ctx", "suf", "n"])
+                if len(at):
+                    key, first, n = np.unique(pair_keys(below[at - 1], below[at]), return_index=True, return_counts=True)
+                    found.add(key, below[at[first] - 1], below[at[first]], n)
+                if found.held > GATHERED // 2:
+                    yield found.out()
+        if found.held:
+            yield found.out()
 
     return texts.select("text").transform(in_arrow, run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
 
 
+def _bits(keys: DataFrame) -> int:
+    """Bits of a bitmap of ``keys``: 32 a key or so, up to the bitmap's bound."""
+    return min(BITS, max(BLOCK, 1 << (32 * keys.count()).bit_length()))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A staged table, with a broadcast hint if it has few rows."""
     return F.broadcast(df) if df.count() <= ROWS else df
@@ -284,7 +200,7 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     levels, contexts = [stage(words.select("key", "n", ((F.col("n") + 0.5) / F.lit(scale)).alias("p")), "tree-words")], []
     for length in range(2, depth + 2):
         below = levels[-1]
-        sent = spark.sparkContext.broadcast(bitmap(below))
+        sent = spark.sparkContext.broadcast(bitmap(below, _bits(below)))
         found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
         sent.destroy()
         below = _small(below)
@@ -338,7 +254,7 @@ def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missin
     """Rows of each text (row, doc_id, text): sums over what tasks know, and times for each key that must be looked up."""
     top = _most_frequent(table, common).select("key", "base", "value").toArrow().sort_by("key")  # at most `common` rows of 24 bytes
     key, base, value = (top.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("base", float), ("value", float)))
-    sent = docs.sparkSession.sparkContext.broadcast((key, base, value, bitmap(table)))
+    sent = docs.sparkSession.sparkContext.broadcast((key, base, value, bitmap(table, _bits(table))))
     del top, key, base, value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +293,7 @@ def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missin
     return docs.select("row", "doc_id", "text").transform(in_arrow, run, ROWS_OF_TEXT)
 
 
-def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, least_n: int = 4) -> DataFrame:
+def score_texts(docs: DataFrame, train, common: int = 1 << 20, depth: int = 3, least_n: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``train`` is a condition on doc_id that says which rows to learn from. base_score is the root's alone.
@@ -402,7 +318,7 @@ def score_texts(docs: DataFrame, train, common: int = 262_144, depth: int = 3, l
 
     missing = float(np.log10(0.5 / scale))
     rows = _text_rows(docs.withColumn("row", F.xxhash64("doc_id", "text")), table, common, depth + 1, missing)
-    rows = rows.join(table.select("key", "base", "value").hint("shuffle_hash"), "key", "left")
+    rows = rows.join(table.select("key", "base", "value").hint("merge"), "key", "left")
     slot, amount = F.col("slot"), F.col("amount")
     total_of = lambda s, looked: F.sum(F.when(slot == s, amount).when(looked[0], amount * looked[1]))
     sums = rows.groupBy("row").agg(

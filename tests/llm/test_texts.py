@@ -275,7 +275,9 @@ def test_suffix_tree_scores(spark):
 
 
 def test_suffix_tree_distributions_sum_to_one(spark):
-    from lodestone.llm.suffix_tree import grow, word_counts
+    from lodestone.llm.suffix_tree import word_counts
+
+    from ._tree import grow
 
     rng = random.Random(1)
     texts = frame(spark, [" ".join(rng.choices("abcd", k=1)) + " " + " ".join(x for _ in range(6) for x in rng.choice(("e f g", "f e g", "h a"),).split()) for _ in range(80)])
@@ -299,7 +301,9 @@ def test_suffix_tree_distributions_sum_to_one(spark):
 
 def test_suffix_tree_table_equals_tree_in_memory(spark):
     from lodestone.llm._text import slices
-    from lodestone.llm.suffix_tree import grow, pair_keys, word_counts
+    from lodestone.llm.suffix_tree import pair_keys, word_counts
+
+    from ._tree import grow
 
     ab = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (2, 50))
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b in ab.T], "a long, b long")
