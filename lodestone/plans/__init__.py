@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("web", "text", "retrieval", "knowledge", "relational", "answers", "streams")
+FAMILIES = ("web", "text", "retrieval", "knowledge", "relational", "answers", "streams", "indexes")
 
 
 def load() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.replies import decode_strings
 from lodestone.functions.text import once
 from lodestone.operators import answers as A
 from lodestone.operators import chunking as C
@@ -183,14 +184,40 @@ def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", merged.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["k"].alias("k"), F.col("m")["chunk_type"].alias("chunk_type"))
 
 
-_SPACES = ", ".join(f"('col-a-{space}')" for _, space in ROUTES)
+_SPACES = ", ".join(f"'{space}'" for _, space in ROUTES)
 
 
-@query(rf"WITH n(ns) AS (VALUES {_SPACES}) SELECT ns, regexp_replace(ns, '-[^-]*$', '') AS collection FROM n")
+@query(rf"SELECT DISTINCT source || '-' || s AS ns, regexp_replace(source || '-' || s, '-[^-]*$', '') AS collection FROM documents, (SELECT unnest([{_SPACES}]) AS s)")
 def namespace_collection(spark: SparkSession, sf: str) -> DataFrame:
-    """A namespace's name without its last part: of one that has a dash itself, not the whole collection. Our tables keep both apart."""
-    rows = spark.createDataFrame([(f"col-a-{space}",) for _, space in ROUTES], "ns string")
-    return rows.withColumn("collection", F.regexp_replace("ns", "-[^-]*$", ""))
+    """The namespaces of each source's documents, and their names without the last part: of a namespace that has a dash itself, not the source."""
+    spaces = F.explode(F.array(*(F.lit(space) for _, space in ROUTES))).alias("s")
+    rows = load(spark, sf, "documents").select("source").distinct().select("source", spaces)
+    ns = F.concat("source", F.lit("-"), "s")
+    return rows.select(ns.alias("ns"), F.regexp_replace(ns, "-[^-]*$", "").alias("collection"))
+
+
+#: What a model might have replied of each turn: well-formed, cut off, without the key, of another type, of mixed elements, or no JSON.
+_REPLIES = """SELECT conv_id, turn, text, CASE (conv_id * 7 + turn) % 6
+WHEN 0 THEN CAST(to_json({{'statements': [text, 'and more']}}) AS VARCHAR) WHEN 1 THEN left(CAST(to_json({{'statements': [text]}}) AS VARCHAR), 15 + length(text) // 2)
+WHEN 2 THEN CAST(to_json({{'other': [text]}}) AS VARCHAR) WHEN 3 THEN CAST(to_json({{'statements': text}}) AS VARCHAR)
+WHEN 4 THEN '{{"statements": [3, null, ' || CAST(to_json(text) AS VARCHAR) || ', ["x"], true]}}' ELSE text END AS reply FROM conversations""".replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""WITH r AS ({_REPLIES}), d AS (SELECT conv_id, turn, text, CASE WHEN json_valid(reply) THEN CASE WHEN json_type(reply, '$.statements') = 'ARRAY' THEN
+list_transform(list_filter(CAST(json_extract(reply, '$.statements') AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$') END END AS found FROM r)
+SELECT conv_id, turn, CAST(coalesce(nullif(len(found), 0), 1) AS INTEGER) AS n, CASE WHEN len(found) > 0 THEN found[1] ELSE text END AS first FROM d""")
+def decoded_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements in recorded replies; where a reply gives none, the turn's own text is the one."""
+    text = F.col("text")
+    whole = F.to_json(F.struct(F.array(text, F.lit("and more")).alias("statements")))
+    cut = F.substring(F.to_json(F.struct(F.array(text).alias("statements"))), F.lit(1), 15 + F.floor(F.char_length(text) / 2).cast("int"))
+    listed = F.to_json(F.array(text))
+    mixed = F.concat(F.lit('{"statements": [3, null, '), F.substring(listed, F.lit(2), F.char_length(listed) - 2), F.lit(', ["x"], true]}'))
+    case = (F.col("conv_id") * 7 + F.col("turn")) % 6
+    reply = F.when(case == 0, whole).when(case == 1, cut).when(case == 2, F.to_json(F.struct(F.array(text).alias("other")))).when(case == 3, F.to_json(F.struct(text.alias("statements")))).when(case == 4, mixed).otherwise(text)
+    found = decode_strings(F.col("reply"), "statements", F.array("text"))
+    rows = load(spark, sf, "conversations").select("conv_id", "turn", "text", reply.alias("reply")).select("conv_id", "turn", found.alias("f"))
+    return rows.select("conv_id", "turn", F.size("f").alias("n"), F.col("f")[0].alias("first"))
 
 
 @query(f"WITH c AS ({oracle('context_assembly')}), g AS ({oracle('graph_context')}) SELECT c.qid, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), g.context, c.context) AS context FROM c LEFT JOIN g USING (qid)")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.aggregates import Moments, aggregate
+from lodestone.functions.tables import register
 from lodestone.operators.relational import asof, range_join
 from lodestone.registry import query
 from lodestone.sources.tables import load
@@ -133,28 +134,33 @@ def rel_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-@query("SELECT event_type, count(*) AS n, TRUE AS hll_near, TRUE AS sketch_near, TRUE AS quantile_near FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS estimate, quantile_disc(value, 0.5) AS median FROM events GROUP BY event_type")
 def rel_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate distinct counts, a mergeable sketch and an approximate quantile, held against the exact values: within 10 %."""
-    rows = load(spark, sf, "events").groupBy("event_type", F.pmod("event_id", F.lit(4)).alias("part"))
-    parts = rows.agg(F.count("*").alias("n"), F.hll_sketch_agg("user_id", 12).alias("s"))
-    merged = parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("s", False)).alias("merged"))
-    whole = load(spark, sf, "events").groupBy("event_type").agg(
-        F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("hll"), F.percentile("value", 0.5).alias("median"), F.percentile_approx("value", 0.5, 10_000).alias("near"), F.max("value").alias("top")
-    )
-    close = lambda a, b, of: F.abs(F.col(a) - F.col(b)) <= 0.1 * F.col(of)
-    return merged.join(whole, "event_type").select("event_type", "n", close("hll", "users", "users").alias("hll_near"), close("merged", "users", "users").alias("sketch_near"), close("near", "median", "top").alias("quantile_near"))
-
-
-@query("SELECT event_type, round(sqrt(avg(value * value)), 6) AS rms, count(*) AS n FROM events GROUP BY event_type")
+    """Sketches of parts, merged: bitmaps, which are exact; HyperLogLog, whose estimate is the count while so few keys are in it; a quantile within its accuracy."""
+    events = load(spark, sf, "events")
+    parts = events.groupBy("event_type", F.to_date("ts").alias("day"))
+    sketches = parts.agg(F.count("*").alias("n"), F.hll_sketch_agg("user_id", 20).alias("s")).groupBy("event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("s", False)).alias("estimate"))
+    bits = events.groupBy("event_type", F.to_date("ts"), F.bitmap_bucket_number("user_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("b"))
+    bits = bits.groupBy("event_type", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("c")).groupBy("event_type").agg(F.sum("c").alias("users"))
+    median = events.groupBy("event_type").agg(F.percentile_approx("value", 0.5, 100_000).alias("median"))
+    return sketches.join(bits, "event_type").join(median, "event_type").select("event_type", "n", "users", "estimate", "median")
+
+
+@query("""WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1), d AS (SELECT event_type, mean, value - mean AS d FROM events JOIN m USING (event_type))
+SELECT event_type, count(*) AS n, round(any_value(mean), 6) AS mean, round(avg(d * d), 6) AS variance, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skewness, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurtosis FROM d GROUP BY event_type""")
 def rel_user_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's aggregate over partial ones: a Pandas UDF squares in batches, what remains is a native sum."""
-    @F.pandas_udf("double")
-    def squared(x: pd.Series) -> pd.Series:
-        return x * x
-
-    rows = load(spark, sf, "events").select("event_type", squared("value").alias("sq"))
-    return rows.groupBy("event_type").agg(F.round(F.sqrt(F.avg("sq")), 6).alias("rms"), F.count("*").alias("n"))
+    """An aggregate of one's own with states that are merged: moments of values."""
+    out = aggregate(load(spark, sf, "events"), ["event_type"], "value", Moments())
+    return out.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "variance", "skewness", "kurtosis")))
+
+
+@query("""SELECT conv_id, turn, CAST(n AS INTEGER) AS n_history, coalesce(h, '') AS history, text AS answer FROM (
+SELECT *, count(*) OVER w AS n, string_agg(coalesce(text, ''), chr(10)) OVER w AS h FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant'""")
+def rel_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A table function over a partitioned and ordered table, called from SQL: answers with the turns before them."""
+    register(spark)
+    load(spark, sf, "conversations").select("conv_id", "turn", "role", "text").createOrReplaceTempView("lodestone_conversations")
+    return spark.sql("SELECT * FROM dialogue_windows(TABLE(lodestone_conversations) PARTITION BY conv_id ORDER BY turn)")
 
 
 @query("SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' + INTERVAL 2 MONTH GROUP BY ALL")

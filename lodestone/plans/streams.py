@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.registry import query
+from lodestone.sources.tables import load
 from lodestone.streaming import windows as S
+from lodestone.streaming.joins import interval_join
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
@@ -38,3 +40,27 @@ def stream_cache_ttl(spark: SparkSession, sf: str) -> DataFrame:
     """Users' events as questions against a cache of an hour: hits and misses by user. A walk along time, so no SQL."""
     rows = S.with_ttl(S.event_stream(spark, sf).select(F.col("user_id").alias("key"), "ts"))
     return S.run_to_table(rows, "append").groupBy(F.col("key").alias("user_id")).agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("misses"))
+
+
+_PAIRS = "FROM (SELECT * FROM events WHERE event_type = 'click') a {0} JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR"
+
+
+def _clicks_and_purchases(spark: SparkSession, sf: str, how: str) -> DataFrame:
+    events = S.event_stream(spark, sf).select("event_id", "user_id", "ts", "event_type")
+    clicks, purchases = (events.where(F.col("event_type") == x).drop("event_type") for x in ("click", "purchase"))
+    return interval_join(clicks, purchases, "user_id", "6 hours", "1 day", how)
+
+
+@query(f"SELECT a.event_id AS click, b.event_id AS purchase, a.user_id {_PAIRS.format('')}")
+def stream_interval_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams: purchases of a user within six hours of a click."""
+    out = _clicks_and_purchases(spark, sf, "inner")
+    return S.run_to_table(out.select(F.col("event_id").alias("click"), F.col("right_event_id").alias("purchase"), "user_id"), "append")
+
+
+@query(f"SELECT a.event_id AS click, coalesce(b.event_id, -1) AS purchase, a.user_id {_PAIRS.format('LEFT')} WHERE a.ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def stream_outer_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with clicks that had no purchase (-1): given out when none can come any more, so those of the stream's last days still wait."""
+    end = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    out = _clicks_and_purchases(spark, sf, "leftOuter").where(F.col("ts") < F.lit(end) - F.expr("INTERVAL 3 DAYS"))
+    return S.run_to_table(out.select(F.col("event_id").alias("click"), F.coalesce("right_event_id", F.lit(-1)).alias("purchase"), "user_id"), "append")
