@@ -59,8 +59,12 @@ def reach(adjacent: DataFrame, seeds: DataFrame, hops: int = 2, inclusive: bool
 
 
 def graph_context(edges: DataFrame, seeds: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """qid and context: a header, then the first relations, by (doc_id, pos), with both ends within reach, a line each."""
-    related = reach(adjacency(edges), seeds, config.graph_hops)
+    """qid and context: a header, then the first relations, by (doc_id, pos), with both ends within reach, a line each.
+
+    Edges and what is within reach are checkpointed: each is made once, however many steps read it.
+    """
+    edges = cut(edges)
+    related = cut(reach(cut(adjacency(edges)), cut(seeds), config.graph_hops))
     ends = edges.join(related.select("qid", F.col("node").alias("subject")), "subject")
     inner = ends.join(related.select("qid", F.col("node").alias("object")), ["qid", "object"])
     first = inner.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "pos"))).where(F.col("k") <= config.graph_relations)

@@ -11,11 +11,12 @@ from lodestone.config import DEFAULT
 from lodestone.functions import tokens
 from lodestone.operators import chunking as C
 from lodestone.operators import knowledge as K
+from lodestone.operators import mining as M
 from lodestone.plans.retrieval import COSINE
 from lodestone.plans.text import BUCKET, LEAVES, SENTENCE_ROWS, SENTENCES, SIGN, TOKENS
 from lodestone.providers import OFFLINE, ROUTE_WORDS, ROUTES
 from lodestone.registry import query
-from lodestone.sources.tables import load
+from lodestone.sources.tables import cut, load
 
 _PUNCT = r"""[!-/:-@\[-`{-~]"""
 RELATIONS = rf"""rel AS (SELECT doc_id, pos, t[1] AS subject, t[2] AS relation, t[3] AS object FROM (
@@ -68,7 +69,7 @@ ind AS (SELECT s.qid, rel.*, row_number() OVER (PARTITION BY s.qid ORDER BY doc_
 SELECT qid, 'Knowledge graph context:' || chr(10) || string_agg(subject || ' → ' || relation || ' → ' || object, chr(10) ORDER BY k) AS context FROM ind WHERE k <= 20 GROUP BY qid""")
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
     """Relations around the words of each question that are nodes of the graph."""
-    rel = _relations(spark, sf)
+    rel = cut(_relations(spark, sf))
     nodes = K.adjacency(rel).select("node").distinct()
     words = load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tokens(F.lower("text"))).alias("node")).distinct()
     return K.graph_context(rel, words.join(nodes, "node", "left_semi").select("qid", "node"))
@@ -190,3 +191,41 @@ def upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
     stored = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("value"), F.lit("stored").alias("origin"))
     new = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.lit("new").alias("origin"))
     return K.upsert(stored, new, "id")
+
+
+_PLAIN = rf"list_filter(list_transform({TOKENS.format('lower(sentence)')}, lambda w: regexp_replace(w, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')), lambda w: w <> '')"
+#: Collocations of the documents, and the runs of their sentences.
+_MINED = f"""sw AS (SELECT doc_id, pos, {_PLAIN} AS w FROM ({SENTENCE_ROWS})),
+pairs AS (SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM sw)) GROUP BY ALL),
+rs AS (SELECT a, sum(n) AS r FROM pairs GROUP BY a), cs AS (SELECT b, sum(n) AS c FROM pairs GROUP BY b), world AS (SELECT sum(n) AS t FROM pairs),
+k AS (SELECT a, b, CAST(n AS DOUBLE) AS n, CAST(r AS DOUBLE) AS r, CAST(c AS DOUBLE) AS c, CAST(t AS DOUBLE) AS t FROM pairs JOIN rs USING (a) JOIN cs USING (b), world WHERE n >= 5),
+known AS (SELECT a, b, CAST(n AS BIGINT) AS n, llr FROM (SELECT *, round(2 * (n * ln(n / (r * c / t)) + CASE WHEN r > n THEN (r - n) * ln((r - n) / (r * (t - c) / t)) ELSE 0 END
+  + CASE WHEN c > n THEN (c - n) * ln((c - n) / ((t - r) * c / t)) ELSE 0 END + CASE WHEN t - r - c + n > 0 THEN (t - r - c + n) * ln((t - r - c + n) / ((t - r) * (t - c) / t)) ELSE 0 END), 6) AS llr FROM k)
+  WHERE llr >= 10.83 AND n * t > r * c),
+wr AS (SELECT doc_id, pos, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sw)),
+runs AS (SELECT doc_id, pos, seg, CAST(min(i) - 1 AS INTEGER) AS start, count(*) AS size, string_agg(word, ' ' ORDER BY i) AS text FROM (
+  SELECT wr.*, sum(CASE WHEN known.a IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY i) AS seg FROM wr LEFT JOIN known ON before = a AND word = b) GROUP BY ALL)"""
+
+
+def _mined(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Collocations and runs of all documents."""
+    words = M.sentence_words(load(spark, sf, "documents"))
+    known = cut(M.collocations(words))
+    return known, M.segments(words, known)
+
+
+@query(f"WITH {_MINED} SELECT a, b, n, llr FROM known")
+def mined_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return _mined(spark, sf)[0]
+
+
+@query(f"WITH {_MINED} SELECT doc_id, pos, start, text AS entity FROM runs WHERE size > 1")
+def mined_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return M.entities(_mined(spark, sf)[1])
+
+
+@query(f"""WITH {_MINED}, e AS (SELECT *, lead(seg) OVER w AS next, lead(text) OVER w AS object FROM runs WHERE size > 1 WINDOW w AS (PARTITION BY doc_id, pos ORDER BY seg))
+SELECT e.doc_id, e.pos, e.text AS subject, string_agg(m.text, ' ' ORDER BY m.seg) AS relation, object FROM e JOIN runs m ON m.doc_id = e.doc_id AND m.pos = e.pos AND m.seg > e.seg AND m.seg < next
+WHERE next - e.seg BETWEEN 2 AND 6 GROUP BY e.doc_id, e.pos, e.seg, e.text, object""")
+def mined_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return M.relations(_mined(spark, sf)[1])

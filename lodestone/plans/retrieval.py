@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import cosine
 from lodestone.functions.vectors import embed
+from lodestone.operators import positions
 from lodestone.operators import retrieval as R
 from lodestone.plans.text import BUCKET, SIGN, TOKENS
 from lodestone.registry import query
@@ -112,6 +113,20 @@ def rerank_topn(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(spark, sf)
 
 
+@query(f"""WITH {FUSED}, q AS (SELECT item_id AS qid, {_T} AS qt FROM benchmark), d AS (SELECT doc_id, {_T} AS dt FROM documents),
+h AS (SELECT qid, rank AS pos, doc_id, qt, dt, len(list_intersect(list_distinct(qt), dt)) AS matched, list_distinct(list_transform(range(1, len(qt)), lambda i: [qt[i], qt[i + 1]])) AS qp FROM hybrid JOIN q USING (qid) JOIN d USING (doc_id)),
+p AS (SELECT qid, doc_id, dt[i] AS word, i FROM (SELECT qid, doc_id, qt, dt, unnest(range(1, len(dt) + 1)) AS i FROM h) WHERE list_contains(qt, dt[i])),
+far AS (SELECT p.qid, p.doc_id, p.i, m.word, max(CASE WHEN p.word = m.word THEN p.i END) OVER (PARTITION BY p.qid, p.doc_id, m.word ORDER BY p.i) AS back FROM p JOIN (SELECT DISTINCT qid, doc_id, word FROM p) m USING (qid, doc_id)),
+w AS (SELECT qid, doc_id, i, i - min(back) + 1 AS span, count(back) AS words FROM far GROUP BY qid, doc_id, i), spans AS (SELECT qid, doc_id, min(span) AS span FROM w JOIN h USING (qid, doc_id) WHERE words = matched GROUP BY ALL),
+f AS (SELECT qid, pos, doc_id, CAST(matched AS INTEGER) AS matched, CAST(coalesce(span, 0) AS INTEGER) AS stretch, CAST(len(list_intersect(qp, list_transform(range(1, len(dt)), lambda i: [dt[i], dt[i + 1]]))) AS INTEGER) AS phrases, len(list_distinct(qt)) AS nq, len(qp) AS np FROM h LEFT JOIN spans USING (qid, doc_id)),
+s AS (SELECT *, round(CASE WHEN nq > 0 THEN matched / CAST(nq AS DOUBLE) ELSE 0 END + CASE WHEN stretch > 0 THEN 0.5 * matched / CAST(stretch AS DOUBLE) ELSE 0 END + CASE WHEN np > 0 THEN 0.5 * phrases / CAST(np AS DOUBLE) ELSE 0 END, 6) AS score FROM f)
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INTEGER) AS rank, doc_id, matched, stretch, phrases, score FROM s) WHERE rank <= 3""")
+def rerank_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused hits of each question, ranked by where its words stand."""
+    hits = hybrid(spark, sf).select("qid", F.col("rank").alias("pos"), F.col("id").alias("doc_id"))
+    return positions.rerank(hits, questions(spark, sf), load(spark, sf, "documents"))
+
+
 @query(f"""WITH {RANKED}, g AS (SELECT *, NOT max(rerank_score >= 0.3) OVER (PARTITION BY qid) AS web_fallback FROM ranked)
 SELECT qid, rank, doc_id, rerank_score, web_fallback FROM g WHERE rerank_score >= 0.3 OR web_fallback""")
 def grade_fallback(spark: SparkSession, sf: str) -> DataFrame:

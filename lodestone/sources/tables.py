@@ -28,12 +28,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; as it is where none is set, as in tests."""
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
