@@ -1,8 +1,10 @@
 """Best-fit packing (operator 4): pieces of documents into sequences of at most 1024 tokens, by exact-complement hashing.
 
 Only the counts of the 1024 lengths matter to the plan. The driver gets those, at most 1024 rows at any size of input.
-For the longest length left, the sums of single, pair and triple lengths are looked up for its gap, and combinations that
-fill it exactly are taken as often as the counts allow; lengths without one are packed best-fit. The plan says which
+An index has the pairs of lengths by their sum. For each length, longest first, its gap is looked up: as a single length, as
+a pair, and as a triple, which is a length and the pair that the index has for what is then left. Combinations that fill the
+gap exactly are taken as often as the counts allow; ones with a length that has run out leave the index for good. Lengths
+without a combination are packed best-fit. The plan says which
 ranks within each length go to which sequences; a piece's rank is the count of its length in the partitions before
 (a prefix sum) plus its number in its own, so no task sees more than its own pieces, whatever lengths are frequent.
 
@@ -64,6 +66,44 @@ def cut(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 2) -> D
     return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, run, PIECES, True)
 
 
+class Sums:
+    """Combinations of one, two and three lengths by their sum, under counts that only fall."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.lookups = left, 0
+        has = np.flatnonzero(left > 0)
+        i, j = np.triu_indices(len(has))
+        total, small = has[i] + has[j], has[i]
+        fits = total < len(left) - 1
+        total, small = total[fits], small[fits]
+        order = np.lexsort((small, total))
+        sums, first = np.unique(total[order], return_index=True)
+        #: The smaller length of each pair, by the pair's sum, ascending: pairs with a longer member come first.
+        self.pairs = dict(zip(sums.tolist(), np.split(small[order], first[1:]), strict=False))
+
+    def _pair(self, total: int) -> list[int]:
+        self.lookups += 1
+        small = self.pairs.get(total)
+        if small is None:
+            return []
+        alive = (self.left[small] > 0) & (self.left[total - small] > 0)
+        if not alive.all():
+            small = self.pairs[total] = small[alive]
+        return small.tolist()
+
+    def of(self, gap: int) -> Iterator[list[int]]:
+        """Combinations that fill a gap, singles first, then pairs, then triples, each with longer members first."""
+        if self.left[gap] > 0:
+            yield [gap]
+        for b in self._pair(gap):
+            yield [gap - b, b]
+        for a in range(gap - 2, (gap - 1) // 3, -1):
+            if self.left[a] > 0:
+                for b in self._pair(gap - a):
+                    if gap - a - b <= a:
+                        yield [a, gap - a - b, b]
+
+
 class Plan:
     """Patterns of lengths: each is used by ``times`` sequences and holds its lengths in this order."""
 
@@ -76,43 +116,20 @@ class Plan:
         if left[most]:
             self.patterns.append(([most], int(left[most])))
             left[most] = 0
+        self.sums = Sums(left)
         for long in range(most - 1, 0, -1):
-            while left[long] and (found := self._complement(left, long)):
+            if not left[long]:
+                continue
+            for found in self.sums.of(most - long):
                 members, need = np.unique([long, *found], return_counts=True)
                 times = int((left[members] // need).min())
-                left[members] -= need * times
-                self.patterns.append(([long, *found], times))
+                if times:
+                    left[members] -= need * times
+                    self.patterns.append(([long, *found], times))
+                    if not left[long]:
+                        break
         self._best_fit(left)
 
-    def _complement(self, left: np.ndarray, long: int) -> list[int] | None:
-        """One, two or three lengths that fill what ``long`` leaves, all in stock; larger ones first."""
-        gap = self.most - long
-        stock = left.copy()
-        stock[long] -= 1
-        if stock[gap] > 0:
-            return [gap]
-        if pair := self._pair(stock, gap):
-            return pair
-        has = np.flatnonzero(stock[: gap - 1] > 0)[::-1] if gap > 2 else []
-        for a in has:
-            stock[a] -= 1
-            pair = self._pair(stock, gap - int(a))
-            stock[a] += 1
-            if pair:
-                return [int(a), *pair]
-        return None
-
-    @staticmethod
-    def _pair(stock: np.ndarray, total: int) -> list[int] | None:
-        if total < 2:
-            return None
-        b = np.arange(1, total // 2 + 1)
-        ok = (stock[b] > 0) & (stock[total - b] > 0)
-        if total % 2 == 0:
-            ok[-1] = stock[total // 2] > 1
-        k = int(ok.argmax())
-        return [total - int(b[k]), int(b[k])] if ok[k] else None
-
     def _best_fit(self, left: np.ndarray) -> None:
         """Lengths in descending order, each to the smallest gap that holds it, many sequences of one kind at a time."""
         open_: dict[int, list[tuple[list[int], int]]] = {}

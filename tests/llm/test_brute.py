@@ -213,7 +213,7 @@ def test_queries_over_whole_tables(spark, name):
         assert ((got["score"] >= 0.3) == (got["predicted"] == 1)).all() and got["score"].between(0, 1).all()
     if name == "op4_best_fit_packing":
         full = got.groupby("sequence_id")["length"].sum()
-        assert full.max() <= 1024 and len(full) == max(math.ceil(got["length"].sum() / 1024), len(full))
+        assert full.max() <= 1024 and len(full) <= 1.02 * math.ceil(got["length"].sum() / 1024) + 2
         one = got.sort_values(["sequence_id", "offset"])
         assert (one.groupby("sequence_id")["length"].cumsum() - one["length"] == one["offset"]).all()
 

@@ -126,3 +126,35 @@ def test_plan_is_near_the_bound(seed):
 def test_plan_takes_exact_complements():
     assert sorted(Plan({1000: 1, 24: 1, 500: 2, 300: 1, 224: 1}).patterns) == sorted([([1000, 24], 1), ([500, 300, 224], 1), ([500], 1)])
     assert Plan({512: 5}).patterns == [([512, 512], 2), ([512], 1)]
+
+
+def test_packing_looks_sums_up_and_fills_all_gaps_that_can_be():
+    """Against all combinations of up to four lengths; look-ups are by sum, a few for each length."""
+    import itertools
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    for most, kinds, n in ((12, 8, 30), (40, 12, 60), (1024, 300, 5000), (1024, 1023, 40_000)):
+        counts = Counter(rng.choices(rng.sample(range(1, most), kinds), k=n))
+        plan = Plan(dict(counts), most)
+        used = Counter()
+        for members, times in plan.patterns:
+            assert times > 0 and sum(members) <= most
+            for x in members:
+                used[x] += times
+        assert used == counts
+        assert plan.sums.lookups <= kinds * (kinds + 1)
+        size = sum(times for _, times in plan.patterns)
+        least = -(-sum(x * c for x, c in counts.items()) // most)
+        assert size <= (1.03 if most == 1024 else 1.2) * least + 2
+    # what is left after exact filling can't fill a sequence with up to four lengths
+    counts = {7: 3, 5: 2, 4: 1, 3: 5}
+    plan = Plan(counts, 12)
+    loose = Counter()
+    for members, times in plan.patterns:
+        if sum(members) < 12:
+            for x in members:
+                loose[x] += times
+    rest = list(loose.elements())
+    assert not any(sum(c) == 12 for k in (2, 3, 4) for c in itertools.combinations(rest, k))
