@@ -146,8 +146,8 @@ def test_packing_looks_sums_up_and_fills_all_gaps_that_can_be():
         assert used == counts
         assert plan.sums.lookups <= kinds * (kinds + 1)
         size = sum(times for _, times in plan.patterns)
-        least = -(-sum(x * c for x, c in counts.items()) // most)
-        assert size <= (1.03 if most == 1024 else 1.2) * least + 2
+        least = max(-(-sum(x * c for x, c in counts.items()) // most), sum(c for x, c in counts.items() if 2 * x > most))
+        assert size <= 1.1 * least + 2
     # what is left after exact filling can't fill a sequence with up to four lengths
     counts = {7: 3, 5: 2, 4: 1, 3: 5}
     plan = Plan(counts, 12)
