@@ -13,7 +13,7 @@ from lodestone.functions import tokens
 from lodestone.functions.text import once
 from lodestone.functions.batches import Tokens, each
 from lodestone.operators import blocks as B
-from lodestone.sources.tables import bounded
+from lodestone.sources.tables import bounded, cut
 
 
 def term_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -44,26 +44,20 @@ def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = Non
     return rows.withColumnRenamed("key", key)
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term and df. Batches give their own counts, so what is shuffled is a row for each term of a batch."""
+def corpus_stats(docs: DataFrame) -> tuple[DataFrame, int, float]:
+    """Of one pass over the texts: term and df (a checkpointed table), the number of documents, and their mean length in words."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         t = Tokens(b.column("text"))
-        n = np.bincount(t.counts()[1], minlength=len(t.words))
-        return pa.RecordBatch.from_arrays([t.words.cast(pa.string()), pa.array(n)], ["term", "df"])
+        df = np.bincount(t.counts()[1], minlength=len(t.words))
+        terms = pa.concat_arrays([t.words.cast(pa.string()), pa.nulls(1, pa.string())])  # the row without a term is the batch's own
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.append(df, b.num_rows)), pa.array(np.append(np.zeros(len(df), np.int64), len(t.code)))], ["term", "df", "words"])
 
-    rows = docs.select(F.lower("text").alias("text")).mapInArrow(each(run, 8192), "term string, df long")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def lengths(docs: DataFrame) -> tuple[int, float]:
-    """The number of documents and their mean length in words."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([len(Tokens(b.column("text")).code)])], ["n", "words"])
-
-    n, words = docs.select("text").mapInArrow(each(run, 8192), "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    return n, words / n if n else 0.0
+    rows = docs.select(F.lower("text").alias("text")).mapInArrow(each(run, 8192), "term string, df long, words long")
+    sums = cut(rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
+    own = sums.where("term IS NULL").first()
+    n, words = (own["df"], own["words"]) if own else (0, 0)
+    return sums.where("term IS NOT NULL").select("term", "df"), n, words / n if n else 0.0
 
 
 def raw_idf(dfs: DataFrame, n_docs: int) -> DataFrame:
@@ -103,8 +97,8 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, config: Config = DEFAULT)
     """qid, doc_id and score of documents that hold a term of the question, without an index."""
     terms = [r["term"] for r in term_rows(questions, "qid").select("term").distinct().limit(config.broadcast_rows + 1).collect()]
     post = postings(docs, terms=terms if len(terms) <= config.broadcast_rows else None)
-    n, mean = lengths(docs)
-    return bm25_from(post, bm25_stats(document_frequencies(docs), n, config), mean, questions, config)
+    dfs, n, mean = corpus_stats(docs)
+    return bm25_from(post, bm25_stats(dfs, n, config), mean, questions, config)
 
 
 def top(rows: DataFrame, k: int, *order, by: str = "qid") -> DataFrame:

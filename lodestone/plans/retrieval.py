@@ -58,10 +58,12 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return R.rerank(hits, questions(spark, sf), load(spark, sf, "documents"))
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM stats")
+@query(f"""WITH d AS (SELECT unnest(list_distinct({_T})) AS term FROM documents), c AS (SELECT term, count(*) AS df FROM d GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM c), m AS (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, m""")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents")
-    return R.bm25_stats(R.document_frequencies(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    dfs, n, _ = R.corpus_stats(load(spark, sf, "documents"))
+    return R.bm25_stats(dfs, n).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM sparse WHERE rank <= 6")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.registry import query
 from lodestone.sources.tables import load
+from lodestone.streaming import cache as SC
 from lodestone.streaming import windows as S
 from lodestone.streaming.joins import interval_join
 
@@ -64,3 +65,22 @@ def stream_outer_join(spark: SparkSession, sf: str) -> DataFrame:
     end = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
     out = _clicks_and_purchases(spark, sf, "leftOuter").where(F.col("ts") < F.lit(end) - F.expr("INTERVAL 3 DAYS"))
     return S.run_to_table(out.select(F.col("event_id").alias("click"), F.coalesce("right_event_id", F.lit(-1)).alias("purchase"), "user_id"), "append")
+
+
+_NEAR = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4)"
+
+
+@query(f"""WITH near AS (SELECT * FROM (SELECT a.vec_id AS u, b.vec_id AS w, {_NEAR} AS similarity FROM embeddings a, embeddings b) WHERE similarity >= 0.95)
+SELECT qid, entry, similarity FROM (SELECT q.event_id AS qid, e.event_id AS entry, similarity, row_number() OVER (PARTITION BY q.event_id ORDER BY similarity DESC, e.ts, e.event_id) AS k
+FROM events q JOIN near ON u = q.user_id JOIN events e ON e.user_id = w AND (e.ts, e.event_id) < (q.ts, q.event_id) AND q.ts < e.ts + INTERVAL 1 HOUR) WHERE k = 1""")
+def stream_semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as questions, each with its user's vector, against the entries that the hour before left: state in cells, by timers."""
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
+    asked = S.event_stream(spark, sf).select(F.col("event_id").alias("qid"), "user_id", "ts").join(vectors, "user_id")
+    before = spark.conf.get(SC.STORE, None)
+    spark.conf.set(SC.STORE, SC.ROCKS)
+    try:
+        found = S.run_to_table(SC.lookups(asked.withColumn("collection", F.lit("events")), 64), "append")
+    finally:
+        spark.conf.unset(SC.STORE) if before is None else spark.conf.set(SC.STORE, before)
+    return SC.best(found)
