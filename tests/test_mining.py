@@ -82,3 +82,15 @@ def test_reranking_by_places(spark):
     got = P.rerank(hits, asked, docs, 5, DEFAULT).orderBy("qid", "rank").collect()
     assert [(r["qid"], r["doc_id"], r["matched"], r["stretch"], r["phrases"]) for r in got] == [(0, 2, 2, 2, 1), (0, 1, 2, 4, 0), (0, 3, 2, 42, 0), (0, 4, 0, 0, 0), (0, 5, 0, 0, 0), (1, 1, 0, 0, 0)]
     assert got[0]["score"] == 2.0
+
+
+def test_relations_of_a_graph_context_are_made_once(spark):
+    """However many steps read the edges, their texts are parsed once: by the checkpoint, not in the plan."""
+    from lodestone.operators import knowledge as K
+
+    docs = spark.createDataFrame([(i, f"word{i} leads to{i} word{i + 1} again. word{i} knows word{i + 1} well.") for i in range(6)], "doc_id long, text string")
+    seeds = spark.createDataFrame([(1, "word2")], "qid long, node string")
+    out = K.graph_context(K.relations(docs), seeds)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 0 and "CartesianProduct" not in plan
+    assert out.first()["context"].startswith(K.GRAPH_HEADER)
