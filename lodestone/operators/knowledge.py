@@ -58,16 +58,57 @@ def reach(adjacent: DataFrame, seeds: DataFrame, hops: int = 2, inclusive: bool
     return seen
 
 
+def _spread(edges: DataFrame, near: DataFrame, config: Config) -> DataFrame:
+    """near (word, node, bits) and the neighbours of its nodes: sets of questions are added up within tasks before they are shuffled."""
+    own = bounded(near, config.broadcast_rows)
+    found = [edges.select(F.col(a).alias("node"), F.col(b).alias("to")).join(own, "node").select("word", F.col("to").alias("node"), "bits") for a, b in (("subject", "object"), ("object", "subject"))]
+    return near.unionByName(found[0]).unionByName(found[1]).groupBy("word", "node").agg(F.bit_or("bits").alias("bits"))
+
+
+def _until(edges: DataFrame, seeds: DataFrame, config: Config) -> DataFrame:
+    """qid and until: where its last relation can stand at most, the place of the last of the first ones that touch a seed; null if these are too few.
+
+    Both ends of such a relation are within reach from two hops on, so what comes after is never among the first. The first
+    relations of a question are among the first of its seeds: each seed's are found once, however many questions have it.
+    """
+    nodes, k = bounded(seeds.select("node").distinct(), config.broadcast_rows), config.graph_relations
+
+    def firsts(end: str) -> DataFrame:
+        rows = edges.select(F.col(end).alias("node"), "doc_id", "pos", "subject").join(nodes, "node", "left_semi")
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "pos"))).where(F.col("k") <= k).join(seeds, "node")
+
+    twice = firsts("object").join(seeds.withColumnRenamed("node", "subject"), ["qid", "subject"], "left_anti")  # one with two seeds counts by its subject
+    touched = firsts("subject").select("qid", "doc_id", "pos").unionByName(twice.select("qid", "doc_id", "pos"))
+    last = touched.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "pos"))).where(F.col("k") == k)
+    return seeds.select("qid").distinct().join(last.select("qid", F.struct("doc_id", "pos").alias("until")), "qid", "left")
+
+
 def graph_context(edges: DataFrame, seeds: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """qid and context: a header, then the first relations, by (doc_id, pos), with both ends within reach, a line each.
 
-    Edges and what is within reach are checkpointed: each is made once, however many steps read it.
+    Edges are checkpointed: each is made once, however many steps read it. The questions that reach a node are a set of bits, 64 to
+    a word, so common words, which all questions reach, cost a few numbers a node and no row a question. A question meets the
+    edges up to its ``_until`` alone; a question without one has few edges at its seeds, so little is within its reach.
     """
-    edges = cut(edges)
-    related = cut(reach(cut(adjacency(edges)), cut(seeds), config.graph_hops))
-    ends = edges.join(related.select("qid", F.col("node").alias("subject")), "subject")
-    inner = ends.join(related.select("qid", F.col("node").alias("object")), ["qid", "object"])
-    first = inner.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "pos"))).where(F.col("k") <= config.graph_relations)
+    edges, seeds = cut(edges), cut(seeds.select("qid", "node").distinct())
+    until = _until(edges, seeds, config) if config.graph_hops > 1 else seeds.select("qid", F.lit(None).cast("struct<doc_id:string,pos:int>").alias("until")).distinct()
+    # questions that end near each other share words; those without an end have words of their own
+    parts = seeds.select("qid").distinct().count() // 4096 + 1
+    ordered = until.orderBy(F.asc_nulls_last("until"), "qid").coalesce(parts).withColumn("n", F.monotonically_increasing_id())
+    word = F.when(F.col("until").isNull(), -1 - F.shiftright("n", 6)).otherwise(F.shiftright("n", 6))
+    asked = cut(ordered.select("qid", "until", word.alias("word"), F.expr("shiftleft(1L, CAST(n & 63 AS INT))").alias("bit")))
+    near = seeds.join(asked.select("qid", "word", "bit"), "qid").groupBy("word", "node").agg(F.bit_or("bit").alias("bits"))
+    for _ in range(config.graph_hops - 1):
+        near = _spread(edges, near, config)
+    near = cut(near)
+    place = F.struct("doc_id", "pos")
+    within = lambda end: F.col(end).isNull() | (place <= F.col(end)) if config.graph_hops > 1 else F.lit(True)
+    ends = asked.groupBy("word").agg(F.max("until").alias("end"))
+    begun = near.join(bounded(ends, config.broadcast_rows), "word").select("word", "end", F.col("node").alias("subject"), "bits")
+    left = edges.join(begun, "subject").where(within("end")).drop("end")
+    inner = left.join(near.select("word", F.col("node").alias("object"), F.col("bits").alias("b")), ["word", "object"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("b"))).where("bits <> 0")
+    each = inner.join(bounded(asked, config.broadcast_rows), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).where(within("until"))
+    first = each.select("qid", "doc_id", "pos", "subject", "relation", "object").withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "pos"))).where(F.col("k") <= config.graph_relations)
     line = F.concat_ws(" → ", "subject", "relation", "object")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"])
     return first.groupBy("qid").agg(F.concat(F.lit(GRAPH_HEADER), F.array_join(lines, "\n")).alias("context"))

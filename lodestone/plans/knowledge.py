@@ -69,10 +69,8 @@ ind AS (SELECT s.qid, rel.*, row_number() OVER (PARTITION BY s.qid ORDER BY doc_
 SELECT qid, 'Knowledge graph context:' || chr(10) || string_agg(subject || ' → ' || relation || ' → ' || object, chr(10) ORDER BY k) AS context FROM ind WHERE k <= 20 GROUP BY qid""")
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
     """Relations around the words of each question that are nodes of the graph."""
-    rel = cut(_relations(spark, sf))
-    nodes = K.adjacency(rel).select("node").distinct()
-    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tokens(F.lower("text"))).alias("node")).distinct()
-    return K.graph_context(rel, words.join(nodes, "node", "left_semi").select("qid", "node"))
+    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(tokens(F.lower("text"))).alias("node"))
+    return K.graph_context(_relations(spark, sf), words)  # a word that is no node touches no relation
 
 
 _ROUTES = ", ".join(f"({i}, '{label}', '{space}', '{ROUTE_WORDS[label]}')" for i, (label, space) in enumerate(ROUTES))

@@ -94,3 +94,42 @@ def test_relations_of_a_graph_context_are_made_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate ") == 0 and "CartesianProduct" not in plan
     assert out.first()["context"].startswith(K.GRAPH_HEADER)
+
+
+def shuffled_rows(spark):
+    """Rows that the stages run so far have shuffled."""
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_graph_context_against_loops_with_words_that_all_questions_have(spark):
+    """Common words make no row for each question and edge: what is shuffled stays near the edges, and results are those of loops."""
+    from dataclasses import replace
+
+    from lodestone.operators import knowledge as K
+
+    rng = random.Random(7)
+    name = lambda: f"n{min(int(rng.expovariate(0.25)), 60)}"
+    edges = [(i // 3, i % 3, name(), f"r{i}", name()) for i in range(1500)] + [(900, 0, "rare", "r", "rarer"), (901, 0, "rarer", "r", "n0")]
+    seeds = sorted({(q, f"n{x}") for q in range(150) for x in (0, q % 9)} | {(500, "rare"), (501, "n50"), (501, "n55"), (502, "none")})
+    rows = spark.createDataFrame(edges, "doc_id long, pos int, subject string, relation string, object string")
+    asked = spark.createDataFrame(seeds, "qid long, node string")
+    for hops in (1, 2, 3):
+        want = {}
+        for q in {q for q, _ in seeds}:
+            near = {n for k, n in seeds if k == q}
+            for _ in range(hops - 1):
+                near |= {b for _, _, s, _, o in edges for a, b in ((s, o), (o, s)) if a in near}
+            lines = [f"{s} → {r} → {o}" for _, _, s, r, o in edges if s in near and o in near][:20]
+            if lines:
+                want[q] = K.GRAPH_HEADER + "\n".join(lines)
+        before = shuffled_rows(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+        try:
+            got = K.graph_context(rows, asked, replace(DEFAULT, graph_hops=hops)).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {r["qid"]: r["context"] for r in got} == want
+        if hops == 2:
+            assert shuffled_rows(spark) - before < 20 * len(edges)
