@@ -315,3 +315,36 @@ def test_all_statements_and_parts_are_kept(spark):
     leaf = spark.createDataFrame([(1, 0, 0, text)], "doc_id long, parent int, leaf int, text string")
     assert [r["ord"] for r in K.propositions(leaf).orderBy("ord").collect()] == list(range(12))
     assert len(values(spark, OFFLINE.decompose, [text])[0]) == 12
+
+
+def test_median_is_exact_however_far_off_the_sketch_is(spark):
+    """Against sorting: ties, nulls, a null group, and more values than a coarse sketch tells apart."""
+    import random
+
+    from lodestone.operators.relational import median
+
+    rng = random.Random(3)
+    rows = [("a", rng.random()) for _ in range(5001)] + [("b", float(rng.randint(0, 3))) for _ in range(1000)] + [(None, 2.0), (None, 1.0), ("c", None), ("d", 7.0), ("a", None)]
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        if own:
+            want[k] = own[(len(own) - 1) // 2]
+    for bands in (2, 7, 256):
+        got = median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", bands).collect()
+        assert {r["k"]: r["median"] for r in got} == want and len(got) == len(want)
+
+
+def test_sketched_counts_of_many_keys_are_those_of_the_sql(spark, tmp_path):
+    """More users than an estimate counts without error."""
+    import duckdb
+
+    from lodestone import registry
+
+    made = f"SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_seconds(CAST(range * 5 AS BIGINT)) AS ts, range * 7 % 400009 AS user_id, CASE WHEN range % 3 = 0 THEN 'x' ELSE 'y' END AS event_type, CAST(hash(range) % 1000000007 AS DOUBLE) AS value, '' AS props FROM range(600000)"
+    duckdb.sql(f"COPY ({made}) TO '{tmp_path}/events.parquet'")
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    cols = "event_type, n, users, estimate, median"
+    want = duckdb.sql(f"SELECT {cols} FROM ({registry.oracle_sql()['rel_sketches']})").fetchall()
+    got = [tuple(r) for r in registry.queries()["rel_sketches"](spark, str(tmp_path)).select(*cols.split(", ")).collect()]
+    assert sorted(got) == sorted(want)
