@@ -5,17 +5,24 @@ chance, with a log-likelihood ratio of ``ratio`` or more. An entity is a maximal
 collocation. A relation is two entities of a sentence, one after the other, with one to ``between`` words between them.
 
 Words are lower-cased and without punctuation at their ends; what is only punctuation is no word. Counts are grouped sums, of
-which those below ``least`` go at once. Runs are found within a sentence, so one shuffle, by sentence, serves them all.
+which those below ``least`` go at once. Runs are found within a sentence, in the task that has it if the collocations can be sent there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
 from lodestone.functions import sentences, tokens
-from lodestone.sources.tables import bounded
+
+#: Collocations up to which they are sent to all tasks, some 60 bytes each.
+PAIRS = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -46,17 +53,51 @@ def collocations(words: DataFrame, least: int = 5, ratio: float = 10.83) -> Data
 
 
 def segments(words: DataFrame, known: DataFrame, key: str = "doc_id", config: Config = DEFAULT) -> DataFrame:
-    """key, pos, seg, start, size and text of the maximal runs of each sentence (key, pos, w); a word in no collocation is one of its own."""
-    rows = words.select(key, "pos", F.posexplode("w").alias("i", "word"), F.col("w").alias("all"))
-    rows = rows.select(key, "pos", "i", "word", F.when(F.col("i") > 0, F.get("all", F.col("i") - 1)).alias("before"))
+    """key, pos, seg, start, size and text of the maximal runs of each sentence (key, pos, w); a word in no collocation is one of its own.
+
+    Up to ``PAIRS`` collocations are sent to all tasks: then the words of a sentence stay together, in order, and are cut into
+    runs where they are. Beyond, words are dealt by pairs, and then by sentences.
+    """
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w") - 1))
+    rows = words.where(F.size("w") > 0).select(key, "pos", F.posexplode(F.arrays_zip(before.alias("before"), F.col("w").alias("word"))).alias("i", "p"))
+    rows = rows.select(key, "pos", "i", "p.word", "p.before")
     pairs = known.select(F.col("a").alias("before"), F.col("b").alias("word"), F.lit(0).alias("new"))
-    rows = rows.join(bounded(pairs, config.broadcast_rows), ["before", "word"], "left")
+    if known.limit(PAIRS + 1).count() <= PAIRS:
+        marked = rows.join(F.broadcast(pairs), ["before", "word"], "left")
+        return marked.select(F.col(key).alias("key"), "pos", "i", "word", F.coalesce("new", F.lit(1)).alias("new")).mapInArrow(_runs, f"key {dict(words.dtypes)[key]}, pos int, seg long, start int, size long, text string").withColumnRenamed("key", key)
+    rows = rows.join(pairs, ["before", "word"], "left")
     order = Window.partitionBy(key, "pos").orderBy("i")
     rows = rows.withColumn("seg", F.sum(F.coalesce("new", F.lit(1))).over(order))
     made = rows.groupBy(key, "pos", "seg").agg(F.min("i").alias("start"), F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("x"))
     return made.select(key, "pos", "seg", "start", "size", F.array_join(F.transform("x", lambda t: t["word"]), " ").alias("text"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of words (key, pos, i, word, new) that come sentence by sentence, in order; a sentence that a batch cuts is carried over."""
+
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        i, new = b.column("i").to_numpy(), b.column("new").to_numpy()
+        at = np.flatnonzero((i == 0) | (new == 1))
+        first = np.flatnonzero(i[at] == 0)  # the runs that begin a sentence
+        seg = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
+        size = np.diff(np.append(at, b.num_rows))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, b.num_rows), pa.int32()), b.column("word"))
+        own = pa.array(at)
+        return pa.RecordBatch.from_arrays([b.column("key").take(own), b.column("pos").take(own), pa.array(seg, pa.int64()), pa.array(i[at], pa.int32()), pa.array(size, pa.int64()), pc.binary_join(lists, " ").cast(pa.string())], ["key", "pos", "seg", "start", "size", "text"])
+
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        starts = np.flatnonzero(b.column("i").to_numpy() == 0)
+        if starts[-1]:
+            yield made(b.slice(0, starts[-1]).take(pa.array(np.arange(starts[-1]))))
+        rest = b.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield made(rest.take(pa.array(np.arange(rest.num_rows))))
+
+
 def entities(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, start and entity of the runs of two words or more."""
     return runs.where("size > 1").select(key, "pos", "start", F.col("text").alias("entity"))

@@ -133,3 +133,19 @@ def test_graph_context_against_loops_with_words_that_all_questions_have(spark):
         assert {r["qid"]: r["context"] for r in got} == want
         if hops == 2:
             assert shuffled_rows(spark) - before < 20 * len(edges)
+
+
+def test_runs_are_cut_where_the_sentence_is(spark):
+    """Without a shuffle of words, the same runs as by dealing words out, also of sentences that are longer than a batch."""
+    rng = random.Random(11)
+    sentences = [[f"w{rng.randint(0, 9)}" for _ in range(n)] for n in (1, 2, 30, 25_000, 0, 12_000, 7)]
+    words = spark.createDataFrame([(i // 2, i % 2, w) for i, w in enumerate(sentences)], "doc_id long, pos int, w array<string>").coalesce(1)
+    known = spark.createDataFrame([("w1", "w2"), ("w2", "w3"), ("w4", "w4")], "a string, b string")
+    before = shuffled_rows(spark)
+    got = sorted(tuple(r) for r in M.segments(words, known).collect())
+    assert shuffled_rows(spark) - before < 100
+    held, M.PAIRS = getattr(M, "PAIRS", 0), 0
+    try:
+        assert sorted(tuple(r) for r in M.segments(words, known).collect()) == got and len(got) > 30_000
+    finally:
+        M.PAIRS = held
