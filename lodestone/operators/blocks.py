@@ -76,12 +76,15 @@ def nearest(v: tuple, q: tuple, k: int, others: bool, digits: int) -> Iterator[t
     scale = length(y)[:, None] * length(x)[None, :]
     score = rounded(np.where(scale > 0, (y @ x.T) / np.where(scale > 0, scale, 1), 0.0), digits)
     for i, own in enumerate(qids):
-        s = score[i]
-        at = np.flatnonzero((groups == of[i]) & ((ids != own) if others else True))
-        if len(at) > k:
-            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-        at = at[np.lexsort((ids[at], -s[at]))[:k]]
-        yield np.full(len(at), own), ids[at], s[at]
+        at = best(score[i], ids, np.flatnonzero((groups == of[i]) & ((ids != own) if others else True)), k)
+        yield np.full(len(at), own), ids[at], score[i][at]
+
+
+def best(score: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the places ``at``, the k of greatest score, in order; ties to the smaller id."""
+    if len(at) > k:
+        at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+    return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
 def meet(pairs: DataFrame, kinds: tuple[str, str], k: int, others: bool, digits: int) -> DataFrame:

@@ -41,20 +41,25 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_documents(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Nearest documents of each question by hashed embeddings."""
-    vectors = embed(load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     asked = embed(questions(spark, sf), "qid").withColumnRenamed("embedding", "q")
-    return R.dense_topk(vectors, asked, k, others=False).withColumnRenamed("vec_id", "doc_id")
+    return R.dense_texts_topk(load(spark, sf, "documents").select("doc_id", "text"), asked, k)
 
 
-def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """qid, rank, id and score of dense and sparse lists of twelve, fused to six."""
-    dense = dense_documents(spark, sf, 12).select("qid", F.lit(0).alias("list_no"), "rank", F.col("doc_id").alias("id"))
-    sparse = R.bm25_topk(load(spark, sf, "documents"), questions(spark, sf), 12).select("qid", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("id"))
-    return R.rrf(R.union(dense, sparse))
+def sparse_documents(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Best documents of each question by its words."""
+    return R.bm25_topk(load(spark, sf, "documents").select("doc_id", "text"), questions(spark, sf), k)
 
 
-def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    hits = hybrid(spark, sf).select("qid", F.col("rank").alias("pos"), F.col("id").alias("doc_id"))
+def hybrid(spark: SparkSession, sf: str, dense: DataFrame | None = None, sparse: DataFrame | None = None) -> DataFrame:
+    """qid, rank, id and score of dense and sparse lists of twelve, fused to six; a list that is there already can be given."""
+    dense = dense_documents(spark, sf, 12) if dense is None else dense
+    sparse = sparse_documents(spark, sf, 12) if sparse is None else sparse
+    lists = [x.select("qid", F.lit(i).alias("list_no"), "rank", F.col("doc_id").alias("id")) for i, x in enumerate((dense, sparse))]
+    return R.rrf(R.union(*lists))
+
+
+def ranked(spark: SparkSession, sf: str, sparse: DataFrame | None = None) -> DataFrame:
+    hits = hybrid(spark, sf, sparse=sparse).select("qid", F.col("rank").alias("pos"), F.col("id").alias("doc_id"))
     return R.rerank(hits, questions(spark, sf), load(spark, sf, "documents"))
 
 
@@ -138,7 +143,7 @@ def grade_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {RANKED}, g AS (SELECT *, NOT max(rerank_score >= 0.3) OVER (PARTITION BY qid) AS web_fallback FROM ranked)
 SELECT qid, string_agg('[Source: doc' || g.doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM g JOIN documents d USING (doc_id) WHERE rerank_score >= 0.3 OR web_fallback GROUP BY qid""")
 def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.grade(ranked(spark, sf)).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = R.hit_texts(R.grade(ranked(spark, sf)), load(spark, sf, "documents").select("doc_id", "text"))
     part = F.concat(F.lit("[Source: doc"), F.col("doc_id"), F.lit("]\n"), F.col("text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"])
     return rows.groupBy("qid").agg(F.array_join(parts, "\n\n---\n\n").alias("context"))
