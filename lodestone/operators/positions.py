@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, Config
 from lodestone.functions import tokens
 from lodestone.functions.batches import each
-from lodestone.operators.retrieval import top
+from lodestone.operators.retrieval import hit_texts, top
 from lodestone.sources.tables import bounded
 
 
@@ -40,7 +40,7 @@ def rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, n: int | None
     all is, plus half of the share of the question's word pairs that the text has. Questions without words score 0.
     """
     q = questions.select("qid", tokens(F.lower("text")).alias("qt"))
-    rows = hits.join(bounded(q, config.broadcast_rows), "qid").join(docs.select("doc_id", tokens(F.lower("text")).alias("dt")), "doc_id")
+    rows = hit_texts(hits, docs.select("doc_id", "text"), config).join(bounded(q, config.broadcast_rows), "qid").withColumn("dt", tokens(F.lower("text")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         matched, stretch, phrases, score = [], [], [], []
