@@ -18,7 +18,7 @@ from lodestone.plans.retrieval import DENSE, FUSED, RANKED
 from lodestone.plans.text import SENTENCES, TOKENS, WINDOW_CELLS, _windows
 from lodestone.providers import OFFLINE, ROUTES
 from lodestone.registry import oracle, query
-from lodestone.sources.tables import load, or_else
+from lodestone.sources.tables import cut, load, or_else
 
 GRADED = f"{RANKED}, graded AS (SELECT *, NOT max(rerank_score >= 0.3) OVER (PARTITION BY qid) AS web_fallback FROM ranked), kept AS (SELECT * FROM graded WHERE NOT web_fallback AND rerank_score >= 0.3)"
 #: Hits, with web results in place of those of questions without a relevant one.
@@ -37,24 +37,26 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """Graded hits of all questions, with web results where nothing is relevant; offline, the web is the documents by words."""
-    asked, docs = PR.questions(spark, sf), _texts(spark, sf)
-    graded = R.grade(PR.ranked(spark, sf)).join(docs, "doc_id").withColumn("retrieval_method", F.lit("hybrid+rrf"))
-    graded = graded.select("qid", "rank", "url", "text", "retrieval_method", "web_fallback")
-    lost = asked.select("qid").join(graded.where(~F.col("web_fallback")).select("qid").distinct(), "qid", "left_anti")
-    web = R.bm25_topk(docs, asked, 4).join(docs, "doc_id").select("qid", "rank", "url", "text")
-    return A.with_web(R.union(graded.where(~F.col("web_fallback")), lost.withColumn("web_fallback", F.lit(True))), web)
+    asked, sparse = PR.questions(spark, sf), cut(PR.sparse_documents(spark, sf, 12))
+    # made once, a few rows a question; the texts come last
+    graded = cut(R.grade(PR.ranked(spark, sf, sparse))).withColumn("retrieval_method", F.lit("hybrid+rrf"))
+    graded = graded.select("qid", "rank", "doc_id", "retrieval_method", "web_fallback").where(~F.col("web_fallback"))
+    lost = asked.select("qid").join(graded.select("qid").distinct(), "qid", "left_anti")
+    web = sparse.where(F.col("rank") <= 4).select("qid", "rank", "doc_id")
+    rows = A.with_web(R.union(graded, lost.withColumn("web_fallback", F.lit(True))), web)
+    return R.hit_texts(rows, _texts(spark, sf)).select("qid", "rank", "url", "text", "retrieval_method", "web_fallback")
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    return A.generate(_hits(spark, sf), PR.questions(spark, sf), None)
+    return cut(A.generate(_hits(spark, sf), PR.questions(spark, sf), None))
 
 
 @query(f"""WITH {FUSED} SELECT h.qid, CAST(h.rank AS INTEGER) AS rank, h.doc_id AS id, coalesce(d.score, 0) AS score, CASE WHEN d.score IS NULL THEN 'bm25-only' ELSE 'hybrid+rrf+hyde' END AS retrieval_method
 FROM hybrid h LEFT JOIN dense d ON d.qid = h.qid AND d.doc_id = h.doc_id""")
 def retrieve_methods(spark: SparkSession, sf: str) -> DataFrame:
     """Fused hits with their dense score, 0 for those that words alone found, and how they were found."""
-    dense = PR.dense_documents(spark, sf, 12).select("qid", F.col("doc_id").alias("id"), "score")
-    rows = PR.hybrid(spark, sf).drop("score").join(dense, ["qid", "id"], "left")
+    dense = cut(PR.dense_documents(spark, sf, 12))
+    rows = PR.hybrid(spark, sf, dense).drop("score").join(dense.select("qid", F.col("doc_id").alias("id"), "score"), ["qid", "id"], "left")
     return rows.select("qid", "rank", "id", F.coalesce("score", F.lit(0.0)).alias("score"), A.method(F.col("score").isNotNull(), True, True).alias("retrieval_method"))
 
 
