@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT, Config
 from lodestone.operators import retrieval
 from lodestone.sources.commits import Commits
-from lodestone.sources.tables import bounded
+from lodestone.sources.tables import bounded, cut
 
 #: Rows of a file of postings, at least, before another is made.
 FILE = 250_000
+#: Bytes of a text a word, about.
+BYTES = 6
+#: Ids that are numbers, of documents that are there, up to which they are sent to the texts.
+IDS = 4_000_000
 
 
 class InvertedIndex:
@@ -35,16 +39,21 @@ class InvertedIndex:
         """Add a segment of the documents whose doc_id isn't there; the index's new version, or the old one if there are none."""
         version, state = self.log.last()
         segments = state.get("segments", [])
-        docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+        docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        # ids go to the texts, if they are few enough: texts stay where they are
+        most = self.config.broadcast_rows if dict(docs.dtypes)["doc_id"] == "string" else IDS
         if segments:
-            docs = docs.join(self._union(segments, "docs").select("doc_id"), "doc_id", "left_anti")
-        folder = self.log.new_folder()
-        docs.withColumn("dl", F.size(retrieval.tokens(F.lower("text"))).cast("long")).write.parquet(f"{folder}/docs")
-        own = self.spark.read.parquet(f"{folder}/docs")
-        n, words = own.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            docs = docs.join(bounded(self._union(segments, "docs").select("doc_id"), most), "doc_id", "left_anti")
+        twice = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+        if not twice.isEmpty():
+            twice = bounded(twice, most)
+            docs = docs.join(twice, "doc_id", "left_anti").unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         if not n:
             return version
-        self._write_postings(own, folder)
+        folder = self.log.new_folder()
+        self._write_postings(docs, folder, max(1, min(10_000, size // BYTES // FILE + 1)))
+        n, words = self.spark.read.parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         segment = {"folder": folder, "docs": n, "words": words, "files": self._files(folder)}
         segments = [*segments, segment]
         n, words = sum(s["docs"] for s in segments), sum(s["words"] for s in segments)
@@ -52,18 +61,19 @@ class InvertedIndex:
         self.log.commit(version + 1, {"segments": segments, "docs": n, "words": words, "mean_idf": mean})
         return version + 1
 
-    def _write_postings(self, docs: DataFrame, folder: str) -> None:
-        rows = retrieval.postings(docs.select("doc_id", "text"))
-        files = max(1, min(10_000, docs.agg(F.sum("dl")).first()[0] // FILE + 1))
+    def _write_postings(self, docs: DataFrame, folder: str, files: int) -> None:
+        """Postings, and from them documents and terms: a document's own row, without a term, stands before all terms."""
+        rows = retrieval.postings(docs, lengths=True)
         # few words hold a great part of all rows, so files are ranges of (term, document)
         rows.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
         made = self.spark.read.parquet(f"{folder}/postings")
-        made.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        made.where("term IS NULL").select("doc_id", "dl").write.parquet(f"{folder}/docs")
+        made.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
 
     def _files(self, folder: str) -> list[list[str]]:
         """Name, first and last term of each file of postings; as many as there are files."""
         rows = self.spark.read.parquet(f"{folder}/postings").groupBy(F.input_file_name().alias("f")).agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
-        return sorted([f"{folder}/postings/{r['f'].rsplit('/', 1)[1]}", r["lo"], r["hi"]] for r in rows.collect())
+        return sorted([f"{folder}/postings/{r['f'].rsplit('/', 1)[1]}", r["lo"], r["hi"]] for r in rows.where("lo IS NOT NULL").collect())
 
     def _union(self, segments: list[dict], table: str) -> DataFrame:
         return self.spark.read.parquet(*(f"{s['folder']}/{table}" for s in segments))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.batches import SLICE, Tokens, parts
 from lodestone.functions.vectors import embed
 from lodestone.operators import retrieval as R
+from lodestone.operators.inverted_index import InvertedIndex
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,25 @@ def test_counts_of_a_task_are_added_up(corpus, monkeypatch):
     monkeypatch.setattr(R, "HELD", 10)
     again = R.corpus_stats(docs)
     assert rows(whole[0]) == rows(again[0]) and whole[1:] == again[1:]
+
+
+def test_index_keeps_no_texts(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/index")
+    first = [(1, "a b"), (2, None), (3, "b b b"), (3, "b b b"), (None, "c")]
+    assert index.add(spark.createDataFrame(first, "doc_id long, text string")) == 1
+    assert index.add(spark.createDataFrame([(1, "z"), (4, ""), (4, ""), (5, "a")], "doc_id long, text string")) == 2
+    assert index.add(spark.createDataFrame([(5, "y")], "doc_id long, text string")) == 2
+    state = index.log.last()[1]
+    got = [spark.read.parquet(f"{s['folder']}/docs") for s in state["segments"]]
+    assert [x.columns for x in got] == [["doc_id", "dl"]] * 2
+    assert [rows(x) for x in got] == [[(1, 2), (2, 0), (3, 3)], [(4, 0), (5, 1)]]
+    assert (state["docs"], state["words"]) == (5, 6) and all(lo is not None for s in state["segments"] for _, lo, _ in s["files"])
+    whole = spark.createDataFrame([(1, "a b"), (2, None), (3, "b b b"), (4, ""), (5, "a")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "A b"), (2, "z")], "qid long, text string")
+    assert rows(index.search(asked, 5)) == rows(R.bm25_topk(whole, asked, 5))
+
+
+def test_index_of_empty_documents(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/index")
+    assert index.add(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")) == 1
+    assert index.search(spark.createDataFrame([(1, "a")], "qid long, text string")).count() == 0
