@@ -58,6 +58,10 @@ class VectorIndex:
         version, state = self.log.last()
         rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
         rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        # made once, however costly: lengths, sample, ranges and blocks are read from this table, which no version names
+        staged = f"{self.log.new_folder()}/vectors"
+        rows.write.parquet(staged)
+        rows = self.spark.read.parquet(staged)
         centres = {int(d): c for d, c in state.get("centres", {}).items()}
         sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # the lengths that there are
         for d, n in sizes.items():

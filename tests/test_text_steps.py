@@ -9,6 +9,8 @@ from lodestone.functions.batches import SLICE, Tokens, parts
 from lodestone.functions.vectors import embed
 from lodestone.operators import retrieval as R
 from lodestone.operators.inverted_index import InvertedIndex
+from lodestone.operators.mining import plain_words
+from lodestone.operators.vector_index import VectorIndex
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +104,23 @@ def test_index_of_empty_documents(spark, tmp_path):
     index = InvertedIndex(spark, f"file://{tmp_path}/index")
     assert index.add(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")) == 1
     assert index.search(spark.createDataFrame([(1, "a")], "qid long, text string")).count() == 0
+
+
+def test_words_without_punctuation_at_their_ends(spark):
+    texts = ["(A.b) --c-d!? ... 'x' y--", "", " . ", "e" + "-" * 5000 + "f", "g.\u2028 h.", "¿i? j…"]
+    want = [["a.b", "c-d", "x", "y"], [], [], ["e" + "-" * 5000 + "f"], ["g.\u2028", "h"], ["¿i", "j…"]]  # as the SQL: only a word's very end counts
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, x string").orderBy("i").select(plain_words(F.col("x"))).collect()
+    assert [r[0] for r in got] == want
+
+
+def test_vectors_of_an_index_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    VectorIndex(spark, f"file://{tmp_path}/index").add(vectors.mapInArrow(run, vectors.schema))
+    assert made.value == 100
