@@ -67,13 +67,13 @@ class Tokens:
         return cells.astype(np.int64).reshape(self.n, dims)
 
 
-def each(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def each(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024, most: int = SLICE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that takes slices of batches one by one; a task gives its memory back at its end."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for b in batches:
-                for part in parts(b, rows):
+                for part in parts(b, rows, most):
                     out = run(part)
                     if out is not None:
                         yield out

@@ -11,6 +11,9 @@ from lodestone.config import DEFAULT, Config
 from lodestone.functions import sentences, token_windows, tokens
 from lodestone.functions.batches import Tokens, each, rounded, split_sentences
 
+#: Bytes of a slice of texts: a sentence has several vectors of its own, tens of times its length.
+SLICE = 1 << 20
+
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
     """doc_id, pos from 0, sentence."""
@@ -52,7 +55,7 @@ def adjacent_similarity(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc[some])), pa.array(pos[some], pa.int32()), pa.array(sim[some])], ["doc_id", "pos", "sim"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(each(run), f"doc_id {kind}, pos int, sim double")
+    return docs.select("doc_id", "text").mapInArrow(each(run, most=SLICE), f"doc_id {kind}, pos int, sim double")
 
 
 def semantic_chunks(docs: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -82,7 +85,7 @@ def semantic_chunks(docs: DataFrame, config: Config = DEFAULT, keep: tuple[str,
 
     kinds = dict(docs.dtypes)
     given = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep))
-    return docs.select("doc_id", *keep, "text").mapInArrow(each(run), f"{given}, chunk long, n_sentences long, text string")
+    return docs.select("doc_id", *keep, "text").mapInArrow(each(run, most=SLICE), f"{given}, chunk long, n_sentences long, text string")
 
 
 def token_chunks(rows: DataFrame, key: list[str], n: int, name: str, text: Column | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.batches import SLICE, Tokens, parts
+from lodestone.functions.batches import SLICE, Tokens, each, parts
 from lodestone.functions.vectors import embed
+from lodestone.operators import chunking as C
 from lodestone.operators import retrieval as R
 from lodestone.operators.inverted_index import InvertedIndex
 from lodestone.operators.mining import plain_words
@@ -124,3 +125,10 @@ def test_vectors_of_an_index_are_made_once(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
     VectorIndex(spark, f"file://{tmp_path}/index").add(vectors.mapInArrow(run, vectors.schema))
     assert made.value == 100
+
+
+def test_chunks_are_made_of_few_bytes_at_once():
+    seen = []
+    batch = pa.record_batch([pa.array(["x" * 100_000] * 50)], ["text"])
+    list(each(lambda b: seen.append(b.num_rows), most=C.SLICE)(iter([batch])))
+    assert sum(seen) == 50 and max(seen) * 100_000 <= 1 << 20
