@@ -176,7 +176,9 @@ def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 def summary_tree(nodes: DataFrame, config: Config = DEFAULT, provider: Offline = OFFLINE) -> list[DataFrame]:
     """Levels of a tree over nodes (id, ord, text, embedding): each clusters the one before; a level stops below the least count.
 
-    The driver sees counts alone. A cluster's summary takes its first members; child_ids keeps all.
+    The driver sees counts, and the centres of each round, of which there are the root of the nodes: K-means compares blocks of
+    vectors with all centres, where its row form has a task a centre and round for distances between centres. A cluster's summary
+    takes its first members; child_ids keeps all.
     """
     levels, here = [], nodes
     for level in range(1, config.tree_levels + 1):
@@ -185,7 +187,7 @@ def summary_tree(nodes: DataFrame, config: Config = DEFAULT, provider: Offline =
             break
         k = max(2, min(int(n**0.5), n // 5))
         data = here.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-        placed = KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(data).transform(data)
+        placed = KMeans(k=k, seed=42, solver="block", featuresCol="features", predictionCol="cluster").fit(data).transform(data)
         nth = F.row_number().over(Window.partitionBy("cluster").orderBy("ord"))
         first = placed.withColumn("nth", nth)
         text = F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= config.texts_per_summary, F.struct("nth", "text")))), lambda x: x["text"])

@@ -1,5 +1,7 @@
 """Hand-made cases of the retrieval operators."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,23 @@ def test_summary_tree(spark):
     assert K.summary_tree(nodes.limit(4)) == []
 
 
+def test_summary_tree_has_no_task_a_centre(spark):
+    """The tasks of a stage, each of which sends its result to the driver, don't grow with the centres."""
+    n = 8400
+    vector = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(1000)) / 1000).cast("double"))
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), F.concat(F.lit("Node "), "id", F.lit(".")).alias("text"), vector.alias("embedding"))
+    tracker, before = spark.sparkContext.statusTracker(), spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    spark.sparkContext.setJobGroup("tree-tasks", "")
+    try:
+        levels = K.summary_tree(nodes, replace(DEFAULT, tree_levels=1))
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("tree-tasks")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", before)
+    stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    assert levels[0].agg(F.sum(F.size("child_ids"))).first()[0] == n
+    assert stages and max(s.numTasks for s in stages if s) < int(n**0.5)
+
+
 def test_routes(spark):
     got = K.route_by_label(spark.createDataFrame([(1, "howto"), (2, "foo"), (3, None)], "qid int, label string")).orderBy("qid").collect()
     assert [r["namespace"] for r in got] == ["parent", "leaf", "leaf"]
