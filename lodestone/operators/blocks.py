@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from lodestone.functions.batches import each, rounded
 
 #: Bytes of the numbers of a block.
 BLOCK = 1 << 20
+#: Scores of vectors and questions that are computed at once.
+SCORES = 1 << 18
 
 
 def _array(x: pa.Array) -> np.ndarray:
@@ -60,8 +63,12 @@ def packed(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         fixed = [pa.array(c, b.column(x).type) for c, x in zip(cols[1 : 1 + len(by)], by, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *fixed, pa.array(cols[-4], pa.int32()), lists(cols[-3]), lists(cols[-2]), pa.array(cols[-1], pa.binary())], [c.split()[0] for c in schema.split(", ")])
 
-    whole = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    return whole.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.col("g").cast("string").alias("g"), *by).mapInArrow(each(run, 4096), schema)
+    return whole(rows).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.col("g").cast("string").alias("g"), *by).mapInArrow(each(run, 4096), schema)
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Rows with an id and a vector (id, v), which holds numbers and no nulls."""
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
 
 def matrix(row: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +80,13 @@ def nearest(v: tuple, q: tuple, k: int, others: bool, digits: int) -> Iterator[t
     """Of each question of a block, the k vectors of a block of its group with the greatest cosine, rounded; ties to the smaller id."""
     (ids, groups, x), (qids, of, y) = v, q
     length = lambda m: np.sqrt((m * m).sum(1))
-    scale = length(y)[:, None] * length(x)[None, :]
-    score = rounded(np.where(scale > 0, (y @ x.T) / np.where(scale > 0, scale, 1), 0.0), digits)
-    for i, own in enumerate(qids):
-        at = best(score[i], ids, np.flatnonzero((groups == of[i]) & ((ids != own) if others else True)), k)
-        yield np.full(len(at), own), ids[at], score[i][at]
+    own, theirs, step = length(x), length(y), max(1, SCORES // max(len(x), 1))
+    for lo in range(0, len(y), step):  # some questions at a time, so that their scores are few megabytes
+        scale = theirs[lo : lo + step, None] * own[None, :]
+        score = rounded(np.where(scale > 0, (y[lo : lo + step] @ x.T) / np.where(scale > 0, scale, 1), 0.0), digits)
+        for i, qid in enumerate(qids[lo : lo + step]):
+            at = best(score[i], ids, np.flatnonzero((groups == of[lo + i]) & ((ids != qid) if others else True)), k)
+            yield np.full(len(at), qid), ids[at], score[i][at]
 
 
 def best(score: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -100,6 +109,25 @@ def meet(pairs: DataFrame, kinds: tuple[str, str], k: int, others: bool, digits:
     return pairs.select("dim", "v_ids", "v_g", "v_v", "q_ids", "q_g", "q_v").mapInArrow(each(run, 16), f"qid {kinds[0]}, vec_id {kinds[1]}, score double")
 
 
+def meet_all(rows: DataFrame, questions: Broadcast, kinds: tuple[str, str], k: int, others: bool, digits: int) -> DataFrame:
+    """qid, vec_id and score: as ``meet`` of the blocks of ``rows`` (id, v, g) with all blocks of questions, which tasks hold.
+
+    Vectors are compared by the worker that reads them, a block's bytes at a time: no block is made a row, and a core has one worker.
+    """
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        dims, out = pc.list_value_length(b.column("v")).to_numpy(), []
+        for dim in np.unique(dims):
+            own = b.filter(pa.array(dims == dim))
+            v = (_array(own.column("id")), _array(own.column("g")), own.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8", copy=False).reshape(-1, dim))
+            for q in questions.value:
+                if q["dim"] == dim:
+                    out += nearest(v, matrix(q, "q"), k, others, digits)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["qid", "vec_id", "score"]) if out else None
+
+    return whole(rows).select("id", F.col("v").cast("array<double>").alias("v"), F.col("g").cast("string").alias("g")).mapInArrow(each(run, 4096, BLOCK), f"qid {kinds[0]}, vec_id {kinds[1]}, score double")
+
+
 def grid(vectors: DataFrame, questions: DataFrame, parts: int) -> DataFrame:
     """Each block of vectors with each of questions of its length: both are dealt to the cells of a square of ``parts`` cells or so.
 

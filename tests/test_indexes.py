@@ -1,13 +1,14 @@
 """Nearest vectors, the vector index, the inverted index and the commit log."""
 
 import dataclasses
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
-from lodestone.operators import retrieval
+from lodestone.operators import blocks, retrieval
 
 
 def brute_nearest(vectors, questions, k, others=False):
@@ -49,6 +50,30 @@ def test_dense_topk_is_the_same_at_any_number_of_questions(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_scores_of_two_blocks_are_computed_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    block = lambda n: (np.arange(n), np.full(n, ""), rng.integers(-9, 9, (n, 64)).astype(float))
+    v, q = block(2048), block(2048)
+    tracemalloc.start()
+    try:
+        got = [(list(ids), list(score)) for _, ids, score in blocks.nearest(v, q, 3, True, 6)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6  # all 4,194,304 scores are 34 MB, and were held some times over
+    length = lambda m: np.sqrt((m * m).sum(1))
+    score = np.round(q[2] @ v[2].T / (length(q[2])[:, None] * length(v[2])[None, :]), 6)
+    for i in (0, 127, 128, 129, 2047):
+        want = [j for j in np.lexsort((np.arange(2048), -score[i])) if j != i][:3]
+        assert got[i][0] == want and got[i][1] == pytest.approx(score[i][want], abs=2e-6)
+
+
+def test_vectors_are_compared_by_the_worker_that_reads_them(spark):
+    v = spark.createDataFrame(some_vectors(1, 50), "vec_id long, embedding array<float>")
+    plan = retrieval.dense_topk(v, v.where("vec_id < 9").selectExpr("vec_id AS qid", "embedding AS q"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_dense_topk_within_groups_and_string_ids(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [1.0, 0.1], None), ("c", [0.9, 0.1], "x")], "vec_id string, embedding array<double>, g string")
     q = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("z", [1.0, 0.0], None)], "qid string, q array<double>, g string")
