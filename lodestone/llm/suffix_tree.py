@@ -93,6 +93,25 @@ def _find(table: np.ndarray, keys: np.ndarray, ok: np.ndarray | None = None) ->
     return out
 
 
+def _alike(key: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys, of one owner, stand together, and where in it each run of them begins.
+
+    One unstable sort of single numbers. With an owner these are its number and most bits of the key: a key may then have several
+    runs, where another one is equal in these bits, but no run holds two.
+    """
+    if owner is None:
+        order = np.argsort(key)
+    elif len(owner) and owner.max() >= 1 << 16:
+        order = np.lexsort((key, owner))
+    else:
+        order = np.argsort(owner.astype(np.uint64) << np.uint64(48) | key.view(np.uint64) >> np.uint64(16))
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    if owner is not None:
+        new[1:] |= owner[order[1:]] != owner[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
 def _rotl(x: np.ndarray, k: int) -> np.ndarray:
     return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
@@ -145,8 +164,7 @@ class Grams:
 
     def _add_up(self) -> None:
         key, ctx, suf, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]) != 0)
+        order, first = _alike(key)
         at = order[first]
         self.parts = [(key[at], ctx[at], suf[at], np.add.reduceat(n[order], first))]
         self.held = len(at)
@@ -169,8 +187,10 @@ def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFra
                 below, fits = keys[-1], ok[-1] & has(bits, keys[-1])
                 at = np.flatnonzero(fits[:-1] & fits[1:] & (keys[0][1:] != START)) + 1
                 if len(at):
-                    key, first, n = np.unique(pair_keys(below[at - 1], below[at]), return_index=True, return_counts=True)
-                    found.add(key, below[at[first] - 1], below[at[first]], n)
+                    key = pair_keys(below[at - 1], below[at])
+                    order, first = _alike(key)
+                    one = order[first]
+                    found.add(key[one], below[at[one] - 1], below[at[one]], np.diff(np.append(first, len(order))))
                 if found.held > GATHERED // 2:
                     yield found.out()
         if found.held:
@@ -278,8 +298,8 @@ def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missin
                     for total, worth in zip(sums, (base, value, is_word), strict=True):
                         total += np.bincount(owner[hit], weights=worth[place[place >= 0]], minlength=part.n)
                     at = at[place < 0]
-                    order = at[np.lexsort((k[at], owner[at]))]
-                    first = np.flatnonzero((np.diff(k[order], prepend=0) != 0) | (np.diff(owner[order], prepend=-1) != 0))
+                    order, first = _alike(k[at], owner[at])
+                    order = at[order]
                     slot = np.where(k[order[first]] == START, GRAM, WORD) if not length else np.full(len(first), GRAM)
                     out.append((own[owner[order[first]]], k[order[first]], slot, np.diff(np.append(first, len(order)))))
                 for slot, total in ((BASE, sums[0]), (VALUE, sums[1]), (KNOWN, sums[2])):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import queries as Q
 from lodestone.llm.language import BUCKETS, fit_profiles, identify
 from lodestone.llm.media import media_columns
-from lodestone.llm.suffix_tree import score_texts
+from lodestone.llm.suffix_tree import _alike, score_texts
 from lodestone.llm.toxicity import fit, score
 
 from .test_texts import frame, words
@@ -197,6 +197,22 @@ def test_swaps_change_scores_less_with_the_penalty(spark):
     assert plain[0] > 1 and held[0] < plain[0] / 3 and held[1] > 1
 
 
+@pytest.mark.parametrize("texts", [1, 300, (1 << 16) + 9])
+def test_equal_keys_of_a_text_stand_together(texts):
+    rng = np.random.default_rng(texts)
+    key = rng.integers(-40, 40, 90000) * ((1 << 55) + 1) + rng.integers(0, 2, 90000)  # some differ in their lowest bits alone
+    owner = np.sort(np.append(rng.integers(0, texts, 89999), texts - 1))
+    for of in (None, owner):
+        order, first = _alike(key, of)
+        ids = np.zeros(len(key), int) if of is None else of
+        assert sorted(order) == list(range(len(key)))
+        got, runs = Counter(), np.diff(np.append(first, len(order)))
+        for at, n in zip(order[first], runs, strict=True):
+            got[ids[at], key[at]] += n
+        assert got == Counter(zip(ids, key, strict=True))
+    assert len(_alike(np.zeros(0, np.int64), np.zeros(0, np.int64))[1]) == 0
+
+
 @TABLES
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_queries_over_whole_tables(spark, name):
