@@ -11,10 +11,12 @@ distribution sums to one. A word is predicted by its longest suffix state.
 
 The tree is a table. What a state adds to its parent's prediction depends on the n-gram alone: so each n-gram of a text has
 one value (``values``), as a successor and as a context, and a text's states add the sum of them to the root. Tasks know
-the values of at most ``common`` n-grams and words, the most frequent. The others are joined by hash to the whole table, as
-(text, n-gram, times) rows, in one pass; frequent ones, the skewed ones, aren't among them. n-grams and words that can't be
+the values of at most ``common`` n-grams and words, the most frequent. The others are looked up in the whole table, which is
+dealt by ranges of hashes, in one pass; frequent ones, the skewed ones, aren't among them. n-grams and words that can't be
 in the table are left out before by a bitmap of bounded size, which may let others pass, but loses none.
 
+Counts and look-ups are shuffled as packed runs (``_runs``), a row for each range of hashes and million of n-grams or so.
+
 Null texts are empty: they have the end alone. Null doc_ids train and aren't held out. Repeated rows count, and are
 returned, each. An empty table gives no rows. Words are told apart by 64-bit hashes.
 """
@@ -25,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bits import BITS, BLOCK, bitmap, has
+from ._runs import PART, from_gaps, gaps, pack, part_of, spans, unpack
 from ._shared import drop_stage, in_arrow, stage
 from ._text import Slice, slices
 
@@ -160,24 +163,43 @@ class Grams:
         self.parts.append(part)
         self.held += len(part[0])
         if self.held > GATHERED:
-            self._add_up()
+            self.add_up()
 
-    def _add_up(self) -> None:
+    def add_up(self) -> None:
         key, ctx, suf, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order, first = _alike(key)
         at = order[first]
         self.parts = [(key[at], ctx[at], suf[at], np.add.reduceat(n[order], first))]
         self.held = len(at)
 
-    def out(self) -> pa.RecordBatch:
-        self._add_up()
-        _, ctx, suf, n = self.parts[0]
+    def out(self, n_parts: int) -> pa.RecordBatch:
+        """A run for each range of keys: contexts and their numbers of successors, then the successors, each named once, and counts."""
+        self.add_up()
+        key, ctx, suf, n = self.parts[0]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(suf), pa.array(n)], ["ctx", "suf", "n"])
-
-
-def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
-    """ctx, suf and n of n-grams of a length, of all whose context and suffix are in the bitmap. A task adds up its own first."""
+        part = part_of(key, n_parts)
+        order = np.argsort(part.astype(np.uint64) << np.uint64(48) | ctx.view(np.uint64) >> np.uint64(16)) if n_parts <= 1 << 16 else np.lexsort((ctx, part))
+        parts, data = [], []
+        for k, at in spans(part[order]):
+            which = order[at]
+            own = ctx[which]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            names, index = np.unique(suf[which].view(np.uint64), return_inverse=True)
+            parts.append(k)
+            data.append(pack(gaps(own[first]), np.diff(np.append(first, len(own))).astype("<u4"), gaps(names), index.astype("<u4"), n[which]))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+    def add_run(self, data: bytes) -> None:
+        own, runs, names, index, n = unpack(data, "<u8", "<u4", "<u8", "<u4", "<i8")
+        ctx, suf = np.repeat(from_gaps(own), runs), from_gaps(names)[index]
+        self.parts.append((pair_keys(ctx, suf), ctx, suf, n))
+
+
+def _eligible_counts(texts: DataFrame, known: Broadcast, length: int, least_n: int, n_parts: int) -> DataFrame:
+    """ctx, suf and n, from ``least_n`` on, of n-grams of a length, of all whose context and suffix are in the bitmap.
+
+    A task adds up its own first. ``n_parts`` ranges of keys are added up each by a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, found = known.value, Grams()
@@ -192,11 +214,23 @@ def _eligible_counts(texts: DataFrame, known: Broadcast, length: int) -> DataFra
                     one = order[first]
                     found.add(key[one], below[at[one] - 1], below[at[one]], np.diff(np.append(first, len(order))))
                 if found.held > GATHERED // 2:
-                    yield found.out()
+                    yield found.out(n_parts)
         if found.held:
-            yield found.out()
+            yield found.out(n_parts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Grams()
+        for b in batches:
+            for data in b.column("data"):
+                found.add_run(data.as_py())
+        if found.parts:
+            found.add_up()
+            _, ctx, suf, n = found.parts[0]
+            at = n >= least_n
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[at]), pa.array(suf[at]), pa.array(n[at])], ["ctx", "suf", "n"])
 
-    return texts.select("text").transform(in_arrow, run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    runs = texts.select("text").transform(in_arrow, run, "part int, data binary").repartitionById(n_parts, F.col("part"))
+    return runs.select("data").transform(in_arrow, add_up, "ctx long, suf long, n long")
 
 
 def _bits(keys: DataFrame) -> int:
@@ -204,6 +238,11 @@ def _bits(keys: DataFrame) -> int:
     return min(BITS, max(BLOCK, 1 << (32 * keys.count()).bit_length()))
 
 
+def _ranges(spark: SparkSession, tokens: int) -> int:
+    """How many ranges keys are dealt into: a task holds one, and an n-gram has a token."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A staged table, with a broadcast hint if it has few rows."""
     return F.broadcast(df) if df.count() <= ROWS else df
@@ -215,19 +254,21 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     counts: key and n of the words of ``texts``.
     """
     spark = texts.sparkSession
+    n_parts = _ranges(spark, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + ends)
     marks = spark.createDataFrame([(int(START), ends), (int(END), ends)], "key long, n long")
     words = counts.where(F.col("n") >= least_n).unionByName(marks.where("n > 0"))
     levels, contexts = [stage(words.select("key", "n", ((F.col("n") + 0.5) / F.lit(scale)).alias("p")), "tree-words")], []
     for length in range(2, depth + 2):
         below = levels[-1]
         sent = spark.sparkContext.broadcast(bitmap(below, _bits(below)))
-        found = stage(_eligible_counts(texts, sent, length).where(F.col("n") >= least_n), "tree-counts")
+        found = stage(_eligible_counts(texts, sent, length, least_n, n_parts), "tree-counts")
         sent.destroy()
         below = _small(below)
         n, c, above = F.col("n"), F.col("c"), F.col("above")
         grams = found.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("p").alias("above")), "suf")
-        grams = grams.select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "suf", "n", "c", "above", ((n + strength * above) / (c + strength)).alias("p"))
-        grams = stage(grams, "tree-grams")
+        grams = grams.select("ctx", "suf", "n", "c", "above", ((n + strength * above) / (c + strength)).alias("p"))
+        grams = stage(grams, "tree-grams").withColumn("key", F.xxhash64("ctx", "suf"))
+        drop_stage(found)
         sums = grams.groupBy("ctx").agg(F.max("c").alias("c"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("above").alias("above"), F.count("*").alias("kinds"), F.sum(n * F.log(n / c / above)).alias("gain"))
         other, left_above = F.greatest(c - n, F.lit(0)), F.greatest(1 - above, F.lit(1e-12))
         ratio = 2 * (F.col("gain") + F.when(other > 0, other * F.log(other / c / left_above)).otherwise(0.0))
@@ -236,11 +277,12 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
         contexts.append(stage(sums.select("ctx", "c", rest.alias("rest"), (ratio >= kinds + 4 * F.sqrt(2 * kinds) + 10).alias("own")), "tree-contexts"))
         levels.append(grams)
 
-    out, needed = [], None
+    out, needed, staged = [], None, []
     for at in range(depth - 1, -1, -1):
         kept = contexts[at].where("own").select("ctx")
         kept = kept if needed is None else kept.unionByName(needed).distinct()
         kept = stage(contexts[at].join(kept, "ctx", "left_semi").select("ctx", "c", "rest"), "tree-kept")
+        staged.append(kept)
         if at:  # the parents of what is kept
             needed = _small(kept).join(levels[at].select(F.col("key").alias("ctx"), "suf"), "ctx").select(F.col("suf").alias("ctx")).distinct()
         out.append(kept.select(F.col("ctx").alias("key"), F.col("c").alias("n"), F.col("rest").alias("value")))
@@ -250,7 +292,7 @@ def values(texts: DataFrame, counts: DataFrame, ends: int, scale: float, depth:
     for x in out[1:]:
         both = both.unionByName(x)
     both = stage(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "tree-values")
-    for x in (*levels, *contexts):
+    for x in (*levels, *contexts, *staged):
         drop_stage(x)
     return both
 
@@ -265,13 +307,62 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(1 << least))
 
 
-#: What a row of a text is: an n-gram or a word to look up, or the text's own sums, ids and size.
-GRAM, WORD, BASE, VALUE, KNOWN, SIZE, NULL_SIZE = range(7)
-ROWS_OF_TEXT = "row long, key long, slot byte, amount double"
+#: What a row holds: a range of the table, the keys that a group of texts looks up in it, what they add, or the texts' own rows.
+TABLE, ASKED, ADDED, TEXTS = range(4)
+#: Texts of a group, at most, and keys from which on it is given out.
+GROUP, ASKS = 1 << 16, 1 << 20
+RUNS = "part int, group long, kind byte, data binary"
+
+
+def _rows(*rows: tuple[int, int, int, bytes]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int32(), pa.int64(), pa.int8(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "group", "kind", "data"])
+
+
+def _table_runs(table: DataFrame, n_parts: int) -> DataFrame:
+    """The table's rows, dealt into ranges of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            key, base, value = (t.column(c).to_numpy() for c in ("key", "base", "value"))
+            order = np.argsort(key.view(np.uint64))
+            return _rows(*((k, -1, TABLE, pack(gaps(key[order[at]]), base[order[at]].astype("<f8"), value[order[at]])) for k, at in spans(part_of(key[order], n_parts))))
+
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) > GATHERED // 4:
+                yield out()
+        if held:
+            yield out()
+
+    return table.select("key", "base", "value").transform(in_arrow, run, RUNS)
+
 
+class Group:
+    """Texts of a task: their rows, sums over what the task knows, and the keys that must be looked up."""
 
-def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missing: float) -> DataFrame:
-    """Rows of each text (row, doc_id, text): sums over what tasks know, and times for each key that must be looked up."""
+    def __init__(self) -> None:
+        self.n, self.held, self.texts, self.keys, self.owners = 0, 0, [], [], []
+
+    def out(self, number: int, n_parts: int) -> pa.RecordBatch:
+        """A run of keys and the texts that ask for them for each range, and one of the texts."""
+        rows = [(number % n_parts, number, TEXTS, pack(*(np.concatenate(x) for x in zip(*self.texts, strict=True))))]
+        if self.held:
+            key, owner = np.concatenate(self.keys), np.concatenate(self.owners)
+            order = np.argsort(key.view(np.uint64))
+            key, owner = key[order], owner[order]
+            rows += [(k, number, ASKED, pack(gaps(key[at]), owner[at])) for k, at in spans(part_of(key, n_parts))]
+        self.__init__()
+        return _rows(*rows)
+
+
+def _text_runs(docs: DataFrame, table: DataFrame, common: int, most: int, missing: float, n_parts: int) -> DataFrame:
+    """Groups of ``docs`` (doc_id, text), and the keys that each must look up."""
     top = _most_frequent(table, common).select("key", "base", "value").toArrow().sort_by("key")  # at most `common` rows of 24 bytes
     key, base, value = (top.column(c).to_numpy().astype(t) for c, t in (("key", np.int64), ("base", float), ("value", float)))
     sent = docs.sparkSession.sparkContext.broadcast((key, base, value, bitmap(table, _bits(table))))
@@ -281,36 +372,98 @@ def _text_rows(docs: DataFrame, table: DataFrame, common: int, most: int, missin
         known, base, value, bits = sent.value
         is_word = ~np.isnan(base)
         base = np.nan_to_num(base)
+        group, number = Group(), TaskContext.get().partitionId() << 32
         for b in batches:
-            row, ids = b.column("row").to_numpy(), b.column("doc_id")
+            ids = b.column("doc_id")
             null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
             for part in slices(b.column("text")):
+                if group.n and (group.n + part.n > GROUP or group.held > ASKS):
+                    yield group.out(number, n_parts)
+                    number += 1
                 owner, keys, ok = _levels(part, most)
-                own, sums = row[part.lo : part.hi], np.zeros((3, part.n))
-                out = []
+                sums = np.zeros((3, part.n))
                 for length, (k, fits) in enumerate(zip(keys, ok, strict=True)):
-                    there = has(bits, k)
-                    if not length:
-                        sums[0] += missing * np.bincount(owner[~there & (k != START)], minlength=part.n)
-                    at = np.flatnonzero(fits & there)
+                    at = np.flatnonzero(fits & has(bits, k))
                     place = _find(known, k[at])
-                    hit = at[place >= 0]
+                    found = place >= 0
+                    hit, place = owner[at[found]], place[found]
                     for total, worth in zip(sums, (base, value, is_word), strict=True):
-                        total += np.bincount(owner[hit], weights=worth[place[place >= 0]], minlength=part.n)
-                    at = at[place < 0]
-                    order, first = _alike(k[at], owner[at])
-                    order = at[order]
-                    slot = np.where(k[order[first]] == START, GRAM, WORD) if not length else np.full(len(first), GRAM)
-                    out.append((own[owner[order[first]]], k[order[first]], slot, np.diff(np.append(first, len(order)))))
-                for slot, total in ((BASE, sums[0]), (VALUE, sums[1]), (KNOWN, sums[2])):
-                    out.append((own, own, np.full(part.n, slot), total))
-                size = np.bincount(owner, minlength=part.n) - 1
-                nulls = null[part.lo : part.hi]
-                out.append((own, np.where(nulls, own, ids[part.lo : part.hi]), np.where(nulls, NULL_SIZE, SIZE), size))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int8)), pa.array(cols[3].astype(float))], ["row", "key", "slot", "amount"])
-
-    return docs.select("row", "doc_id", "text").transform(in_arrow, run, ROWS_OF_TEXT)
+                        total += np.bincount(hit, weights=worth[place], minlength=part.n)
+                    if not length:  # words that aren't known count as missing; those the table has add the rest there
+                        unknown = k != START
+                        unknown[at[found]] = False
+                        sums[0] += missing * np.bincount(owner[unknown], minlength=part.n)
+                    at = at[~found]
+                    group.keys.append(k[at])
+                    group.owners.append((owner[at] + group.n).astype("<u2"))
+                    group.held += len(at)
+                at = slice(part.lo, part.hi)
+                group.texts.append((ids[at], null[at].astype("u1"), np.bincount(owner, minlength=part.n) - 1, *sums))
+                group.n += part.n
+        if group.n:
+            yield group.out(number, n_parts)
+
+    return docs.select("doc_id", "text").transform(in_arrow, run, RUNS)
+
+
+def _look_up(runs: DataFrame, missing: float, n_parts: int) -> DataFrame:
+    """What the table adds to the texts of each group: a task has one range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked = [], []
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"] == TEXTS:
+                    yield _rows((0, row["group"], TEXTS, row["data"]))
+                elif row["kind"] == TABLE:
+                    held.append(unpack(row["data"], "<u8", "<f8", "<f8"))
+                else:
+                    asked.append((row["group"], row["data"]))
+        if not held:
+            return
+        key = np.concatenate([from_gaps(x[0]) for x in held])
+        base, value = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        held.clear()
+        order = np.argsort(key)
+        key, base, value = key[order], base[order], value[order]
+        is_word = ~np.isnan(base)
+        base = np.where(is_word, base - missing, 0.0)
+        for group, data in asked:
+            asks, owner = unpack(data, "<u8", "<u2")
+            place = _find(key, from_gaps(asks))
+            owner, place = owner[place >= 0], place[place >= 0]
+            texts = np.flatnonzero(np.bincount(owner))
+            if len(texts):
+                sums = [np.bincount(owner, weights=worth[place])[texts] for worth in (base, value, is_word)]
+                yield _rows((0, group, ADDED, pack(texts.astype("<u2"), *sums)))
+
+    return runs.repartitionById(n_parts, F.col("part")).transform(in_arrow, run, RUNS)
+
+
+def _add_up(runs: DataFrame, n_parts: int) -> DataFrame:
+    """A row for each text, with all sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, added = {}, {}
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"] == TEXTS:
+                    texts[row["group"]] = unpack(row["data"], "<i8", "u1", "<i8", "<f8", "<f8", "<f8")
+                    continue
+                at, *sums = unpack(row["data"], "<u2", "<f8", "<f8", "<f8")
+                total = added.setdefault(row["group"], np.zeros((3, GROUP)))
+                for x, y in zip(total, sums, strict=True):
+                    x[at] += y
+        if added.keys() - texts.keys():
+            raise ValueError("sums of texts that aren't there")
+        for group, (ids, null, size, *sums) in texts.items():
+            if group in added:
+                sums = [x + y[: len(ids)] for x, y in zip(sums, added.pop(group), strict=True)]
+            base, value, known = sums
+            cols = [pa.array(ids, mask=null == 1), pa.array(size), pa.array(np.round(known).astype(np.int64)), pa.array(base), pa.array(value)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base", "value"])
+
+    return runs.select("group", "kind", "data").repartition(n_parts, "group").transform(in_arrow, run, "doc_id long, n_tokens long, n_known long, base double, value double")
 
 
 def score_texts(docs: DataFrame, train, common: int = 1 << 20, depth: int = 3, least_n: int = 4) -> DataFrame:
@@ -337,19 +490,7 @@ def score_texts(docs: DataFrame, train, common: int = 1 << 20, depth: int = 3, l
     drop_stage(tree, counts)
 
     missing = float(np.log10(0.5 / scale))
-    rows = _text_rows(docs.withColumn("row", F.xxhash64("doc_id", "text")), table, common, depth + 1, missing)
-    rows = rows.join(table.select("key", "base", "value").hint("merge"), "key", "left")
-    slot, amount = F.col("slot"), F.col("amount")
-    total_of = lambda s, looked: F.sum(F.when(slot == s, amount).when(looked[0], amount * looked[1]))
-    sums = rows.groupBy("row").agg(
-        F.max(F.when(slot == SIZE, F.col("key"))).alias("doc_id"),
-        F.max(F.when(slot >= SIZE, amount)).cast("long").alias("n_tokens"),
-        F.count(F.when(slot >= SIZE, 1)).alias("copies"),
-        total_of(BASE, (slot == WORD, F.coalesce("base", F.lit(missing)))).alias("base"),
-        total_of(VALUE, (slot <= WORD, F.coalesce("value", F.lit(0.0)))).alias("value"),
-        total_of(KNOWN, (slot == WORD, F.when(F.col("base").isNotNull(), 1).otherwise(0))).alias("known"),
-    )
-    # equal rows share a key: their sums are as many times one's
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    base, value = F.col("base") / F.col("copies"), F.col("value") / F.col("copies")
-    return each.select("doc_id", (~train).alias("held_out"), "n_tokens", F.round(F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + value).alias("score"))
+    n_parts = _ranges(spark, total)
+    runs = _table_runs(table, n_parts).unionByName(_text_runs(docs, table, common, depth + 1, missing, n_parts))
+    each = runs.transform(_look_up, missing, n_parts).transform(_add_up, n_parts)
+    return each.select("doc_id", (~train).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("value")).alias("score"))
