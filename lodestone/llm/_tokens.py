@@ -5,7 +5,9 @@ chunks are encoded once, and the ids are gathered by array arithmetic. A worker
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -26,9 +28,9 @@ KEPT, KEPT_BYTES = 400_000, 48
 
 
 class ChunkCodec:
-    """Encodes chunks of bytes once. ``encode`` gets distinct chunks and gives a sequence of ids for each."""
+    """Encodes chunks of bytes once. ``encode`` gets distinct chunks and gives a list of ids for each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list]):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
@@ -55,7 +57,7 @@ class ChunkCodec:
             data = part.data.tobytes()
             got = self.encode([data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
             n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.concatenate([np.asarray(g, np.uint32) for g in got]) if isinstance(got[0], np.ndarray) else np.fromiter((x for g in got for x in g), np.uint32, int(n.sum()))
+            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
             size[new], at[new] = n, len(ids) + np.cumsum(n) - n
             ids = np.concatenate((ids, flat))
             keep = (e - s) <= KEPT_BYTES
@@ -115,6 +117,36 @@ def holds_special(part: Slice, specials: list[bytes]) -> list[int]:
     return sorted(found)
 
 
+#: How the public vocabulary of words with word ends normalises and cuts texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Words of the letters a-z and of those of Latin-1: composed already, lower-cased one by one, and never cut.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
+def plain_words(tokenizer, made: dict) -> Callable[[bytes], list[int] | None] | None:
+    """The ids of a word of plain letters from the vocabulary's merges alone, None for other chunks; None where the settings differ."""
+    if made.get("normalizer") != NORMALIZER or made.get("pre_tokenizer") != PRE_TOKENIZER or made["model"].get("type") != "BPE":
+        return None
+    if made["model"].get("dropout") or any(not x["content"].isascii() or x["content"].isalnum() for x in made["added_tokens"]):
+        return None
+    from ._bytelevel import byte_of_char
+
+    chars, merge = {b: c for c, b in byte_of_char().items()}, tokenizer.model.tokenize
+
+    def ids(chunk: bytes) -> list[int] | None:
+        if chunk.isalpha():  # a-z alone
+            word = chunk.lower().decode()
+        elif _LATIN(chunk):
+            word = chunk.decode().lower().encode().decode("latin-1").translate(chars)
+        else:
+            return None
+        return [t.id for t in merge(word)]
+
+    return ids
+
+
 class TextCodec:
     """Ids of each text of a slice, equal to what the ``tokenizers`` library gives for the whole text."""
 
@@ -130,29 +162,41 @@ class TextCodec:
         self.specials = [x["content"].encode() for x in made["added_tokens"]]
         self.by_words = bool(made["model"].get("end_of_word_suffix"))
         self.vocabulary = max(made["model"]["vocab"].values()) + 1
+        self.plain = plain_words(self.tokenizer, made) if self.by_words else None
         self.chunks = ChunkCodec(self._words if self.by_words else self._byte_level(made))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, chunks: list[bytes], together: int = 256) -> list[np.ndarray]:
+    def _words(self, chunks: list[bytes]) -> list[list[int]]:
+        """Plain words go to the vocabulary's merges at once, other chunks through the whole tokenizer."""
+        if self.plain is None:
+            return self._together(chunks)
+        out = [self.plain(x) for x in chunks]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._together([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _together(self, chunks: list[bytes], together: int = 256) -> list[list[int]]:
         """Chunks stand in one text, with a special token between them, whose id then tells them apart."""
         texts = [x.decode("utf-8", "replace") for x in chunks]
         if not self.specials:
-            return [np.array(x, np.uint32) for x in self._whole(texts)]
+            return self._whole(texts)
         mark = self.specials[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)
         clash = [i for i, x in enumerate(texts) if "<" in x and any(s.decode() in x for s in self.specials)]
         own = dict(zip(clash, self._whole([texts[i] for i in clash]), strict=True))
         for i in clash:
             texts[i] = ""
-        out: list[np.ndarray] = []
+        out: list[list[int]] = []
         for ids in self._whole([mark.join(texts[i : i + together]) for i in range(0, len(texts), together)]):
-            a = np.array(ids, np.uint32)
-            out += np.split(a, np.flatnonzero(a == mark_id))
-        out = [x[1:] if len(x) and x[0] == mark_id else x for x in out]
+            lo = 0
+            for hi in [*np.flatnonzero(np.array(ids, np.uint32) == mark_id).tolist(), len(ids)]:
+                out.append(ids[lo:hi])
+                lo = hi + 1
         for i, ids in own.items():
-            out[i] = np.array(ids, np.uint32)
+            out[i] = ids
         return out
 
     def _byte_level(self, made: dict) -> Callable[[list[bytes]], list]:
