@@ -151,7 +151,7 @@ class SpeculativeBPE(TextCodec):
         self.tried, self.failed = self.tried + len(words), self.failed + len(bad)
         return rows
 
-    def _chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def _chunks(self, chunks: list[bytes]) -> list[list[int]]:
         """Chunks of letters a-z are words already; others go through the file's normaliser and pre-tokeniser."""
         split = []
         normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -166,7 +166,7 @@ class SpeculativeBPE(TextCodec):
         new = list({w for ws in split for w in ws} - self.words.keys())
         self.words.update(zip(new, self.encode_words(new), strict=True))
         get = self.words
-        return [np.array([i for w in ws for i in get[w]], np.uint32) for ws in split]
+        return [[i for w in ws for i in get[w]] for ws in split]
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids' tokens, a space after each."""
