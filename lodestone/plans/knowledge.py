@@ -206,24 +206,23 @@ runs AS (SELECT doc_id, pos, seg, CAST(min(i) - 1 AS INTEGER) AS start, count(*)
 
 
 def _mined(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Collocations and runs of all documents."""
+    """The words of all documents' sentences, and their collocations."""
     words = M.sentence_words(load(spark, sf, "documents"))
-    known = cut(M.collocations(words))
-    return known, M.segments(words, known)
+    return words, cut(M.collocations(words))
 
 
 @query(f"WITH {_MINED} SELECT a, b, n, llr FROM known")
 def mined_collocations(spark: SparkSession, sf: str) -> DataFrame:
-    return _mined(spark, sf)[0]
+    return _mined(spark, sf)[1]
 
 
 @query(f"WITH {_MINED} SELECT doc_id, pos, start, text AS entity FROM runs WHERE size > 1")
 def mined_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return M.entities(_mined(spark, sf)[1])
+    return M.entities_of(*_mined(spark, sf))
 
 
 @query(f"""WITH {_MINED}, e AS (SELECT *, lead(seg) OVER w AS next, lead(text) OVER w AS object FROM runs WHERE size > 1 WINDOW w AS (PARTITION BY doc_id, pos ORDER BY seg))
 SELECT e.doc_id, e.pos, e.text AS subject, string_agg(m.text, ' ' ORDER BY m.seg) AS relation, object FROM e JOIN runs m ON m.doc_id = e.doc_id AND m.pos = e.pos AND m.seg > e.seg AND m.seg < next
 WHERE next - e.seg BETWEEN 2 AND 6 GROUP BY e.doc_id, e.pos, e.seg, e.text, object""")
 def mined_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return M.relations(_mined(spark, sf)[1])
+    return M.relations(M.segments(*_mined(spark, sf)))

@@ -149,3 +149,40 @@ def test_runs_are_cut_where_the_sentence_is(spark):
         assert sorted(tuple(r) for r in M.segments(words, known).collect()) == got and len(got) > 30_000
     finally:
         M.PAIRS = held
+
+
+def test_pairs_and_relations_are_not_dealt_out_as_rows(spark, monkeypatch):
+    """Pairs are shuffled as a few packed runs, and entities and relations not at all, however the limits cut them up."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(90)] + ["naïve", "東京"]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) + rng.choice([". ", "! "]) + " ".join(rng.choices(["New York", "open source", "naïve 東京", *vocabulary[:9]], k=9)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = M.sentence_words(docs)
+    want, found, linked = brute_mining(texts, 5)
+    distinct = len({p for w in words.collect() for p in zip(w["w"], w["w"][1:])})
+    before = shuffled_rows(spark)
+    known = M.collocations(words).localCheckpoint()
+    assert {(x["a"], x["b"]): (x["n"], x["llr"]) for x in known.collect()} == want
+    assert shuffled_rows(spark) - before < distinct / 2
+    before = shuffled_rows(spark)
+    assert sorted(x["entity"] for x in M.entities_of(words, known).collect()) == found
+    assert shuffled_rows(spark) - before < 20 * len(want)
+    for limits in ({"RANGE": 100}, {"BLOCK": 50, "HELD": 20}, {"VOCABULARY": 30, "BLOCK": 50}, {"VOCABULARY": 0}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(M, name, value)
+            assert {(x["a"], x["b"]): (x["n"], x["llr"]) for x in M.collocations(words).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(M, "PAIRS", 0)
+        assert sorted(x["entity"] for x in M.entities_of(words, known).collect()) == found
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """A hash that two words share is replaced, and a word that isn't known is not taken for one that is."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = M.Words._hashes
+    monkeypatch.setattr(M.Words, "_hashes", lambda self, words: whole(self, words) if self.seed else np.zeros(len(words), np.uint64))
+    assert M.Words(pa.array(["a", "b"])).numbers(pa.array(["b", "c", "a", "b"])).tolist() == [1, -1, 0, 1]
+    assert M.Words(pa.array(["a"])).numbers(pa.array(["b", "a"])).tolist() == [-1, 0]
