@@ -303,6 +303,18 @@ def _entities(b, words, owner, seg, at, start, size):
     return _batch(b, owner[e], start=pa.array(start[e], pa.int32()), entity=_joined(words, at[e], size[e]))
 
 
+def _relations(between: int) -> Callable:
+    def made(b, words, owner, seg, at, start, size):
+        e = np.flatnonzero(size > 1)
+        p, q = e[:-1], e[1:]
+        linked = (owner[p] == owner[q]) & (q - p >= 2) & (q - p <= between + 1)
+        p, q = p[linked], q[linked]
+        middle = at[p] + size[p]
+        return _batch(b, owner[p], subject=_joined(words, at[p], size[p]), relation=_joined(words, middle, at[q] - middle), object=_joined(words, at[q], size[q]))
+
+    return made
+
+
 def _in_place(words: DataFrame, known: DataFrame, key: str, made: Callable, columns: str) -> DataFrame | None:
     """What ``made`` finds in sentences (key, pos, w), each in the task that has it; none if ``known`` can't be sent there."""
     sent = _sent(known)
@@ -341,6 +353,12 @@ def entities_of(words: DataFrame, known: DataFrame, key: str = "doc_id") -> Data
     return entities(_dealt(words, known, key), key) if rows is None else rows
 
 
+def relations_of(words: DataFrame, known: DataFrame, key: str = "doc_id", between: int = 5) -> DataFrame:
+    """``relations`` of the runs of sentences (key, pos, w); found without a shuffle of the runs."""
+    rows = _in_place(words, known, key, _relations(between), "subject string, relation string, object string")
+    return relations(_dealt(words, known, key), key, between) if rows is None else rows
+
+
 def entities(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, start and entity of the runs of two words or more."""
     return runs.where("size > 1").select(key, "pos", "start", F.col("text").alias("entity"))

@@ -225,4 +225,4 @@ def mined_entities(spark: SparkSession, sf: str) -> DataFrame:
 SELECT e.doc_id, e.pos, e.text AS subject, string_agg(m.text, ' ' ORDER BY m.seg) AS relation, object FROM e JOIN runs m ON m.doc_id = e.doc_id AND m.pos = e.pos AND m.seg > e.seg AND m.seg < next
 WHERE next - e.seg BETWEEN 2 AND 6 GROUP BY e.doc_id, e.pos, e.seg, e.text, object""")
 def mined_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return M.relations(M.segments(*_mined(spark, sf)))
+    return M.relations_of(*_mined(spark, sf))

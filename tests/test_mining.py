@@ -166,6 +166,7 @@ def test_pairs_and_relations_are_not_dealt_out_as_rows(spark, monkeypatch):
     assert shuffled_rows(spark) - before < distinct / 2
     before = shuffled_rows(spark)
     assert sorted(x["entity"] for x in M.entities_of(words, known).collect()) == found
+    assert sorted((x["subject"], x["relation"], x["object"]) for x in M.relations_of(words, known).collect()) == linked and linked
     assert shuffled_rows(spark) - before < 20 * len(want)
     for limits in ({"RANGE": 100}, {"BLOCK": 50, "HELD": 20}, {"VOCABULARY": 30, "BLOCK": 50}, {"VOCABULARY": 0}):
         with monkeypatch.context() as m:
@@ -175,6 +176,7 @@ def test_pairs_and_relations_are_not_dealt_out_as_rows(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(M, "PAIRS", 0)
         assert sorted(x["entity"] for x in M.entities_of(words, known).collect()) == found
+        assert sorted((x["subject"], x["relation"], x["object"]) for x in M.relations_of(words, known).collect()) == linked
 
 
 def test_words_of_one_hash_are_told_apart(monkeypatch):
