@@ -75,7 +75,7 @@ SELECT qid, entry, similarity FROM (SELECT q.event_id AS qid, e.event_id AS entr
 FROM events q JOIN near ON u = q.user_id JOIN events e ON e.user_id = w AND (e.ts, e.event_id) < (q.ts, q.event_id) AND q.ts < e.ts + INTERVAL 1 HOUR) WHERE k = 1""")
 def stream_semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Events as questions, each with its user's vector, against the entries that the hour before left: state in cells, by timers."""
-    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
+    vectors = SC.placed(load(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding"), 64)
     asked = S.event_stream(spark, sf).select(F.col("event_id").alias("qid"), "user_id", "ts").join(vectors, "user_id")
     before = spark.conf.get(SC.STORE, None)
     spark.conf.set(SC.STORE, SC.ROCKS)
