@@ -12,13 +12,16 @@ collocations can be sent there.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ from lodestone.functions import sentences, tokens
 from lodestone.functions.batches import parts, tidy
 from lodestone.sources.tables import cut
 
-#: Collocations up to which they are sent to all tasks, 8 bytes each, and some 40 for each word in them.
-PAIRS = 16_000_000
+#: Collocations up to which executors get them, 8 bytes each in a file that their tasks map, and in memory some 40 for each word in them.
+PAIRS = 100_000_000
 #: Words that get numbers at most, some 60 bytes each; pairs with others are counted as texts.
 VOCABULARY = 4_000_000
 #: Pairs that a range has on average, a pair as often as it stands in the texts.
@@ -66,9 +69,13 @@ class Words:
         return len(self.words)
 
     def _hashes(self, words: pa.Array) -> np.ndarray:
-        texts = np.empty(len(words), object)
-        texts[:] = words.to_pylist()
-        return pd.util.hash_array(texts, hash_key=f"{self.seed:016d}", categorize=False)
+        out = np.empty(len(words), np.uint64)
+        for lo in range(0, len(words), BLOCK):
+            some = words.slice(lo, BLOCK)
+            texts = np.empty(len(some), object)
+            texts[:] = some.to_pylist()
+            out[lo : lo + BLOCK] = pd.util.hash_array(texts, hash_key=f"{self.seed:016d}", categorize=False)
+        return out
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each word, -1 for others."""
@@ -230,9 +237,14 @@ def collocations(words: DataFrame, least: int = 5, ratio: float = 10.83) -> Data
 
 
 class Collocations(Words):
-    """Collocations as sorted numbers of pairs."""
+    """Collocations as sorted numbers of pairs, in a file that Spark gives to executors."""
 
-    pairs: np.ndarray
+    file = ""
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        path = SparkFiles.get(self.file)
+        return np.memmap(path, np.int64, "r") if os.path.getsize(path) else np.zeros(0, np.int64)
 
     def together(self, lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The words of lists, where lists begin, and whether a word and the one before it are a collocation."""
@@ -243,6 +255,10 @@ class Collocations(Words):
         return texts, begin, out
 
 
+#: Kept until the driver ends, as executors may come later.
+_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
+
 def _sent(known: DataFrame) -> Broadcast | None:
     """``known`` (a, b) for all tasks, if it has at most ``PAIRS`` rows."""
     if known.limit(PAIRS + 1).count() > PAIRS:
@@ -255,10 +271,18 @@ def _sent(known: DataFrame) -> Broadcast | None:
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = (words.value.numbers(b.column(x)) for x in ("a", "b"))
-            yield pa.RecordBatch.from_pydict({"data": pa.array([(a * len(words.value) + c).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(a * len(words.value) + c, pa.int64())})
 
-    rows = known.select("a", "b").mapInArrow(numbers, "data binary").collect()
-    out.pairs = np.unique(np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.int64))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"data": pa.array([b.column("pair").to_numpy().tobytes()], pa.binary())})
+
+    _FOLDERS.append(tempfile.TemporaryDirectory(prefix="lodestone-"))
+    out.file = f"{os.path.basename(_FOLDERS[-1].name)}.pairs"
+    with open(f"{_FOLDERS[-1].name}/{out.file}", "wb") as f:  # a part at a time: the driver doesn't hold them
+        for r in known.select("a", "b").mapInArrow(numbers, "pair long").sort("pair").mapInArrow(whole, "data binary").toLocalIterator():
+            f.write(bytes(r[0]))
+    context.addFile(f.name)
     return context.broadcast(out)
 
 
@@ -327,7 +351,7 @@ def _in_place(words: DataFrame, known: DataFrame, key: str, made: Callable, colu
 def segments(words: DataFrame, known: DataFrame, key: str = "doc_id", config: Config = DEFAULT) -> DataFrame:
     """key, pos, seg, start, size and text of the maximal runs of each sentence (key, pos, w); a word in no collocation is one of its own.
 
-    Up to ``PAIRS`` collocations are sent to all tasks: then the words of a sentence stay together, in order, and are cut into
+    Up to ``PAIRS`` collocations are sent to all executors: then the words of a sentence stay together, in order, and are cut into
     runs where they are. Beyond, words are dealt by pairs, and then by sentences.
     """
     rows = _in_place(words, known, key, _all_runs, "seg long, start int, size long, text string")
